@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,15 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS, seed: in
     sample = [known.where(F.col("quality") == q).orderBy("_h", "doc_id").limit(max_bags) for q in (0, 1)]
     ids = sample[0].unionByName(sample[1]).select("doc_id", "quality")
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = [encode(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "bag": [v.astype(np.float16).tobytes() for v in x]})
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [encode(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "bag"])
 
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(ids), "doc_id")
-        .mapInPandas(bags, "doc_id long, quality int, bag binary")
+        .mapInArrow(bags, "doc_id long, quality int, bag binary")
         .toLocalIterator()
     )
     seen = sorted(((r["doc_id"], r["quality"], bytes(r["bag"])) for r in rows), key=lambda r: r)
@@ -182,18 +182,18 @@ def train(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS, seed: in
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """The input's columns with ``score`` and ``predicted``; one pass, no shuffle."""
     schema = docs.drop("score", "predicted").schema
-    columns = schema.fieldNames()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
-            s = np.empty(len(pdf))
-            for lo in range(0, len(pdf), 256):
-                s[lo : lo + 256] = m.score([encode(t) for t in pdf["text"].iloc[lo : lo + 256]])
-            yield pdf[columns].assign(score=s, predicted=(s >= keep).astype(np.int32))
-
-    return docs.select(*columns).mapInPandas(scored, T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+        for batch in batches:
+            s, text = np.empty(batch.num_rows), batch.column("text")
+            for lo in range(0, len(s), 256):
+                s[lo : lo + 256] = m.score([encode(t) for t in text[lo : lo + 256].to_pylist()])
+            more = [pa.array(s), pa.array((s >= keep).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "score", "predicted"])
+
+    return docs.select(*schema.fieldNames()).mapInArrow(scored, T.StructType([*schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS, keep: float = KEEP) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import line_dedup, quality_mil
+from rostra.llm import decontaminate, line_dedup, quality_mil
 from rostra.llm.common import table
 
 
@@ -16,12 +16,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.strip_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op9_quality)}
+    return {f.__name__: f for f in (op4_line_dedup, op7_decontamination, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
