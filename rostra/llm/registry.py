@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import decontaminate, line_dedup, quality_mil
+from rostra.llm import decontaminate, line_dedup, packing, quality_mil
 from rostra.llm.common import table
 
 
@@ -25,8 +25,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op7_decontamination, op9_quality)}
+    return {f.__name__: f for f in (op4_line_dedup, op7_decontamination, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
