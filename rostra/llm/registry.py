@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import decontaminate, line_dedup, packing, quality_mil
+from rostra.llm import decontaminate, line_dedup, minhash, packing, quality_mil
 from rostra.llm.common import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.groups(table(spark, sf_dir, "documents", "doc_id", "text"), n=4)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return line_dedup.strip_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
@@ -30,8 +35,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op7_decontamination, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op7_decontamination, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE}
+    return {"op2_near_dedup": minhash.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
