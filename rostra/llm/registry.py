@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import decontaminate, line_dedup, minhash, packing, quality_mil
+from rostra.llm import decontaminate, line_dedup, lm_scoring, minhash, packing, quality_mil
 from rostra.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.strip_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lm_scoring.score(docs, table(spark, sf_dir, "conversations", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -35,7 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op7_decontamination, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op5_lm_scoring, op7_decontamination, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
