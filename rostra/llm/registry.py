@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import decontaminate, line_dedup, lm_scoring, minhash, packing, quality_mil
+from rostra.llm import decontaminate, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
 from rostra.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -40,8 +44,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op5_lm_scoring, op7_decontamination, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op5_lm_scoring, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": minhash.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
+    return {"op2_near_dedup": minhash.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
