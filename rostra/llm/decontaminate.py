@@ -148,6 +148,8 @@ def _search(index: Index, texts: list[bytes], lo: int, hi: int) -> list[tuple[in
     pair = doc * len(index.texts) + item
     all_bands = np.bincount(pair, minlength=(hi - lo) * len(index.texts))
     good = all_bands[pair] >= index.need[item]
+    if not good.any():
+        return []
     place, entry, item, doc = place[good], entry[good], item[good], doc[good]
     band = (place - index.pos[entry]) // (index.edits[item] + 1)
     # each shared q-gram counts in its band and in the one before, which overlaps it
