@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostra.llm.common import staged
+
 #: Sites from which on a line is boilerplate, and the share of a text that lines may take with them.
 MIN_SITES, MAX_SHARE = 10, 0.5
 #: Characters of a word that can be a fingerprint.
@@ -68,7 +70,8 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed``."""
-    common = boilerplate(docs, site, min_sites).select("line_hash")
+    # a table of its own, so that Spark can split the join on a hot line
+    common = staged(boilerplate(docs, site, min_sites).select("line_hash"), "boilerplate")
     marked = (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_key(x))))).alias("line_hash"))
