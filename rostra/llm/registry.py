@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import decontaminate, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
+from rostra.llm import decontaminate, html_model, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
 from rostra.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_model.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return line_dedup.strip_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
@@ -44,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op5_lm_scoring, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_html, op4_line_dedup, op5_lm_scoring, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
