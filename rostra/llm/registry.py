@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import decontaminate, html_model, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
+from rostra.llm import decontaminate, html_model, licenses, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
 from rostra.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, table(spark, sf_dir, "conversations", "text"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -48,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_html, op4_line_dedup, op5_lm_scoring, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_html, op4_line_dedup, op5_lm_scoring, op6_licenses, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
