@@ -6,11 +6,14 @@ the low 4 bits are kept as bit planes; counting equal positions and correcting f
 chance collisions (1/16) estimates the similarity, and pairs more than five standard
 errors under the threshold go. The others are confirmed on their full sets.
 
-No pair within a group is listed needlessly. Texts with the same set are one node. In
-a first round every text of a bucket meets only its smallest; confirmed links give
-components. In a second round the texts of a bucket that are not in the component most
-of the bucket is in meet all texts of other components there. Pairs that share a bucket
-are thus linked, known to be connected, or compared: none is dropped.
+No pair within a group is listed needlessly. Texts with the same set are one node. A
+text's shingles that no other candidate has can be in no intersection, which bounds the
+similarity of a text, or of a pair, before it is compared; texts and pairs that cannot
+reach the threshold go. In a first round every text of a bucket meets only the most
+central one, which has the least share of such shingles; confirmed links give components.
+In a second round the texts of a bucket that are not in the component most of the bucket
+is in meet all texts of other components there. Pairs that share a bucket are thus
+linked, known to be connected, compared, or below the threshold for certain.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a
 text of fewer than n words is one shingle; a null doc_id takes no part and has a null
@@ -144,6 +147,24 @@ def _near(pairs: DataFrame, signed: DataFrame, similarity: int) -> DataFrame:
     )
 
 
+def _possible(size: str, common: str, other_size: str, other_common: str, similarity: int) -> Column:
+    """Whether two sets can be similar enough, when all they can share are their common shingles."""
+    most = F.least(F.col(common), F.col(other_common))
+    return most * (100 + similarity) >= (F.col(size) + F.col(other_size)) * similarity
+
+
+def _bounds(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """doc_id, size and common (shingles that another of the texts has too) of the texts that can have a link.
+
+    A link needs a share of at least ``similarity`` of either set in common.
+    """
+    one = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    twice = staged(one.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "shared")
+    common = one.join(twice, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
+    size = nodes.groupBy("doc_id").agg(F.min("n_shingles").alias("size"))
+    return common.join(size, "doc_id").where(F.col("common") * 100 >= F.col("size") * similarity)
+
+
 def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest linked doc_id) of every row of ``docs``."""
     signed = staged(signatures(docs, n, lower), "signatures")
@@ -154,26 +175,43 @@ def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: boo
     nodes = staged(filled.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "key"]), "nodes")
 
     bands = nodes.select("doc_id", F.explode(F.array_distinct("bands")).alias("bucket"))
-    heads = bands.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("bucket", "head")
-    met = staged(bands.join(heads, "bucket"), "buckets")  # only buckets of two texts or more
+    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("bucket")
+    met = staged(bands.join(shared, "bucket"), "buckets")  # only buckets of two texts or more
 
     mates = met.select("doc_id").distinct()
     sets = staged(shingle_sets(docs.where("doc_id is not null").join(mates, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), n, lower), "sets")
-
-    first = met.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    at = staged(met.join(_bounds(nodes, sets, similarity), "doc_id"), "bounded")
+
+    # the head of a bucket is its most central text: the one with the least share of shingles of its own
+    centre = F.struct((F.col("common") / F.col("size")).alias("share"), (-F.col("doc_id")).alias("id"))
+    heads = at.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "size", "common"), centre).alias("head"))
+    first = (
+        at.join(heads, "bucket")
+        .where(F.col("doc_id") != F.col("head.doc_id"))
+        .where(_possible("size", "common", "head.size", "head.common", similarity))
+        .select(F.least("doc_id", "head.doc_id").alias("a"), F.greatest("doc_id", "head.doc_id").alias("b"))
+        .distinct()
+    )
     linked = staged(_confirmed(_near(first, nodes, similarity), sets, similarity), "links")
     label = components(linked)
 
-    at = met.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    at = staged(at, "labels")
-    tally = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
-    mixed = tally.groupBy("bucket").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", "main")
+    at = staged(at.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labels")
+    tally = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"), F.min("size").alias("size"))
+    mixed = (
+        tally.groupBy("bucket")
+        .agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.min("size").alias("least"))
+        .where("kinds > 1")
+        .select("bucket", "main", "least")
+    )
     inside = at.join(mixed, "bucket")
-    odd = inside.where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    others = inside.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    # a text that even the smallest set of the bucket is too large for meets no one
+    able = inside.where(_possible("size", "common", "least", "common", similarity))
+    odd = able.where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("common").alias("ux"))
+    others = able.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("common").alias("uy"))
     second = (
         odd.join(others, "bucket")
         .where("cx <> cy")
+        .where(_possible("sx", "ux", "sy", "uy", similarity))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
