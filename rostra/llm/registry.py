@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import decontaminate, html_model, licenses, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
+from rostra.llm import ann, decontaminate, html_model, licenses, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
 from rostra.llm.common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.groups(table(spark, sf_dir, "documents", "doc_id", "text"), n=4)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_html, op4_line_dedup, op5_lm_scoring, op6_licenses, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_html, op4_line_dedup, op5_lm_scoring, op6_licenses, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
