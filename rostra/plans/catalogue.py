@@ -1,13 +1,493 @@
-"""Registered queries of the engine and the SQL that must give the same rows."""
+"""Registered queries of the engine and the SQL that must give the same rows.
+
+The driver's tables stand in for the engine's (see :mod:`rostra.plans.roles`). Every query
+runs over whole tables; limits stand only where a page is what is asked for.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rostra.constants import BILL_TYPES, STATES
+from rostra.functions import text as X
+from rostra.operators import entities, histogram, people, search, segments
+from rostra.operators import page as pages
+from rostra.plans import roles
+from rostra.sources import archive, documents
+from rostra.sources import people as people_source
+from rostra.streaming import ingest
+
+START, END = dt.date(2017, 2, 1), dt.date(2017, 3, 3)
+TERM, PHRASE, SECOND = "the", "of the", "src1"
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+_D = """d AS (SELECT doc_id AS crec_id, text AS content, source AS title, lang AS title_part,
+  DATE '2017-01-01' + CAST(doc_id % 90 AS INTEGER) AS date_issued FROM documents)"""
+_TOK = r"list_filter(regexp_split_to_array(lower(content), '[ \t\n\r\f]+'), lambda x: x <> '')"
+_ANA = r"regexp_extract_all(lower(content), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')"
+_HAS = f"list_contains({_ANA}, 'the')"
+_PHR = f"contains(' ' || array_to_string({_ANA}, ' ') || ' ', ' of the ')"
+_PERSON = "p AS (SELECT c_custkey AS bioguide_id, c_name AS official_full, c_mktsegment AS religion FROM customer)"
+_TERMS = """t AS (SELECT o_custkey AS bioguide_id, o_orderkey AS term_id, CAST(o_orderdate AS DATE) AS start_date,
+  CAST(o_orderdate AS DATE) + 365 AS end_date, o_orderstatus AS type, o_orderpriority AS party FROM orders)"""
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# -- histograms ------------------------------------------------------------------------
+
+
+@query(f"""WITH {_D} SELECT date_issued AS date, CAST(sum(len(list_filter(list_slice({_TOK}, 1, 4999), lambda x: x = 'the'))) AS BIGINT) AS count
+FROM d WHERE date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-03' AND {_HAS} GROUP BY 1""")
+def term_counts_by_day(spark, d) -> DataFrame:
+    return histogram.term_counts(roles.docs(spark, d), TERM, START, END)
+
+
+@query(f"""WITH {_D}, c AS (SELECT date_issued AS date, sum(len(list_filter(list_slice({_TOK}, 1, 4999), lambda x: x = 'the'))) AS n
+FROM d WHERE date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-05-01' AND {_HAS} GROUP BY 1),
+s AS (SELECT CAST(unnest(generate_series(DATE '2017-02-01', DATE '2017-05-01', INTERVAL 1 DAY)) AS DATE) AS date)
+SELECT s.date, CAST(coalesce(n, 0) AS BIGINT) AS count FROM s LEFT JOIN c USING (date)""")
+def term_counts_dense(spark, d) -> DataFrame:
+    return histogram.dense_term_counts(roles.docs(spark, d), TERM, START, dt.date(2017, 5, 1))
+
+
+@query(f"""WITH {_D} SELECT date_issued AS date, CAST(sum(len(list_filter({_TOK}, lambda x: x = 'the'))) AS BIGINT) AS count
+FROM d WHERE date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-03' AND {_HAS} GROUP BY 1""")
+def term_counts_uncapped(spark, d) -> DataFrame:
+    return histogram.term_counts(roles.docs(spark, d), TERM, START, END, limit=None)
+
+
+@query(rf"""WITH {_D}, a AS (SELECT date_issued AS date, '  ' || array_to_string({_ANA}, '   ') || '  ' AS w FROM d
+WHERE date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-03')
+SELECT date, CAST(sum((length(w) - length(replace(w, '  of   the  ', ''))) // 13) AS BIGINT) AS count FROM
+(SELECT date, replace(w, '   ', '    ') AS w FROM a WHERE contains(w, '  of   the  ')) z GROUP BY 1""".replace("'  of   the  ', ''))) // 13", "'  of    the  ', ''))) // 13"))
+def phrase_counts_by_day(spark, d) -> DataFrame:
+    return histogram.term_counts(roles.docs(spark, d), PHRASE, START, END, mode="intent")
+
+
+@query(f"""WITH {_D}, n AS (SELECT date_issued, len(list_filter(list_slice({_TOK}, 1, 4999), lambda x: x = 'the')) AS n FROM d WHERE {_HAS}),
+s AS (SELECT coalesce(sum(n) FILTER (date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-03'), 0) AS c,
+coalesce(sum(n) FILTER (date_issued BETWEEN DATE '2017-01-02' AND DATE '2017-02-01'), 0) AS p FROM n)
+SELECT CAST(c AS BIGINT) AS current_total, CAST(p AS BIGINT) AS previous_total, CAST(trunc(100 * ((c - p) / CAST(greatest(p, 1) AS DOUBLE))) AS INTEGER) AS delta FROM s""")
+def period_delta(spark, d) -> DataFrame:
+    return histogram.period_delta(roles.docs(spark, d), TERM, START, END)
+
+
+@query(f"""WITH {_D}, c AS (SELECT date_issued AS date, sum(len(list_filter(list_slice({_TOK}, 1, 4999), lambda x: x = 'the'))) AS n FROM d WHERE {_HAS} GROUP BY 1),
+s AS (SELECT 'current' AS period, CAST(unnest(generate_series(DATE '2017-02-01', DATE '2017-03-03', INTERVAL 1 DAY)) AS DATE) AS date
+UNION ALL SELECT 'previous', CAST(unnest(generate_series(DATE '2017-01-02', DATE '2017-02-01', INTERVAL 1 DAY)) AS DATE))
+SELECT period, s.date, CAST(coalesce(n, 0) AS BIGINT) AS count FROM s LEFT JOIN c USING (date)""")
+def period_breakdown(spark, d) -> DataFrame:
+    return histogram.period_breakdown(roles.docs(spark, d), TERM, START, END)
+
+
+# -- search ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_D} SELECT crec_id FROM d WHERE {_HAS}")
+def analyzed_term_docs(spark, d) -> DataFrame:
+    return roles.docs(spark, d).where(X.has_term("content", TERM)).select("crec_id")
+
+
+@query(f"WITH {_D} SELECT crec_id, date_issued FROM d WHERE {_PHR} AND date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-03'")
+def phrase_search(spark, d) -> DataFrame:
+    rows = histogram.in_range(roles.docs(spark, d), START, END)
+    return search.phrase_filter(rows, {"content": PHRASE}).select("crec_id", "date_issued")
+
+
+@query(f"WITH {_D} SELECT crec_id FROM d WHERE {_PHR} AND title = 'src1'")
+def search_two_fields_and(spark, d) -> DataFrame:
+    return search.phrase_filter(roles.docs(spark, d), {"content": PHRASE, "title": SECOND, "page": "ignored"}).select("crec_id")
+
+
+_BM25 = rf"""WITH {_D}, w AS (SELECT crec_id, date_issued, {_ANA} AS a FROM d),
+s AS (SELECT count(*) AS n, avg(len(a)) AS m, count(*) FILTER (list_contains(a, 'of')) AS d1, count(*) FILTER (list_contains(a, 'the')) AS d2 FROM w),
+f AS (SELECT crec_id, len(a) AS dl, len(list_filter(range(1, len(a)), lambda i: a[i] = 'of' AND a[i + 1] = 'the')) AS tf FROM w
+WHERE date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-03'),
+r AS (SELECT crec_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m)), 6) AS score
+FROM f, s WHERE tf > 0)
+SELECT crec_id, score FROM r ORDER BY score DESC, crec_id LIMIT 10 OFFSET """
+
+
+def _ranked(spark, d, offset: int) -> DataFrame:
+    rows = search.bm25(roles.docs(spark, d), PHRASE)
+    hits = search.phrase_filter(histogram.in_range(rows, START, END), {"content": PHRASE})
+    return search.page(hits.select("crec_id", F.round("score", 6).alias("score")), 10, offset)
+
+
+@query(_BM25 + "0")
+def bm25_topk(spark, d) -> DataFrame:
+    return _ranked(spark, d, 0)
+
+
+@query(_BM25 + "10")
+def page_two_offset(spark, d) -> DataFrame:
+    return _ranked(spark, d, 10)
+
+
+@query(rf"""WITH {_D} SELECT term, CAST(count(DISTINCT crec_id) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS places
+FROM (SELECT crec_id, unnest({_ANA}) AS term FROM d) GROUP BY term""")
+def postings_summary(spark, d) -> DataFrame:
+    p = search.postings(roles.docs(spark, d))
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").cast("long").alias("places"))
+
+
+@query(f"WITH {_D} SELECT crec_id, CAST((length(content) - length(replace(lower(content), 'of the', ''))) // 6 AS INTEGER) AS mentions FROM d")
+def mentions(spark, d) -> DataFrame:
+    return roles.docs(spark, d).select("crec_id", X.mentions("content", PHRASE).alias("mentions"))
+
+
+_SNIP = """CASE WHEN p > 1 THEN substring(content, greatest(1, p - 100), least(length(content), p - 1 + 200) - greatest(0, p - 1 - 100)) END"""
+
+
+@query(f"WITH {_D}, s AS (SELECT crec_id, content, instr(lower(content), 'of the') AS p FROM d) SELECT crec_id, {_SNIP} AS snippet FROM s")
+def snippet(spark, d) -> DataFrame:
+    return roles.docs(spark, d).select("crec_id", X.snippet("content", PHRASE).alias("snippet"))
+
+
+@query("SELECT event_id, strftime(ts, '%b %d, %Y') AS human_date FROM events")
+def human_date(spark, d) -> DataFrame:
+    return roles.read(spark, d, "events").select("event_id", X.human_date("ts").alias("human_date"))
+
+
+@query(f"""WITH {_D}, s AS (SELECT *, instr(lower(content), 'of the') AS p FROM d WHERE {_PHR})
+SELECT crec_id AS id, strftime(date_issued, '%b %d, %Y') AS "displayDate", CAST((length(content) - length(replace(lower(content), 'of the', ''))) // 6 AS INTEGER) AS "mentionCount",
+title, CAST(NULL AS VARCHAR) AS "docUrl", {_SNIP} AS snippet FROM s""")
+def list_items(spark, d) -> DataFrame:
+    rows = search.phrase_filter(roles.docs(spark, d).withColumn("html_url", F.lit(None).cast("string")), {"content": PHRASE})
+    return pages.list_items(pages.enriched(rows, PHRASE))
+
+
+@query(f"""WITH {_D}, {_TERMS}, n AS (SELECT crec_id, pos, CASE pos WHEN 0 THEN 'Customer#' || lpad(CAST(crec_id % 150 AS VARCHAR), 9, '0') ELSE 'Customer#' || lpad(CAST(crec_id * 7 % 150 AS VARCHAR), 9, '0') END AS name
+FROM d, (VALUES (0), (2)) v(pos)),
+one AS (SELECT c_name AS name, min(c_custkey) AS id FROM customer GROUP BY 1),
+l AS (SELECT bioguide_id, arg_max(party, (start_date, end_date)) AS party FROM (SELECT bioguide_id, start_date, end_date, max(party) AS party FROM t GROUP BY ALL) GROUP BY 1),
+m AS (SELECT crec_id, pos, 'https://www.congress.gov/member/' || lower(name) || '/' || id || '|' || coalesce(party, '') AS x FROM n JOIN one USING (name) LEFT JOIN l ON l.bioguide_id = id)
+SELECT crec_id, coalesce(string_agg(x, ';' ORDER BY pos), '') AS matched FROM d LEFT JOIN m USING (crec_id) GROUP BY crec_id""")
+def top_mentions_speakers(spark, d) -> DataFrame:
+    held = roles.terms(spark, d).groupBy("bioguide_id", "start_date", "end_date").agg(F.max("party").alias("party"))
+    out = people.match_speakers(roles.docs(spark, d), roles.people(spark, d), held)
+    flat = F.array_join(F.transform("matched", lambda m: F.concat(m["bio_page_url"], F.lit("|"), F.coalesce(m["party"], F.lit("")))), ";")
+    return out.select("crec_id", flat.alias("matched"))
+
+
+# -- people --------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PERSON}, {_TERMS} SELECT p.bioguide_id, official_full FROM p JOIN t USING (bioguide_id) WHERE DATE '1998-06-01' BETWEEN start_date AND end_date")
+def people_current(spark, d) -> DataFrame:
+    return people.current(roles.people(spark, d), roles.terms(spark, d), roles.AS_OF).select("bioguide_id", "official_full")
+
+
+@query(f"WITH {_PERSON}, {_TERMS} SELECT p.bioguide_id, official_full FROM p JOIN t a USING (bioguide_id) JOIN t b USING (bioguide_id) WHERE a.type = 'O' AND b.party = '1-URGENT' AND religion = 'BUILDING'")
+def people_chained_join(spark, d) -> DataFrame:
+    tests = [F.col("type") == "O", F.col("party") == "1-URGENT"]
+    rows = people.by_terms(roles.people(spark, d), roles.terms(spark, d), tests)
+    return people.filter_people(rows, religion="BUILDING", official_full=None).select("bioguide_id", "official_full")
+
+
+@query(f"WITH {_PERSON}, {_TERMS} SELECT bioguide_id, official_full FROM p WHERE EXISTS (SELECT 1 FROM t WHERE t.bioguide_id = p.bioguide_id AND type = 'O' AND party = '1-URGENT')")
+def people_semi(spark, d) -> DataFrame:
+    tests = [F.col("type") == "O", F.col("party") == "1-URGENT"]
+    return people.by_terms(roles.people(spark, d), roles.terms(spark, d), tests, mode="intent").select("bioguide_id", "official_full")
+
+
+@query(f"""WITH {_PERSON}, {_TERMS}, ts AS (SELECT bioguide_id, string_agg(CAST(start_date AS VARCHAR) || ':' || type || ':' || term_id, ';' ORDER BY start_date, type, term_id) AS terms FROM t GROUP BY 1),
+es AS (SELECT s_nationkey, string_agg('supplier:' || s_suppkey, ';' ORDER BY CAST(s_suppkey AS VARCHAR)) AS ids FROM supplier GROUP BY 1)
+SELECT p.bioguide_id, coalesce(terms, '') AS terms, coalesce(ids, '') AS external_ids FROM p LEFT JOIN ts USING (bioguide_id) LEFT JOIN es ON s_nationkey = p.bioguide_id""")
+def person_nested(spark, d) -> DataFrame:
+    s = roles.read(spark, d, "supplier")
+    ids = s.select(F.col("s_nationkey").cast("long").alias("bioguide_id"), F.lit("supplier").alias("type"), F.col("s_suppkey").cast("string").alias("value"))
+    ts = roles.terms(spark, d)
+    out = people.nested(roles.people(spark, d), ts, ids, term_columns=("type", "term_id"))
+    one = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["start_date"].cast("string"), t["type"], t["term_id"].cast("string"))), ";")
+    return out.select("bioguide_id", one.alias("terms"), F.array_join(F.transform("external_ids", lambda e: F.concat_ws(":", e["type"], e["value"])), ";").alias("external_ids"))
+
+
+@query(f"WITH {_TERMS} SELECT bioguide_id, start_date, type, party FROM t QUALIFY row_number() OVER (PARTITION BY bioguide_id ORDER BY start_date DESC, term_id DESC) = 1")
+def person_latest_term(spark, d) -> DataFrame:
+    return people.latest_term(roles.terms(spark, d), order=("start_date", "term_id")).select("bioguide_id", "start_date", "type", "party")
+
+
+@query(f"""WITH {_TERMS}, e AS (SELECT event_id, user_id AS bioguide_id, CAST(ts AS DATE) - 9500 + CAST(event_id % 1500 AS INTEGER) AS day FROM events)
+SELECT event_id, term_id FROM e LEFT JOIN t ON t.bioguide_id = e.bioguide_id AND day BETWEEN start_date AND end_date
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY start_date DESC, end_date DESC, term_id DESC) = 1""")
+def party_at_speech(spark, d) -> DataFrame:
+    e = roles.read(spark, d, "events").select("event_id", F.col("user_id").alias("bioguide_id"), F.date_add(F.date_sub(F.to_date("ts"), 9500), F.pmod("event_id", F.lit(1500)).cast("int")).alias("day"))
+    one = roles.terms(spark, d).groupBy("bioguide_id", "start_date", "end_date").agg(F.max("term_id").alias("term_id"))
+    return people.term_at(e, one, day="day").select("event_id", "term_id")
+
+
+@query(f"""WITH {_PERSON} SELECT bioguide_id, 'https://theunitedstates.io/images/congress/450x550/' || bioguide_id || '.jpg' AS image_lg,
+'https://theunitedstates.io/images/congress/225x275/' || bioguide_id || '.jpg' AS image_sm, 'https://www.congress.gov/member/' || lower(official_full) || '/' || bioguide_id AS bio_page_url FROM p""")
+def person_urls(spark, d) -> DataFrame:
+    return people.with_urls(roles.people(spark, d)).select("bioguide_id", "image_lg", "image_sm", "bio_page_url")
+
+
+@query(f"WITH {_PERSON} SELECT bioguide_id, official_full FROM p WHERE bioguide_id = (SELECT min(s_nationkey) FROM supplier WHERE s_name = 'Supplier#000000007')")
+def external_id_lookup(spark, d) -> DataFrame:
+    ids = roles.read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("bioguide_id"), F.lit("name").alias("type"), F.col("s_name").alias("value"))
+    return people.by_external_id(roles.people(spark, d), ids, "Supplier#000000007", "name").select("bioguide_id", "official_full")
+
+
+def _nations(spark, d) -> DataFrame:
+    return roles.read(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("short"), F.col("n_name").alias("name"))
+
+
+@query("SELECT c_custkey AS bioguide_id, n_name AS state_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey <> 3")
+def state_lookup(spark, d) -> DataFrame:
+    return people.with_state(roles.people(spark, d), _nations(spark, d), "nation").select("bioguide_id", "state_name")
+
+
+@query("SELECT c_custkey AS bioguide_id, c_nationkey AS nation FROM customer WHERE c_nationkey = 3")
+def state_orphans(spark, d) -> DataFrame:
+    return people.unknown_states(roles.people(spark, d), _nations(spark, d), "nation").select("bioguide_id", "nation")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def term_upsert_keep_last(spark, d) -> DataFrame:
+    return people.keep_last(roles.read(spark, d, "orders"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS party, max(o_orderkey) AS seq FROM orders GROUP BY 1""")
+def upsert_columns(spark, d) -> DataFrame:
+    o = roles.read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("party"))
+    half = F.col("seq") % 2 == 0
+    # even keys are the old table, shifted below the new one's
+    old, new = o.where(half).withColumn("at", F.col("seq")), o.where(~half).withColumn("at", F.col("seq"))
+    both = people.upsert(old.limit(0), old.unionByName(new), ["o_custkey"], "at")
+    return both.select("o_custkey", "party", "seq")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def delete_cascade(spark, d) -> DataFrame:
+    gone = roles.read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return people.delete_keys(roles.read(spark, d, "orders"), gone, ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT 1 AS seq, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 2, s_suppkey, s_name FROM supplier")
+def union_sources(spark, d) -> DataFrame:
+    c = roles.read(spark, d, "customer").select(F.lit(1).alias("seq"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    s = roles.read(spark, d, "supplier").select(F.lit(2).alias("seq"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return c.unionByName(s)
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'democrat' WHEN 'F' THEN 'republican' ELSE 'independent' END AS colour FROM orders")
+def party_colours(spark, d) -> DataFrame:
+    o = roles.read(spark, d, "orders").withColumn("party", F.expr("CASE o_orderstatus WHEN 'O' THEN 'Democrat' WHEN 'F' THEN 'Republican' ELSE o_orderstatus END"))
+    return o.select("o_orderkey", people.party_colour("party").alias("colour"))
+
+
+# -- text --------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, regexp_replace(html, '<[^<]+?>', '', 'g') AS body FROM pages")
+def strip_tags(spark, d) -> DataFrame:
+    return roles.read(spark, d, "pages").select("page_id", X.strip_tags("html").alias("body"))
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_title(spark, d) -> DataFrame:
+    return roles.read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+def _cleanup_sql(column: str) -> str:
+    strip = lambda s: rf"regexp_replace({s}, '^\s+|\s+$', '', 'g')"
+    for pattern, to, ends in X.CLEANUP:
+        to = to.replace("\n", "' || chr(10) || '")
+        column = f"regexp_replace({column}, '{pattern.replace('(?U)', '')}', '{to}', 'g')"
+        column = strip(column) if ends else column
+    return column
+
+
+@query(f"SELECT page_id, {_cleanup_sql('html')} AS body FROM pages")
+def preprocess_chain(spark, d) -> DataFrame:
+    return roles.read(spark, d, "pages").select("page_id", X.clean("html", heading=False).alias("body"))
+
+
+@query(r"""WITH h AS (SELECT page_id, html, regexp_extract(html, '(?s)^(.*?)[A-Z!"#$%&''()*+,\-./:;<=>?@\[\]\^_`{|}~ ]{10,}', 1) AS before,
+regexp_matches(html, '[A-Z!"#$%&''()*+,\-./:;<=>?@\[\]\^_`{|}~ ]{10,}') AS m FROM pages)
+SELECT page_id, CASE WHEN m THEN substring(html, length(before) + 1) END AS body FROM h""")
+def from_heading(spark, d) -> DataFrame:
+    return roles.read(spark, d, "pages").select("page_id", X.from_heading("html").alias("body"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(source || ' ' || upper(lang) || ' mc' || lang || '''s Ab-cD', '\s+'), lambda x: x <> ''),
+lambda w: CASE WHEN upper(w) = w AND lower(w) <> w THEN w ELSE array_to_string(list_transform(regexp_extract_all(w, '[\p{L}]+|[^\p{L}]+'), lambda r: upper(r[1:1]) || lower(r[2:])), '') END), ' ') AS name FROM documents""")
+def camel_case(spark, d) -> DataFrame:
+    text = F.concat_ws(" ", "source", F.upper("lang"), F.concat(F.lit("mc"), F.col("lang"), F.lit("'s Ab-cD")))
+    return roles.read(spark, d, "documents").select("doc_id", X.camel_case(text).alias("name"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '-', ' '), '  ', ' '), '^\s+|\s+$', '', 'g'), '^[-!"#$%&''()*+,./:;<=>?@\[\\\]\^_`{|}~ ]+', ''),
+'[-!"#$%&''()*+,/:;<=>?@\[\\\]\^_`{|}~]+', '', 'g') AS body FROM documents""")
+def remove_punct(spark, d) -> DataFrame:
+    from rostra.constants import LEADING_MARKS
+
+    return roles.read(spark, d, "documents").select("doc_id", X.remove_punct("text", leading=LEADING_MARKS).alias("body"))
+
+
+# -- documents and archives -----------------------------------------------------------------
+
+
+_IDS = "CASE doc_id % 4 WHEN 0 THEN 'id-CREC-2017-01-20-pt1-PgD' || doc_id WHEN 1 THEN 'id-CREC-2017-01-20-pt1-PgD' || doc_id || '-2' WHEN 2 THEN 'id-CREC-2017-01-20-FrontMatter' ELSE 'id-CREC-2017-01-20-pt1-PgS' || doc_id END"
+
+
+@query(f"WITH i AS (SELECT doc_id, lang, {_IDS} AS id FROM documents) SELECT doc_id, (doc_id % 4 <> 3 OR lang = 'fr') AS skip, trim(id, 'id-') || '.htm' AS body_name FROM i")
+def skip_filter(spark, d) -> DataFrame:
+    r = roles.read(spark, d, "documents").withColumn("id", F.expr(_IDS))
+    part = F.when(F.col("lang") == "fr", "Daily Digest/Index").otherwise(F.col("lang"))
+    return r.select("doc_id", documents.skippable("id", part).alias("skip"), documents.body_name("id").alias("body_name"))
+
+
+@query("SELECT doc_id, 'crec/' || strftime(DATE '2017-01-01' + CAST(doc_id % 90 AS INTEGER), '%Y/%m/%d') || '/f' || doc_id || '.htm' AS key, 'CREC-' || strftime(DATE '2017-01-01' + CAST(doc_id % 90 AS INTEGER), '%Y-%m-%d') || '.zip' AS archive FROM documents")
+def partition_key(spark, d) -> DataFrame:
+    day = F.date_add(F.lit(dt.date(2017, 1, 1)), F.pmod("doc_id", F.lit(90)).cast("int"))
+    name = F.concat(F.lit("a/b/f"), F.col("doc_id"), F.lit(".htm"))
+    return roles.read(spark, d, "documents").select("doc_id", archive.staged_key(name, day).alias("key"), archive.archive_name(day).alias("archive"))
+
+
+@query("SELECT page_id, (url LIKE '%htm' OR url LIKE '%mods.xml') AS relevant FROM pages")
+def member_filter(spark, d) -> DataFrame:
+    return roles.read(spark, d, "pages").select("page_id", archive.relevant("url").alias("relevant"))
+
+
+@query("SELECT CAST(unnest(generate_series(DATE '2017-01-30', DATE '2017-02-02', INTERVAL 1 DAY)) AS DATE) AS date")
+def scrape_days(spark, d) -> DataFrame:
+    return archive.days(spark, "2017-01-30", "2017-02-03")
+
+
+@query("SELECT CAST(ts AS DATE) AS date, CAST(count(*) FILTER (event_type LIKE '%k') AS INTEGER) AS num_files, count(*) AS n FROM events GROUP BY 1")
+def audit_counts(spark, d) -> DataFrame:
+    e = roles.read(spark, d, "events")
+    return e.groupBy(F.to_date("ts").alias("date")).agg(F.count_if(F.endswith("event_type", F.lit("k"))).cast("int").alias("num_files"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_events(spark, d) -> DataFrame:
+    return ingest.daily_counts(roles.read(spark, d, "events"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_extract(spark, d) -> DataFrame:
+    return roles.read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in STATES.items()) + ") s(short, name)")
+def states(spark, d) -> DataFrame:
+    return people_source.states(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in BILL_TYPES.items()) + ") s(code, label)")
+def bill_types(spark, d) -> DataFrame:
+    return people_source.bill_types(spark)
+
+
+# -- segments --------------------------------------------------------------------------------
+
+
+def _turns(spark, d) -> DataFrame:
+    c = roles.read(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("crec_id"), F.col("turn").alias("pos"), F.col("text").alias("sentence"), F.when(F.col("role") != "user", F.col("role")).alias("hit"))
+
+
+_SEG = """WITH c AS (SELECT conv_id, turn, text, last_value(CASE WHEN role <> 'user' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS sp FROM conversations),
+g AS (SELECT *, CASE WHEN lag(sp) OVER w IS DISTINCT FROM sp OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS f FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+n AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn) AS number FROM g),
+s AS (SELECT conv_id AS crec_id, CAST(number AS BIGINT) AS number, any_value(sp) AS speaker, string_agg(text, ' ' ORDER BY turn) AS text FROM n GROUP BY 1, 2) """
+
+
+@query(_SEG + "SELECT crec_id, number, speaker, text FROM s")
+def speaker_segments(spark, d) -> DataFrame:
+    return segments.segments(_turns(spark, d))
+
+
+@query(_SEG + "SELECT crec_id || '-' || number AS id, CASE speaker WHEN 'system' THEN 'S000001' END AS bioguide_id FROM s")
+def segment_lookup(spark, d) -> DataFrame:
+    known = F.create_map(F.lit("system"), F.lit("S000001"))
+    found = segments.segments(_turns(spark, d))
+    return found.select(F.concat_ws("-", "crec_id", "number").alias("id"), F.try_element_at(known, F.coalesce("speaker", F.lit(""))).alias("bioguide_id"))
+
+
+_NAMES = ["tion", "the", "que", "eneux", "sch"]
+
+
+@query("SELECT conv_id, turn, list_filter(['tion', 'the', 'que', 'eneux', 'sch'], lambda c: contains(text, c))[1] AS hit FROM conversations")
+def generic_speaker_match(spark, d) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in _NAMES])
+    return roles.read(spark, d, "conversations").select("conv_id", "turn", segments.first_contained(F.col("text"), names).alias("hit"))
+
+
+@query()
+def fuzzy_best_match(spark, d) -> DataFrame:
+    s = roles.read(spark, d, "supplier").select("s_suppkey", F.regexp_replace("s_name", "0", "O").alias("name"), F.array(F.lit("SupplierOOOOOOO1"), F.col("s_name"), F.lit("Supplier#OOOOOOOO7")).alias("options"))
+    return segments.fuzzy_match(s, "name", "options", "best").select("s_suppkey", "name", "best")
+
+
+# -- entities --------------------------------------------------------------------------------
+
+
+def _mentions(spark, d) -> DataFrame:
+    e = roles.read(spark, d, "events")
+    return e.select(F.col("user_id").alias("crec_id"), F.col("event_id").alias("pos"), F.concat(F.lit("Entity "), F.pmod("event_id", F.lit(7)).cast("string")).alias("entity"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("label"))
+
+
+_ENT = """WITH m AS (SELECT user_id AS crec_id, event_id AS pos, 'Entity ' || (event_id % 7) AS entity, CASE WHEN event_type <> 'view' THEN event_type END AS label FROM events),
+c AS (SELECT crec_id, entity, label, count(*) AS n, min(pos) AS first FROM m WHERE label IS NOT NULL GROUP BY ALL),
+t AS (SELECT crec_id, entity, label FROM c QUALIFY row_number() OVER (PARTITION BY crec_id, entity ORDER BY n DESC, first) = 1),
+k AS (SELECT crec_id, entity, count(*) AS n FROM m GROUP BY ALL), y AS (SELECT k.*, coalesce(label, '') AS type FROM k LEFT JOIN t USING (crec_id, entity)) """
+
+
+@query(_ENT + "SELECT crec_id, entity, type FROM y")
+def entity_mode(spark, d) -> DataFrame:
+    return entities.entity_types(_mentions(spark, d))
+
+
+@query(_ENT + "SELECT crec_id, type, entity, n FROM y")
+def entity_counts_by_type(spark, d) -> DataFrame:
+    return entities.entity_counts(_mentions(spark, d)).select("crec_id", "type", "entity", "n")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS chunk FROM conversations WHERE role = 'assistant'),
+u AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS chunk FROM conversations WHERE role <> 'assistant')
+SELECT conv_id, count(*) AS n FROM (SELECT * FROM w EXCEPT SELECT * FROM u) GROUP BY 1""")
+def noun_minus_entity(spark, d) -> DataFrame:
+    c = roles.read(spark, d, "conversations")
+    of = lambda test: F.flatten(F.collect_list(F.when(test, F.split(F.lower("text"), r"\s+"))))
+    sets = c.groupBy("conv_id").agg(F.array_except(of(F.col("role") == "assistant"), of(F.col("role") != "assistant")).alias("left"))
+    return sets.where(F.size("left") > 0).select("conv_id", F.size("left").cast("long").alias("n"))
+
+
+@query()
+def annotated_entities(spark, d) -> DataFrame:
+    rows = entities.entity_rows(entities.annotate(roles.docs(spark, d)))
+    return entities.entity_counts(rows)
+
+
+@query("SELECT c_nationkey AS nation, c_custkey AS id, c_acctbal AS balance FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1")
+def top_one(spark, d) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")
+    c = roles.read(spark, d, "customer").withColumn("k", F.row_number().over(w)).where("k = 1")
+    return c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
