@@ -205,13 +205,15 @@ def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: boo
     )
     inside = at.join(mixed, "bucket")
     # a text that even the smallest set of the bucket is too large for meets no one
-    able = inside.where(_possible("size", "common", "least", "common", similarity))
-    odd = able.where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("common").alias("ux"))
-    others = able.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("common").alias("uy"))
+    able = inside.where(_possible("size", "common", "least", "common", similarity)).join(nodes.select("doc_id", "bands"), "doc_id")
+    odd = able.where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("common").alias("ux"), F.col("bands").alias("bx"))
+    others = able.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("common").alias("uy"), F.col("bands").alias("by"))
     second = (
         odd.join(others, "bucket")
         .where("cx <> cy")
         .where(_possible("sx", "ux", "sy", "uy", similarity))
+        # only in the first band that both have, so that a pair is listed once
+        .where("bucket = element_at(filter(bx, (k, i) -> k = by[i]), 1)")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
