@@ -60,7 +60,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     rows = files.select("path", "content").mapInArrow(expand, "path string, member string, content binary")
-    day = F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.zip$", 1), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.zip$", 1), "yyyy-MM-dd")
     return rows.select("path", day.alias("date"), "member", "content")
 
 
