@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from rostra.llm.common import as_long, gram_hashes, staged, text_bytes, word_hashes
 
-WINDOW, PHRASE = 20, 6
+WINDOW, PHRASE = 20, 10
 #: Words of text whose phrases share one automaton.
 SHARD_WORDS = 500_000
 
