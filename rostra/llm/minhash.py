@@ -153,16 +153,21 @@ def _possible(size: str, common: str, other_size: str, other_common: str, simila
     return most * (100 + similarity) >= (F.col(size) + F.col(other_size)) * similarity
 
 
-def _bounds(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _bounds(nodes: DataFrame, sets: DataFrame, similarity: int, rounds: int = 2) -> DataFrame:
     """doc_id, size and common (shingles that another of the texts has too) of the texts that can have a link.
 
-    A link needs a share of at least ``similarity`` of either set in common.
+    A link needs a share of at least ``similarity`` of either set in common. Texts without
+    it can be no one's partner, so the next round counts without them.
     """
-    one = sets.select("doc_id", F.explode("shingles").alias("shingle"))
-    twice = staged(one.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "shared")
-    common = one.join(twice, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
     size = nodes.groupBy("doc_id").agg(F.min("n_shingles").alias("size"))
-    return common.join(size, "doc_id").where(F.col("common") * 100 >= F.col("size") * similarity)
+    left = sets
+    for _ in range(rounds):
+        one = left.select("doc_id", F.explode("shingles").alias("shingle"))
+        twice = staged(one.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "shared")
+        common = one.join(twice, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
+        able = staged(common.join(size, "doc_id").where(F.col("common") * 100 >= F.col("size") * similarity), "able")
+        left = sets.join(able.select("doc_id"), "doc_id", "left_semi")
+    return able
 
 
 def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: bool = True) -> DataFrame:
