@@ -68,8 +68,8 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.unionByName(exact)
 
 
-def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed``."""
+def _stripped(docs: DataFrame, site: str, min_sites: int, max_share: float) -> DataFrame:
+    """(row, lines, kept, text): each row whole, its lines, those that stay, and the text they make."""
     # a table of its own, so that Spark can split the join on a hot line
     common = staged(boilerplate(docs, site, min_sites).select("line_hash"), "boilerplate")
     marked = (
@@ -77,20 +77,37 @@ def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         .select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_key(x))))).alias("line_hash"))
         .join(common, "line_hash")
         .groupBy("doc_id")
-        .agg(F.collect_set("line_hash").alias("_marked"))
+        .agg(F.collect_set("line_hash").alias("marked"))
     )
-    both = docs.drop("n_lines", "n_removed", "_marked").join(marked, "doc_id", "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("_marked").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_marked"), F.xxhash64(_key(x)))))
-    both = both.withColumn("_kept", kept).withColumn("_text", F.array_join("_kept", "\n"))
-    whole = F.length("_text") < F.length("text") * (1 - max_share)
-    return both.select(
-        *[F.when(whole, F.col("text")).otherwise(F.col("_text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(whole, F.lit(0)).otherwise(F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0))).cast("long").alias("n_removed"),
+    # the input's columns stay inside one struct, where their names meet no others
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.split("text", "\n").alias("lines"))
+    both = rows.join(marked, "doc_id", "left")
+    left = F.filter("lines", lambda x: ~F.array_contains(F.col("marked"), F.xxhash64(_key(x))))
+    both = both.withColumn("left", F.when(F.col("marked").isNull(), F.col("lines")).otherwise(left))
+    text = F.col("row")["text"]
+    copy = F.length(F.array_join("left", "\n")) < F.length(text) * (1 - max_share)
+    return both.select("row", "lines", F.when(copy, F.col("lines")).otherwise(F.col("left")).alias("kept")).withColumn("text", F.array_join("kept", "\n"))
+
+
+def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+    """doc_id, the text without boilerplate lines, and how many lines it had and lost."""
+    return _stripped(docs, site, min_sites, max_share).select(
+        F.col("row")["doc_id"].alias("doc_id"),
+        "text",
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+    """``docs``, all columns, without boilerplate lines; ``n_chars``, if there, follows the text."""
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    out = _stripped(docs, site, min_sites, max_share)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS site, text,

@@ -179,17 +179,22 @@ def train(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS, seed: in
     return fit(x, np.array([q for _, q, _ in seen], float), seed=seed)
 
 
+def _scores(model: Model, text: pa.Array) -> np.ndarray:
+    """Scores of a column of texts, 256 bags at a time."""
+    s = np.empty(len(text))
+    for lo in range(0, len(s), 256):
+        s[lo : lo + 256] = model.score([encode(t) for t in text[lo : lo + 256].to_pylist()])
+    return s
+
+
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """The input's columns with ``score`` and ``predicted``; one pass, no shuffle."""
+    """The input's other columns with ``score`` and ``predicted``; one pass, no shuffle."""
     schema = docs.drop("score", "predicted").schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            s, text = np.empty(batch.num_rows), batch.column("text")
-            for lo in range(0, len(s), 256):
-                s[lo : lo + 256] = m.score([encode(t) for t in text[lo : lo + 256].to_pylist()])
+            s = _scores(shared.value, batch.column("text"))
             more = [pa.array(s), pa.array((s >= keep).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "score", "predicted"])
 
@@ -205,4 +210,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS, keep:
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
-    return score(docs, train(docs, labels, max_bags), keep).where("predicted = 1").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_bags))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch.column("text")) >= keep))
+
+    return docs.mapInArrow(kept, docs.schema)

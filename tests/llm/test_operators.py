@@ -152,6 +152,10 @@ def test_line_dedup_equals_brute_force(spark, corpus):
     want = brute_lines(corpus, least=4)
     assert any(w[3] for w in want)
     key = lambda r: tuple(map(str, r))
+    df = clashing(made(spark, corpus))
+    whole = line_dedup.clean(df, min_sites=4)
+    assert whole.columns == df.columns and {r["_marked"] for r in whole.collect()} == {"x"}
+    assert sorted(((r["doc_id"], r["text"]) for r in whole.collect()), key=key) == sorted((w[:2] for w in want), key=key)
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
@@ -345,7 +349,7 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
     df = clashing(made(spark, rows))
     kept = quality_mil.keep_good(df, known)
-    assert kept.columns == df.columns and 290 <= kept.count() <= 310
+    assert kept.columns == df.columns and 290 <= kept.count() <= 310 and {r["score"] for r in kept.collect()} == {"x"}
 
 
 def test_quality_without_labels_keeps_all(spark, corpus):
