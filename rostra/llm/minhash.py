@@ -12,8 +12,10 @@ similarity of a text, or of a pair, before it is compared; texts and pairs that
 reach the threshold go. In a first round every text of a bucket meets only the most
 central one, which has the least share of such shingles; confirmed links give components.
 In a second round the texts of a bucket that are not in the component most of the bucket
-is in meet all texts of other components there. Pairs that share a bucket are thus
-linked, known to be connected, compared, or below the threshold for certain.
+is in meet all texts of other components there, unless what either shares with the
+bucket's head, and what else it has in common with anyone, bounds the pair below the
+threshold. Pairs that share a bucket are thus linked, known to be connected, compared, or
+too far apart for certain.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a
 text of fewer than n words is one shingle; a null doc_id takes no part and has a null
@@ -134,6 +136,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(shared * 100 >= total * similarity).select("a", "b")
 
 
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (head, doc_id) with ``inside``, the number of shingles that both have."""
+    left = pairs.join(sets.select("doc_id", F.col("shingles").alias("sb")), "doc_id")
+    both = left.join(sets.select(F.col("doc_id").alias("head"), F.col("shingles").alias("sa")), "head")
+    return both.groupBy("head", "doc_id").agg(F.max(F.size(F.array_intersect("sa", "sb"))).cast("long").alias("inside"))
+
+
 def _near(pairs: DataFrame, signed: DataFrame, similarity: int) -> DataFrame:
     """Of pairs (a, b), those whose estimate is not five standard errors under the threshold."""
     s = similarity / 100
@@ -200,7 +209,8 @@ def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: boo
     linked = staged(_confirmed(_near(first, nodes, similarity), sets, similarity), "links")
     label = components(linked)
 
-    at = staged(at.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labels")
+    at = at.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    at = staged(at.join(heads.select("bucket", F.col("head.doc_id").alias("head")), "bucket"), "labels")
     tally = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"), F.min("size").alias("size"))
     mixed = (
         tally.groupBy("bucket")
@@ -208,18 +218,21 @@ def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: boo
         .where("kinds > 1")
         .select("bucket", "main", "least")
     )
-    inside = at.join(mixed, "bucket")
     # a text that even the smallest set of the bucket is too large for meets no one
-    able = inside.where(_possible("size", "common", "least", "common", similarity)).join(nodes.select("doc_id", "bands"), "doc_id")
-    odd = able.where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("common").alias("ux"), F.col("bands").alias("bx"))
-    others = able.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("common").alias("uy"), F.col("bands").alias("by"))
+    able = staged(at.join(mixed, "bucket").where(_possible("size", "common", "least", "common", similarity)), "able")
+    inside = staged(_measured(able.where("doc_id <> head").select("head", "doc_id").distinct(), sets), "inside")
+    able = able.join(inside, ["head", "doc_id"], "left").withColumn("inside", F.coalesce("inside", "size")).join(nodes.select("doc_id", "bands"), "doc_id")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "size", "common", "inside", "bands")]
+    # two texts share at most what both share with the head, and of the rest what others have too
+    most = F.least("inside_x", "inside_y") + F.least(F.col("common_x") - F.col("inside_x"), F.col("common_y") - F.col("inside_y"))
     second = (
-        odd.join(others, "bucket")
-        .where("cx <> cy")
-        .where(_possible("sx", "ux", "sy", "uy", similarity))
+        able.where("component <> main").select("bucket", *side("x"))
+        .join(able.select("bucket", *side("y")), "bucket")
+        .where("component_x <> component_y")
+        .where(most * (100 + similarity) >= (F.col("size_x") + F.col("size_y")) * similarity)
         # only in the first band that both have, so that a pair is listed once
-        .where("bucket = element_at(filter(bx, (k, i) -> k = by[i]), 1)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .where("bucket = element_at(filter(bands_x, (k, i) -> k = bands_y[i]), 1)")
+        .select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
