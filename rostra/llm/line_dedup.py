@@ -7,6 +7,11 @@ is copied to many sites is not boilerplate: of the documents with the same finge
 counts the smallest site only, and a document that would lose more than ``max_share``
 of its characters is left whole, for near-duplicate removal to judge.
 
+That rule is what the SQL of ``op4_line_dedup`` states. It counts too few sites where a
+line holds the fingerprint of its texts. Given ``counted``, the rows without proven copies,
+``clean`` counts every distinct site of those rows instead and knows no fingerprints; the
+pipeline does so, with what near-duplicate removal would keep.
+
 Lines are cut at line feeds and compared without leading and trailing blanks, tabs and
 carriage returns; blank lines stay. Hot lines shrink to one row for each task and
 fingerprint before the shuffle, so a line in a third of all rows does no harm.
@@ -49,6 +54,23 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         .groupBy(F.xxhash64("line").alias("line_hash"), "family")
         .agg(F.min("site").alias("site"))
     )
+    return _spread(seen, min_sites, lg_k)
+
+
+def carried(counted: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = 12) -> DataFrame:
+    """The same of every distinct site of every row of ``counted``, in which no copies are."""
+    seen = (
+        counted.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
+        .select("site", _key(F.col("line")).alias("line"))
+        .where("line <> ''")
+        .select(F.xxhash64("line").alias("line_hash"), "site")
+        .distinct()
+    )
+    return _spread(staged(seen, "carried"), min_sites, lg_k)
+
+
+def _spread(seen: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
+    """line_hash and sites of the lines that have at least ``min_sites`` among the rows (line_hash, site)."""
     spread = (
         seen.groupBy("line_hash")
         .agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
@@ -68,10 +90,11 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.unionByName(exact)
 
 
-def _stripped(docs: DataFrame, site: str, min_sites: int, max_share: float) -> DataFrame:
+def _stripped(docs: DataFrame, site: str, min_sites: int, max_share: float, counted: DataFrame | None = None) -> DataFrame:
     """(row, lines, kept, text): each row whole, its lines, those that stay, and the text they make."""
     # a table of its own, so that Spark can split the join on a hot line
-    common = staged(boilerplate(docs, site, min_sites).select("line_hash"), "boilerplate")
+    spread = boilerplate(docs, site, min_sites) if counted is None else carried(counted, site, min_sites)
+    common = staged(spread.select("line_hash"), "boilerplate")
     marked = (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_key(x))))).alias("line_hash"))
@@ -99,12 +122,15 @@ def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     )
 
 
-def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs``, all columns, without boilerplate lines; ``n_chars``, if there, follows the text."""
+def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, counted: DataFrame | None = None) -> DataFrame:
+    """``docs``, all columns, without boilerplate lines; ``n_chars``, if there, follows the text.
+
+    With ``counted``, lines are judged by all distinct sites of its rows.
+    """
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    out = _stripped(docs, site, min_sites, max_share)
+    out = _stripped(docs, site, min_sites, max_share, counted)
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 

@@ -44,6 +44,16 @@ def test_lines_change_texts_only(stages):
             assert all(x in left for x in r["text"].split("\n")) and r["n_chars"] == len(r["text"])
 
 
+def test_line_with_the_fingerprint_goes(spark):
+    """Every site counts, also where the line holds the first long word; sites of copies do not."""
+    notice, words = "(c)2024-2025 Example Media", lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(i, f"Ordinary {words(i)}\n{notice}", f"site{i}") for i in range(12)]
+    rows += [(100 + i, f"Article {words(99)}\nand its end, told again", f"site{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert got == {i: t.replace("\n" + notice, "") for i, t, _ in rows}
+
+
 def test_one_of_each_group_stays(stages):
     texts = {r["doc_id"]: sets_of(r["text"], 5) for r in stages[2].collect()}
     kept = sorted(r["doc_id"] for r in stages[3].collect())
