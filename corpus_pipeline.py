@@ -25,9 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites carry; ``n_chars`` follows the text.
 
-    Of a group of near duplicates only the document that would be kept counts with its site.
+    Of a group of near duplicates only the document that would be kept counts with its site;
+    lines that have the spread go whatever is left of a document.
     """
-    return line_dedup.clean(docs, counted=minhash.keep_one(docs.select("doc_id", "text", "source")))
+    return line_dedup.clean(docs, max_share=1.0, counted=minhash.keep_one(docs.select("doc_id", "text", "source")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

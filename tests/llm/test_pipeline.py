@@ -54,6 +54,15 @@ def test_line_with_the_fingerprint_goes(spark):
     assert got == {i: t.replace("\n" + notice, "") for i, t, _ in rows}
 
 
+def test_short_page_loses_its_menu(spark):
+    """Boilerplate goes also where it is most of a page, or all of it."""
+    menu = "Home and all the other pages\nRead more about this on our site\nWritten by the editors of Example Media"
+    rows = [(i, f"{menu}\n" + " ".join(f"w{i}x{j}" for j in range(30 if i < 12 else 2)), f"site{i}") for i in range(13)]
+    rows.append((13, menu, "site13"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()}
+    assert got == {i: t.removeprefix(menu).lstrip("\n") for i, t, _ in rows}
+
+
 def test_one_of_each_group_stays(stages):
     texts = {r["doc_id"]: sets_of(r["text"], 5) for r in stages[2].collect()}
     kept = sorted(r["doc_id"] for r in stages[3].collect())
