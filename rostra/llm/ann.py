@@ -15,8 +15,8 @@ bounded size, and only better rows leave a task.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 take no part, nor do rows with a null id; vectors of different lengths are never
-compared; rows that repeat an id are one candidate with its best score; ties go to the
-smaller id; a query with fewer candidates than k gets all. Other columns are ignored.
+compared; rows that repeat an id are one candidate with its best score, however many they
+are; ties go to the smaller id; a query with fewer candidates than k gets all. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,22 +103,28 @@ def _keyed(vectors: DataFrame, query: Column, orderings: int) -> DataFrame:
                             names=["ordering", "dim", "key", "vec_id", "query", "vector"],
                         )
 
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(query, F.lit(False)).alias("query"))
+    rows = vectors.where("vec_id is not null").select("vec_id", "embedding", F.coalesce(query, F.lit(False)).alias("query"))
+    # equal rows would fill the windows around them
+    rows = rows.groupBy("vec_id", "embedding").agg(F.max("query").alias("query")).withColumn("embedding", F.col("embedding").cast("array<double>"))
     return rows.mapInArrow(keyed, _ROW)
 
 
 def top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """(query, id, cosine) of the k nearest rows of x for each query, without the query's own id.
+    """(query, id, cosine) of the k nearest ids of x for each query, without the query's own id.
 
+    Rows of one id are folded before the k-th best is looked for, so repeats crowd out nothing.
     A product of matrices picks the rows, a sum for each pair gives its cosine, so that it
     does not depend on what else was in the matrices. Scores under ``least`` are left out.
     """
     nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+    by_id = np.argsort(ids, kind="stable")
+    heads = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[:1]] - 1))
     out = []
     for lo in range(0, len(q), 256):
         s = (q[lo : lo + 256] / nq[lo : lo + 256, None]) @ (x / nx[:, None]).T
         s[q_ids[lo : lo + 256, None] == ids] = -np.inf
-        floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(1)
+        each = s if len(heads) == len(ids) else np.maximum.reduceat(s[:, by_id], heads, axis=1)
+        floor = np.partition(each, -k, axis=1)[:, -k] if each.shape[1] > k else each.min(1)
         if least is not None:
             floor = np.maximum(floor, least[lo : lo + 256])
         for i, at in enumerate(s >= floor[:, None] - 1e-9):

@@ -445,3 +445,23 @@ def test_neighbours_equal_brute_force(spark):
     near = {(r["query_id"], r["vec_id"]) for r in ann.search(df, query, exact=False).collect()}
     assert len(near & {(q, v) for q, vs in got.items() for v, _ in vs}) >= 0.9 * len(near)
     assert ann.search(df.limit(0), query).count() == 0
+
+
+def test_repeated_ids_crowd_out_nothing(spark):
+    """An id with more rows than k, then than a window, next to the query is one candidate."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=16)
+    near = np.array([base + (0.01 * (i + 1)) * rng.normal(size=16) for i in range(7)])
+    x = np.concatenate([np.repeat(near[:1], 6, 0), near[1:]])
+    got = ann.top(base[None], np.array([99]), x, np.array([7] * 6 + list(range(8, 14))), 5)
+    score = {7 + i: float(v @ base / np.linalg.norm(v) / np.linalg.norm(base)) for i, v in enumerate(near)}
+    want = sorted(score, key=lambda i: -score[i])[:5]
+    assert [v for _, v, _ in got] == want
+    rows = [(99, base.tolist())] + [(7 + i, v.tolist()) for i, v in enumerate(near)]
+    rows += [(7, near[0].tolist())] * 40 + [(7, (near[0] + 1e-6 * k).tolist()) for k in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, F.col("vec_id") == 99).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == want
+    # a window of 32 rows: the 40 equal rows count as one there
+    found = ann.search(spark.createDataFrame(rows[:-20], df.schema), F.col("vec_id") == 99, window=32, exact=False).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == want
