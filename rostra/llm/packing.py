@@ -7,8 +7,7 @@ populations apart from one another: a chromosome is a list of bins; crossover in
 whole well-filled bins of one parent into the other, bins that hold a duplicate go, and
 the displaced pieces are placed best-fit, largest first. After each epoch the best
 chromosome of an island moves to the next one. A block stops at its lower
-bound, in the first round one bin above it. In a
-second round the bins of all blocks that are less than full enough are emptied, dealt
+bound and nowhere above it. In a second round the bins of all blocks that are less than full enough are emptied, dealt
 anew into fewer blocks and packed again, so the last bins of blocks are not wasted.
 
 Only lengths and piece names move; texts are read once and never shuffled.
@@ -153,9 +152,9 @@ def mutate(bins: list[list[int]], size: np.ndarray, capacity: int, rng: np.rando
     return kept, room
 
 
-def evolve(size: np.ndarray, population: list[list[list[int]]], rng: np.random.Generator, capacity: int, generations: int, spare: int = 0) -> list[list[list[int]]]:
-    """Generations of one island, best first; stops ``spare`` bins above what the sum of sizes allows."""
-    least = -(-int(size.sum()) // capacity) + spare
+def evolve(size: np.ndarray, population: list[list[list[int]]], rng: np.random.Generator, capacity: int, generations: int) -> list[list[list[int]]]:
+    """Generations of one island, best first; stops at the bins that the sum of sizes needs."""
+    least = -(-int(size.sum()) // capacity)
     scored = []
     for bins in population:
         room = [capacity - int(size[x].sum()) for x in bins]
@@ -202,7 +201,7 @@ def _bins_of(bin_of: np.ndarray) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1)] if len(bin_of) else []
 
 
-def _pack_blocks(items: DataFrame, capacity: int, block: int, first_id: int, spare: int) -> DataFrame:
+def _pack_blocks(items: DataFrame, capacity: int, block: int, first_id: int) -> DataFrame:
     """``items`` with block, bin and fill, each block packed by its islands."""
     n = items.count()
     blocks = max(1, -(-n // block))
@@ -221,7 +220,7 @@ def _pack_blocks(items: DataFrame, capacity: int, block: int, first_id: int, spa
             population = founders(size, rng, capacity, POPULATION)
         else:
             population = [_bins_of(np.frombuffer(c, np.int32)) for c in r["chromosomes"]]
-        evolved = evolve(size, population, rng, capacity, GENERATIONS, spare)
+        evolved = evolve(size, population, rng, capacity, GENERATIONS)
         count, even = fitness([capacity - int(size[x].sum()) for x in evolved[0]], capacity)
         return pdf.assign(chromosomes=[[_bin_of(b, len(size)).tobytes() for b in evolved]], n_bins=-count, even=-even)
 
@@ -259,9 +258,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
     part = items.where(F.col("length") < capacity)
     # a full piece fills a sequence: its number is negative and its own
     full = items.where(F.col("length") >= capacity).select(*_NAMES, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    once = staged(_pack_blocks(part, capacity, block, 0, 1), "packed")
+    once = staged(_pack_blocks(part, capacity, block, 0), "packed")
     good = F.col("fill") >= int(capacity * FULL_ENOUGH)
-    again = _pack_blocks(once.where(~good).select(*_NAMES), capacity, block, 1 << 30, 0)
+    again = _pack_blocks(once.where(~good).select(*_NAMES), capacity, block, 1 << 30)
     names = [*_NAMES, "sequence_id", "offset"]
     return full.unionByName(once.where(good).select(*names)).unionByName(again.select(*names))
 

@@ -274,6 +274,16 @@ def test_evolution_improves_or_keeps():
     assert all(size[b].sum() <= 2048 for b in end[0])
 
 
+def test_first_pass_evolves(spark):
+    """A block whose founders are all one bin above the bound evolves down to it in the main pass."""
+    size = np.sort(np.random.default_rng(76).integers(150, 700, 60))
+    bound = -(-int(size.sum()) // 1000)
+    assert min(len(b) for i in range(packing.ISLANDS) for b in packing.founders(size, np.random.default_rng([0, i, True]), 1000, packing.POPULATION)) == bound + 1
+    items = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(size)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing._pack_blocks(items, 1000, 4096, 0).collect()
+    assert len(rows) == 60 and len({r["sequence_id"] for r in rows}) == bound
+
+
 # -- language models --------------------------------------------------------------------------
 
 
