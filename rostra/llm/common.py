@@ -25,27 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the cluster names none (tests)."""
+    """The folder that all executors share. A local session (tests) may do without one; a cluster may not."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            return have.get()
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rostra-"))
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return named
+    if named:
+        return named
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rostra-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write to a new folder of the shared one and read back.
 
-    A lost executor costs only tasks of the current job. The folder goes when the driver ends.
+    A lost executor costs only tasks of the current job. The folder goes with :func:`discard`
+    or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rostra-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that no later job reads."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path in _staged:
+            _remove(_staged.pop(path), path)
+
+
+_staged: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _staged.items():
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

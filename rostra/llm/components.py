@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.common import staged
+from rostra.llm.common import discard, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,23 +20,32 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every tree is a star: no node has two parents, no parent has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    tall = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+    return tall.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 
     Edges need no order or distinctness; loops and nulls are left out. Each round is written
-    to the shared folder; rounds are few, as each at least halves the height of the trees.
+    to the shared folder; rounds are few, as each at least halves the height of the trees,
+    and end when all trees are stars.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == before:
+        if _settled(now):
             break
-        before = tuple(row)
-        now = staged(_stars(_stars(now, True), False), "edges")
+        new = staged(_stars(_stars(now, True), False).distinct(), "edges")
+        discard(now)
+        now = new
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

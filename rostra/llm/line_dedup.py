@@ -1,24 +1,20 @@
 """Line dedup: lines that many distinct sites carry are boilerplate and go.
 
-Each line hash gets a HyperLogLog sketch of its sites; sketches merge by aggregation.
-Lines whose estimate is near the threshold get an exact distinct count. A document that
-is copied to many sites is not boilerplate: of the documents with the same fingerprint
-(their first long word in dictionary order, which copies and near copies share) a line
-counts the smallest site only, and a document that would lose more than ``max_share``
-of its characters is left whole, for near-duplicate removal to judge.
-
-That rule is what the SQL of ``op4_line_dedup`` states. It counts too few sites where a
-line holds the fingerprint of its texts. Given ``counted``, the rows without proven copies,
-``clean`` counts every distinct site of those rows instead and knows no fingerprints; the
-pipeline does so, with what near-duplicate removal would keep.
+Each line hash gets a HyperLogLog sketch of the distinct sites of all rows that have the
+line; sketches merge by aggregation. Lines whose estimate is near the threshold get an
+exact distinct count. A line with the spread goes from every document, whatever is left
+of it. Where copies of a document on many sites shall not make its lines boilerplate,
+``counted`` names the rows whose sites count: the pipeline gives what near-duplicate
+removal keeps.
 
 Lines are cut at line feeds and compared without leading and trailing blanks, tabs and
-carriage returns; blank lines stay. Hot lines shrink to one row for each task and
-fingerprint before the shuffle, so a line in a third of all rows does no harm.
+carriage returns; blank lines stay. Hot lines shrink to one row for each task and site
+before the shuffle, so a line in a third of all rows does no harm.
 
 Defined results: null text stays null and has no lines; an empty text has one blank
 line; a null site is a site of its own ('' ); rows with a null doc_id are counted but
-never changed; repeated doc_ids are changed alike. Other columns pass through.
+never changed; repeated doc_ids are changed alike; lines of any length are hashed whole.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,51 +22,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.common import staged
+from rostra.llm.common import discard, staged
 
-#: Sites from which on a line is boilerplate, and the share of a text that lines may take with them.
-MIN_SITES, MAX_SHARE = 10, 0.5
-#: Characters of a word that can be a fingerprint.
-LONG_WORD = 7
+#: Distinct sites from which on a line is boilerplate.
+MIN_SITES = 10
 
 
 def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _fingerprint(text: Column) -> Column:
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    return F.coalesce(F.array_min(F.filter(words, lambda w: F.length(w) >= LONG_WORD)), F.lit(""))
-
-
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = 12) -> DataFrame:
-    """Hashes of the lines that at least ``min_sites`` distinct sites carry, with that number's estimate."""
-    seen = (
-        docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), "text")
-        .withColumn("family", F.xxhash64(_fingerprint(F.col("text"))))
-        .select("site", "family", F.explode(F.split("text", "\n")).alias("line"))
-        .select("site", "family", _key(F.col("line")).alias("line"))
-        .where("line <> ''")
-        .groupBy(F.xxhash64("line").alias("line_hash"), "family")
-        .agg(F.min("site").alias("site"))
-    )
-    return _spread(seen, min_sites, lg_k)
-
-
-def carried(counted: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = 12) -> DataFrame:
-    """The same of every distinct site of every row of ``counted``, in which no copies are."""
-    seen = (
+def carried(counted: DataFrame, site: str = "source") -> DataFrame:
+    """(line_hash, site): every distinct site of every line of ``counted``."""
+    return (
         counted.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
         .select("site", _key(F.col("line")).alias("line"))
         .where("line <> ''")
         .select(F.xxhash64("line").alias("line_hash"), "site")
         .distinct()
     )
-    return _spread(staged(seen, "carried"), min_sites, lg_k)
 
 
-def _spread(seen: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
-    """line_hash and sites of the lines that have at least ``min_sites`` among the rows (line_hash, site)."""
+def boilerplate(seen: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 12) -> DataFrame:
+    """line_hash and sites of the lines that have at least ``min_sites`` among the distinct rows (line_hash, site)."""
     spread = (
         seen.groupBy("line_hash")
         .agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
@@ -82,19 +56,19 @@ def _spread(seen: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
     near = spread.where(F.col("sites").between(F.lit(min_sites - slack), F.lit(min_sites + slack)))
     exact = (
         seen.join(near.select("line_hash"), "line_hash", "left_semi")
-        .distinct()
         .groupBy("line_hash")
-        .agg(F.countDistinct("site").alias("sites"))
+        .agg(F.count(F.lit(1)).alias("sites"))
         .where(F.col("sites") >= min_sites)
     )
     return sure.unionByName(exact)
 
 
-def _stripped(docs: DataFrame, site: str, min_sites: int, max_share: float, counted: DataFrame | None = None) -> DataFrame:
-    """(row, lines, kept, text): each row whole, its lines, those that stay, and the text they make."""
+def _stripped(docs: DataFrame, site: str, min_sites: int, counted: DataFrame | None = None) -> DataFrame:
+    """(row, lines, kept): each row whole, its lines, and those that stay."""
+    seen = staged(carried(docs if counted is None else counted, site), "carried")
     # a table of its own, so that Spark can split the join on a hot line
-    spread = boilerplate(docs, site, min_sites) if counted is None else carried(counted, site, min_sites)
-    common = staged(spread.select("line_hash"), "boilerplate")
+    common = staged(boilerplate(seen, min_sites).select("line_hash"), "boilerplate")
+    discard(seen)
     marked = (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_key(x))))).alias("line_hash"))
@@ -104,51 +78,39 @@ def _stripped(docs: DataFrame, site: str, min_sites: int, max_share: float, coun
     )
     # the input's columns stay inside one struct, where their names meet no others
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.split("text", "\n").alias("lines"))
-    both = rows.join(marked, "doc_id", "left")
     left = F.filter("lines", lambda x: ~F.array_contains(F.col("marked"), F.xxhash64(_key(x))))
-    both = both.withColumn("left", F.when(F.col("marked").isNull(), F.col("lines")).otherwise(left))
-    text = F.col("row")["text"]
-    copy = F.length(F.array_join("left", "\n")) < F.length(text) * (1 - max_share)
-    return both.select("row", "lines", F.when(copy, F.col("lines")).otherwise(F.col("left")).alias("kept")).withColumn("text", F.array_join("kept", "\n"))
+    return rows.join(marked, "doc_id", "left").select("row", "lines", F.when(F.col("marked").isNull(), F.col("lines")).otherwise(left).alias("kept"))
 
 
-def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, the text without boilerplate lines, and how many lines it had and lost."""
-    return _stripped(docs, site, min_sites, max_share).select(
+    return _stripped(docs, site, min_sites).select(
         F.col("row")["doc_id"].alias("doc_id"),
-        "text",
+        F.array_join("kept", "\n").alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
-def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, counted: DataFrame | None = None) -> DataFrame:
+def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, counted: DataFrame | None = None) -> DataFrame:
     """``docs``, all columns, without boilerplate lines; ``n_chars``, if there, follows the text.
 
-    With ``counted``, lines are judged by all distinct sites of its rows.
+    With ``counted``, lines are judged by the sites of its rows.
     """
-    new = {"text": F.col("text")}
+    text = F.array_join("kept", "\n")
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    out = _stripped(docs, site, min_sites, max_share, counted)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    out = _stripped(docs, site, min_sites, counted)
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
-WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS site, text,
-    coalesce(list_min(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: length(w) >= {LONG_WORD})), '') AS family
-  FROM documents),
-l AS (SELECT doc_id, site, family, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
-f AS (SELECT key, family, min(site) AS site FROM k WHERE key <> '' GROUP BY key, family),
-b AS (SELECT key FROM f GROUP BY key HAVING count(DISTINCT site) >= {MIN_SITES}),
-g AS (
-  SELECT doc_id, count(*) AS n_lines, count(b.key) AS n_removed, sum(length(line)) + count(*) - 1 AS n_all,
-    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (b.key IS NULL), '') AS t
-  FROM k LEFT JOIN b USING (key) GROUP BY doc_id)
-SELECT g.doc_id, CAST(n_lines AS BIGINT) AS n_lines,
-  CAST(CASE WHEN length(t) < n_all * {1 - MAX_SHARE} THEN 0 ELSE n_removed END AS BIGINT) AS n_removed,
-  md5(CASE WHEN length(t) < n_all * {1 - MAX_SHARE} THEN d.text ELSE t END) AS kept_md5
-FROM g JOIN documents d USING (doc_id)
+b AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= {MIN_SITES})
+SELECT doc_id, count(*) AS n_lines, count(b.key) AS n_removed,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (b.key IS NULL), '')) AS kept_md5
+FROM k LEFT JOIN b USING (key) GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, md5(NULL) FROM documents WHERE text IS NULL
 """

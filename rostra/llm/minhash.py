@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.common import as_long, mix, shingle_set, staged, text_bytes, word_hashes
+from rostra.llm.common import as_long, discard, mix, shingle_set, staged, text_bytes, word_hashes
 from rostra.llm.components import components
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -169,18 +169,24 @@ def _bounds(nodes: DataFrame, sets: DataFrame, similarity: int, rounds: int = 2)
     it can be no one's partner, so the next round counts without them.
     """
     size = nodes.groupBy("doc_id").agg(F.min("n_shingles").alias("size"))
-    left = sets
+    left, able = sets, None
     for _ in range(rounds):
+        before = able
         one = left.select("doc_id", F.explode("shingles").alias("shingle"))
         twice = staged(one.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "shared")
         common = one.join(twice, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"))
         able = staged(common.join(size, "doc_id").where(F.col("common") * 100 >= F.col("size") * similarity), "able")
+        discard(twice, *[before] * (before is not None))
         left = sets.join(able.select("doc_id"), "doc_id", "left_semi")
     return able
 
 
-def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest linked doc_id) of every row of ``docs``."""
+def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: bool = True, rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest linked doc_id) of every row of ``docs``.
+
+    With ``rounds=1`` only links to the head of a bucket are looked for: every link found is
+    proven, but some components may come in parts.
+    """
     signed = staged(signatures(docs, n, lower), "signatures")
     filled = signed.where("key is not null and doc_id is not null")
     # texts with the same set become one node, the smallest id; a task sends one row a set
@@ -207,11 +213,21 @@ def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: boo
         .distinct()
     )
     linked = staged(_confirmed(_near(first, nodes, similarity), sets, similarity), "links")
-    label = components(linked)
-
+    label = staged(components(linked), "trees")
+    discard(linked, met)
+    if rounds > 1:
+        label = _joined(label, _across(at, heads, first, label, nodes, sets, similarity))
+    discard(at, sets, nodes)
+    # every row's id, then the node of its set, then that node's component
+    own = member.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    return signed.select("doc_id", "n_shingles").join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _across(at: DataFrame, heads: DataFrame, first: DataFrame, label: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The links (a, b) between texts that share a bucket but not a component."""
     at = at.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    at = staged(at.join(heads.select("bucket", F.col("head.doc_id").alias("head")), "bucket"), "labels")
-    tally = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"), F.min("size").alias("size"))
+    labels = staged(at.join(heads.select("bucket", F.col("head.doc_id").alias("head")), "bucket"), "labels")
+    tally = labels.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"), F.min("size").alias("size"))
     mixed = (
         tally.groupBy("bucket")
         .agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.min("size").alias("least"))
@@ -219,9 +235,9 @@ def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: boo
         .select("bucket", "main", "least")
     )
     # a text that even the smallest set of the bucket is too large for meets no one
-    able = staged(at.join(mixed, "bucket").where(_possible("size", "common", "least", "common", similarity)), "able")
-    inside = staged(_measured(able.where("doc_id <> head").select("head", "doc_id").distinct(), sets), "inside")
-    able = able.join(inside, ["head", "doc_id"], "left").withColumn("inside", F.coalesce("inside", "size")).join(nodes.select("doc_id", "bands"), "doc_id")
+    alive = staged(labels.join(mixed, "bucket").where(_possible("size", "common", "least", "common", similarity)), "able")
+    inside = staged(_measured(alive.where("doc_id <> head").select("head", "doc_id").distinct(), sets), "inside")
+    able = alive.join(inside, ["head", "doc_id"], "left").withColumn("inside", F.coalesce("inside", "size")).join(nodes.select("doc_id", "bands"), "doc_id")
     side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "size", "common", "inside", "bands")]
     # two texts share at most what both share with the head, and of the rest what others have too
     most = F.least("inside_x", "inside_y") + F.least(F.col("common_x") - F.col("inside_x"), F.col("common_y") - F.col("inside_y"))
@@ -237,17 +253,25 @@ def groups(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: boo
         .join(first, ["a", "b"], "left_anti")
     )
     more = staged(_confirmed(_near(second, nodes, similarity), sets, similarity), "links")
+    discard(labels, alive, inside)
+    return more
 
-    tree = label.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    every = components(tree.unionByName(more).unionByName(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    return signed.select("doc_id", "n_shingles").join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) with the components that ``links`` connect made one.
+
+    Only the components meet, each as one node, so the graph is far smaller than that of the texts.
+    """
+    of = lambda k: label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = staged(components(met).withColumnRenamed("node", "part").withColumnRenamed("component", "whole"), "trees")
+    known = label.join(over.withColumnRenamed("part", "component"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return known.unionByName(over.join(label.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component")))
 
 
-def keep_one(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: bool = True) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, lower: bool = True, rounds: int = 2) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group; rows without an id stay."""
-    found = groups(docs, n, similarity, lower)
+    found = groups(docs, n, similarity, lower, rounds)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

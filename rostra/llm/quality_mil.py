@@ -7,31 +7,34 @@ logistic unit scores the weighted sum. Labels exist only for documents; the atte
 learns from them which passages speak.
 
 Fitting uses at most ``MAX_BAGS`` labelled documents of each class, those with the
-smallest hash of (seed, doc_id), so the driver's work has a fixed bound. Scoring reads
-every whole text once, without a shuffle.
+smallest hash of (seed, doc_id), and of these at most ``MAX_BYTES`` of whole texts a class;
+one task fits, and only the weights reach the driver. Scoring reads every whole text once,
+without a shuffle.
 
 Defined results: null or empty text is a bag with one empty passage and gets a score;
 a null doc_id is scored, is never held out and never used to learn; repeated rows get
-the same score; labels that repeat count once with their smallest value; without labels
-of both classes every score is 1.0. Other columns of the inputs are ignored.
+the same score; labels that repeat count once with their smallest value, and of rows that
+repeat a labelled id the smallest text; without labels of both classes every score is 1.0.
+Very long texts have as many passages as they need. Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rostra.llm.common import text_bytes
 
-#: Labelled documents of each class that a fit may use.
-MAX_BAGS = 1500
+#: Labelled documents of each class that a fit may use, and bytes of their texts.
+MAX_BAGS, MAX_BYTES = 1500, 16_000_000
 #: Words in a passage.
 PASSAGE = 64
 KEEP = 0.3
@@ -113,9 +116,10 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 16, gate: i
     if len(np.unique(labels)) < 2:
         return Model(np.zeros(WIDTH), np.ones(WIDTH), *[np.zeros(0)] * 5, None, 0.0)
     every = np.concatenate(bags)
-    scale = every.std(0) + 0.02
-    m = Model(every.mean(0), scale, rng.normal(0, WIDTH**-0.5, (WIDTH, hidden)), np.zeros(hidden), rng.normal(0, 0.3, (hidden, gate)), rng.normal(0, 0.3, (hidden, gate)), rng.normal(0, 0.3, gate), rng.normal(0, 0.3, hidden), 0.0)
-    bags = [(x - m.mean) / scale for x in bags]
+    mean, scale = every.mean(0, dtype=np.float64), every.std(0, dtype=np.float64) + 0.02
+    del every
+    m = Model(mean, scale, rng.normal(0, WIDTH**-0.5, (WIDTH, hidden)), np.zeros(hidden), rng.normal(0, 0.3, (hidden, gate)), rng.normal(0, 0.3, (hidden, gate)), rng.normal(0, 0.3, gate), rng.normal(0, 0.3, hidden), 0.0)
+    bags = [((x - mean) / scale).astype(np.float32) for x in bags]
     weight = np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9))
     names = ("e", "eb", "a", "g", "w", "u", "c")
     first = {k: 0.0 for k in names}
@@ -161,22 +165,26 @@ def train(docs: DataFrame, labels: DataFrame, max_bags: int = MAX_BAGS, seed: in
     )
     # orderBy with limit keeps the smallest hashes of each task only; 2 * max_bags small rows in all
     sample = [known.where(F.col("quality") == q).orderBy("_h", "doc_id").limit(max_bags) for q in (0, 1)]
-    ids = sample[0].unionByName(sample[1]).select("doc_id", "quality")
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [encode(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "bag"])
-
-    rows = (
+    ids = sample[0].unionByName(sample[1])
+    texts = (
         docs.select("doc_id", "text")
         .join(F.broadcast(ids), "doc_id")
-        .mapInArrow(bags, "doc_id long, quality int, bag binary")
-        .toLocalIterator()
+        .groupBy("doc_id", "quality", "_h")
+        .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        .withColumn("size", F.octet_length("text"))
     )
-    seen = sorted(((r["doc_id"], r["quality"], bytes(r["bag"])) for r in rows), key=lambda r: r)
-    x = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for _, _, b in seen]
-    return fit(x, np.array([q for _, q, _ in seen], float), seed=seed)
+    # whole texts by rising hash, as long as they fit; the first always does
+    so_far = F.sum("size").over(Window.partitionBy("quality").orderBy("_h", "doc_id"))
+    texts = texts.withColumn("upto", so_far).where((F.col("upto") <= MAX_BYTES) | (F.col("upto") == F.col("size"))).select("doc_id", "quality", "text")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(i, q, encode(t)) for batch in batches for i, q, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "quality", "text")), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        model = fit([x for _, _, x in rows], np.array([q for _, q, _ in rows], float), seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    row = texts.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([], np.empty(0), seed=seed)
 
 
 def _scores(model: Model, text: pa.Array) -> np.ndarray:

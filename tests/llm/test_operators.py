@@ -122,28 +122,21 @@ def test_components(spark):
 # -- lines --------------------------------------------------------------------------------
 
 
-def brute_lines(rows, least=10, share=0.5):
+def brute_lines(rows, least=10):
     key = lambda x: x.strip(" \t\r")
-    seen = defaultdict(dict)
+    sites = defaultdict(set)
     for _, t, s in rows:
-        if t is None:
-            continue
-        long = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t) if len(w) >= line_dedup.LONG_WORD]
-        family = min(long, key=lambda w: w.encode(), default="")
-        for x in map(key, t.split("\n")):
+        for x in map(key, (t or "").split("\n")):
             if x:
-                seen[x][family] = min(seen[x].get(family, s or ""), s or "")
-    bad = {x for x, f in seen.items() if len(set(f.values())) >= least}
+                sites[x].add(s or "")
     out = []
     for i, t, _ in rows:
         if t is None:
             out.append((i, None, 0, 0))
             continue
         lines = t.split("\n")
-        left = [x for x in lines if key(x) not in bad] if i is not None else lines
-        text = "\n".join(left)
-        whole = len(text) < len(t) * (1 - share)
-        out.append((i, t if whole else text, len(lines), 0 if whole else len(lines) - len(left)))
+        left = [x for x in lines if len(sites[key(x)]) < least] if i is not None else lines
+        out.append((i, "\n".join(left), len(lines), len(lines) - len(left)))
     return out
 
 
@@ -159,6 +152,19 @@ def test_line_dedup_equals_brute_force(spark, corpus):
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_every_site_of_a_line_counts(spark):
+    """A footer goes from all its sites, also where it is most of a page or holds its smallest word."""
+    footers = ["(c) 2019-2024 ACME. All rights reserved.", "read more on our site today"]
+    rng = random.Random(21)
+    rows = [(i, "\n".join([" ".join(words(rng, 9, 99999)), *footers, *["own words only"] * (i < 3)]), f"site{i}") for i in range(40)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.strip_lines(made(spark, rows)).collect()}
+    assert got == dict.fromkeys(range(40), 2)
+    nine = line_dedup.strip_lines(made(spark, rows[:9])).collect()
+    assert all(r["n_removed"] == 0 for r in nine)
+    # where copies shall not count, the rows that do are given
+    assert {r["text"] for r in line_dedup.clean(made(spark, rows), counted=made(spark, rows[:9])).collect()} == {t for _, t, _ in rows}
+
+
 # -- passages --------------------------------------------------------------------------------
 
 
