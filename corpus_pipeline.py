@@ -25,10 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites carry; ``n_chars`` follows the text.
 
-    Of a group of near duplicates only the document that would be kept counts with its site;
-    lines that have the spread go whatever is left of a document.
+    Of documents proven to be near copies of one another only one counts with its site, else
+    a copied document would lose its lines; lines that have the spread go whatever is left.
     """
-    return line_dedup.clean(docs, max_share=1.0, counted=minhash.keep_one(docs.select("doc_id", "text", "source")))
+    copies_out = minhash.keep_one(docs.select("doc_id", "text", "source"), rounds=1)
+    return line_dedup.clean(docs, counted=copies_out)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
