@@ -2,21 +2,25 @@
 
 Unit vectors are projected on ``DIMS`` random orthogonal directions, shifted, cut to a
 grid and numbered along a Hilbert curve, in ``ORDERINGS`` independent ways. Spark range-
-partitions each ordering by curve key (equal keys are dealt by a hash of the id), a task
-sorts its range, and every query is scored against the ``WINDOW`` rows before and after
-it. The orderings' candidates merge and are reranked by exact cosine.
+partitions each ordering by curve key (equal keys are dealt by a hash), a task sorts its
+range, and every query is scored against the ``WINDOW`` rows before and after it. Rows at
+the edges of ranges meet those of the next range in a second step, so that no window ends
+at an edge. The orderings' candidates merge; the best are reranked by the exact cosine of
+the original vectors. Curves carry half-precision unit vectors, which only choose.
 
-Curves find neighbours as far as the vectors have structure. Where they have none, no
-window short of the whole table holds the nearest, so an exact completion may follow
-(``exact=True``): the first ordering is packed into blocks with their centre and widest
-angle, and a block is scored for those queries whose current k-th cosine its best
-possible cosine can beat. Queries are a stated set; they meet the table in blocks of
-bounded size, and only better rows leave a task.
+Work and shuffle grow with the rows and with queries x orderings x window, never with
+queries x rows. What is found depends on the structure of the vectors: see the README for
+recall measured against brute force.
+
+Rows with equal vectors are one node of the curves with their k + 1 smallest ids, which
+are all that any query can need; so a vector that a third of all rows have fills no
+window, and ties among its copies go to the smaller ids exactly.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
-take no part, nor do rows with a null id; vectors of different lengths are never
-compared; rows that repeat an id are one candidate with its best score, however many they
-are; ties go to the smaller id; a query with fewer candidates than k gets all. Other columns are ignored.
+take no part, nor do rows with a null id; very small and very large components are scaled
+by powers of two first; vectors of different lengths are never compared; rows that repeat
+an id are one candidate with its best score, however many they are; ties go to the smaller
+id; a query with fewer candidates than k gets all. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostra.llm.common import staged
+from rostra.llm.common import discard, staged
 
-ORDERINGS, DIMS, DEPTH, WINDOW = 6, 8, 7, 1024
-#: Rows of a range partition, rows of a block, queries of a chunk.
-RANGE_ROWS, BLOCK_ROWS, CHUNK_ROWS = 65_536, 4096, 1024
-_PAIR = "query_id long, vec_id long, score double"
-_ROW = "ordering int, dim int, key long, vec_id long, query boolean, vector binary"
+ORDERINGS, DIMS, DEPTH, WINDOW = 16, 6, 7, 2048
+#: Rows of a range partition.
+RANGE_ROWS = 65_536
+_ROW = "ordering int, dim int, key long, node long, fold long, query boolean, vector binary"
+#: Candidates and the rows at the edges of ranges, in one table, so that both come from one run.
+_FOUND = f"query_node long, score double, border long, {_ROW}"
 
 
 def hilbert(x: np.ndarray, depth: int) -> np.ndarray:
@@ -66,169 +72,195 @@ def curve_keys(unit: np.ndarray, ordering: int) -> np.ndarray:
     rng = np.random.default_rng([dim, ordering])
     axes = np.linalg.qr(rng.normal(size=(dim, min(DIMS, dim))))[0]
     y = unit @ axes * dim**0.5
-    span, side = 4.0, 1 << DEPTH
-    grid = np.floor((y + span / 2 + rng.random(axes.shape[1]) * span / 2) / (1.5 * span) * side + side / 8)
+    span, side = 3.0, 1 << DEPTH
+    grid = np.floor((y + span / 2 + rng.random(axes.shape[1]) * span / 2) / (1.5 * span) * side)
     return hilbert(np.clip(grid, 0, side - 1), DEPTH)
 
 
-def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and vectors (double) of the rows that take part, by vector length."""
-    column, ids = batch.column("embedding"), batch.column("vec_id")
+def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors (double) of a column of lists, by length; each scaled by a power of two to about 1.
+
+    Rows that are null, empty, zero, or hold null or non-finite components are left out.
+    """
     n = np.array(column.value_lengths().fill_null(0))
     starts = np.array(column.offsets)[:-1]
     flat = np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64)
-    there = (n > 0) & ~np.asarray(ids.is_null()) & ~np.asarray(column.is_null())
-    for dim in np.unique(n[there]).tolist():
-        rows = np.flatnonzero(there & (n == dim))
+    for dim in np.unique(n[n > 0]).tolist():
+        rows = np.flatnonzero(n == dim)
         x = flat[starts[rows][:, None] + np.arange(dim)]
-        with np.errstate(invalid="ignore", over="ignore"):
-            size = np.sqrt((x * x).sum(1))
-        good = np.isfinite(x).all(1) & (size > 0) & np.isfinite(size)
+        most = np.abs(x).max(1)
+        good = np.isfinite(x).all(1) & (most > 0)
         if good.any():
-            yield rows[good], x[good]
+            yield rows[good], np.ldexp(x[good], -np.frexp(most[good])[1][:, None])
+
 
+def _nodes(vectors: DataFrame, query: Column, k: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct vectors (node, fold, ids, query, embedding), and the queries (query_id, node, embedding)."""
+    rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(query, F.lit(False)).alias("query"))
+    rows = rows.groupBy("vec_id", "embedding").agg(F.max("query").alias("query")).withColumn("node", F.xxhash64("embedding"))
+    rows = staged(rows, "vectors")
+    first = Window.partitionBy("node", "embedding").orderBy("vec_id")
+    ids = rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k + 1).groupBy("node", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asks = rows.where("query").select(F.col("vec_id").alias("query_id"), "node", "embedding")
+    asked = asks.select("node").distinct().withColumn("query", F.lit(True))
+    nodes = ids.join(asked, "node", "left").select("node", F.xxhash64("ids").alias("fold"), "ids", F.coalesce("query", F.lit(False)).alias("query"), "embedding")
+    return staged(nodes, "nodes"), asks
+
+
+def _keyed(nodes: DataFrame, orderings: int) -> DataFrame:
+    """A row for each node and ordering."""
 
-def _keyed(vectors: DataFrame, query: Column, orderings: int) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                for rows, x in _vectors(part):
+                for rows, x in _lists(part.column("embedding")):
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                     take = pa.array(rows)
-                    raw = pa.array([v.tobytes() for v in x], pa.binary())
-                    for k in range(orderings):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array(curve_keys(unit, k)), part.column("vec_id").take(take), part.column("query").take(take), raw],
-                            names=["ordering", "dim", "key", "vec_id", "query", "vector"],
-                        )
+                    named = [part.column(c).take(take) for c in ("node", "fold", "query")]
+                    half = pa.array([v.tobytes() for v in unit.astype(np.float16)], pa.binary())
+                    for o in range(orderings):
+                        keys = [pa.array(np.full(len(rows), o, np.int32)), pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array(curve_keys(unit, o))]
+                        yield pa.RecordBatch.from_arrays([*keys, *named, half], names=["ordering", "dim", "key", "node", "fold", "query", "vector"])
 
-    rows = vectors.where("vec_id is not null").select("vec_id", "embedding", F.coalesce(query, F.lit(False)).alias("query"))
-    # equal rows would fill the windows around them
-    rows = rows.groupBy("vec_id", "embedding").agg(F.max("query").alias("query")).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return rows.mapInArrow(keyed, _ROW)
+    return nodes.select("node", "fold", "query", "embedding").mapInArrow(keyed, _ROW)
 
 
-def top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """(query, id, cosine) of the k nearest ids of x for each query, without the query's own id.
+def top(q: np.ndarray, q_fold: np.ndarray, x: np.ndarray, fold: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in q and in x, and cosines, of the k nearest rows of x for each row of q, by falling cosine.
 
-    Rows of one id are folded before the k-th best is looked for, so repeats crowd out nothing.
-    A product of matrices picks the rows, a sum for each pair gives its cosine, so that it
-    does not depend on what else was in the matrices. Scores under ``least`` are left out.
+    Of rows with an equal fold only the nearest counts, so repeats crowd out nothing; rows
+    with a query's own fold are left out.
     """
-    nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
-    by_id = np.argsort(ids, kind="stable")
-    heads = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[:1]] - 1))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    by_fold = np.argsort(fold, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], fold[by_fold][1:] != fold[by_fold][:-1])))
     out = []
     for lo in range(0, len(q), 256):
-        s = (q[lo : lo + 256] / nq[lo : lo + 256, None]) @ (x / nx[:, None]).T
-        s[q_ids[lo : lo + 256, None] == ids] = -np.inf
-        each = s if len(heads) == len(ids) else np.maximum.reduceat(s[:, by_id], heads, axis=1)
-        floor = np.partition(each, -k, axis=1)[:, -k] if each.shape[1] > k else each.min(1)
-        if least is not None:
-            floor = np.maximum(floor, least[lo : lo + 256])
-        for i, at in enumerate(s >= floor[:, None] - 1e-9):
-            at = np.flatnonzero(at & (s[i] > -np.inf))
-            score = (x[at] * q[lo + i]).sum(1) / (nx[at] * nq[lo + i])
-            best: dict[int, float] = {}
-            for v, c in zip(ids[at].tolist(), score.tolist(), strict=True):
-                best[v] = max(best.get(v, -np.inf), c)
-            out += [(int(q_ids[lo + i]), v, c) for v, c in sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]]
-    return out
-
-
-def _pairs(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    query, vec, score = zip(*found, strict=True) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    each = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        part = q[lo : lo + 256]
+        s = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ u.T
+        s[q_fold[lo : lo + 256, None] == fold] = -np.inf
+        s = s[:, by_fold]
+        each = s if len(heads) == len(fold) else np.maximum.reduceat(s, heads, axis=1)
+        pick = np.argpartition(-each, k - 1, axis=1)[:, :k] if each.shape[1] > k else np.tile(np.arange(each.shape[1]), (len(part), 1))
+        score = np.take_along_axis(each, pick, 1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        pick, score = np.take_along_axis(pick, order, 1), np.take_along_axis(score, order, 1)
+        row, col = np.nonzero(score > -np.inf)
+        at = pick[row, col]
+        if len(heads) == len(fold):
+            where = at
+        else:
+            ends = np.append(heads[1:], len(fold))
+            where = np.array([heads[a] + int(np.argmax(s[r, heads[a] : ends[a]])) for r, a in zip(row, at, strict=True)], np.int64)
+        out.append((row + lo, by_fold[where], score[row, col]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _sorted(t: pa.Table) -> Iterator[pa.Table]:
+    """The rows of a table in curve order, by ordering and vector length."""
+    t = t.sort_by([(c, "ascending") for c in ("ordering", "dim", "key", "node")]).combine_chunks()
+    if t.num_rows:
+        kind = t.column("ordering").to_numpy().astype(np.int64) << 32 | t.column("dim").to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(kind) != 0)))
+        for a, b in zip(cuts, np.append(cuts[1:], len(kind)), strict=True):
+            yield t.slice(a, b - a)
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float16).reshape(t.num_rows, -1).astype(np.float32)
+
+
+def _met(asks: pa.Table, q: np.ndarray, rows: pa.Table, x: np.ndarray, keep: int) -> pa.Table:
+    """The nearest rows of each query, in the form of ``_FOUND``."""
+    i, j, score = top(q, asks.column("fold").to_numpy(), x, rows.column("fold").to_numpy(), keep)
+    n = len(i)
+    none = {"ordering": pa.int32(), "dim": pa.int32(), "key": pa.int64(), "query": pa.bool_(), "vector": pa.binary()}
+    columns = {"query_node": pa.array(asks.column("node").to_numpy()[i]), "score": pa.array(score.astype(np.float64)), "border": pa.nulls(n, pa.int64()), "node": pa.array(rows.column("node").to_numpy()[j]), "fold": pa.array(rows.column("fold").to_numpy()[j])}
+    columns |= {c: pa.nulls(n, kind) for c, kind in none.items()}
+    return pa.table({c: columns[c] for c in _COLUMNS})
+
+
+_COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+def _edge(t: pa.Table, border: int) -> pa.Table:
+    more = {"query_node": pa.nulls(t.num_rows, pa.int64()), "score": pa.nulls(t.num_rows, pa.float64()), "border": pa.array(np.full(t.num_rows, border))}
+    return pa.table({c: more[c] if c in more else t.column(c) for c in _COLUMNS})
+
+
+def _windows(window: int, keep: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        place = TaskContext.get().partitionId()
+        parts = list(_sorted(pa.Table.from_batches(held)))
+        held.clear()
+        for t in parts:
+            x, asks = _matrix(t), t.column("query").to_numpy()
+            for lo in range(0, t.num_rows, window):
+                # the queries of a stretch share the rows from a window before it to one after it
+                at = lo + np.flatnonzero(asks[lo : lo + window])
+                if len(at):
+                    a, b = max(0, lo - window), min(t.num_rows, lo + 2 * window)
+                    yield from _met(t.take(at), x[at], t.slice(a, b - a), x[a:b], keep).to_batches()
+        yield from _edge(parts[0].slice(0, window), place - 1).to_batches()
+        yield from _edge(parts[-1].slice(max(0, parts[-1].num_rows - window)), place).to_batches()
 
+    return windows
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, query flags and vectors of a range partition in curve order, by ordering and dimension."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("ordering", "dim", "key", "vec_id")]).combine_chunks()
-    ordering, dim = t.column("ordering").to_numpy(), t.column("dim").to_numpy()
-    cuts = np.flatnonzero(np.concatenate(([True], (np.diff(ordering) != 0) | (np.diff(dim) != 0))))
-    for a, b in zip(cuts, np.append(cuts[1:], len(dim)), strict=True):
-        x = np.frombuffer(b"".join(t.column("vector")[a:b].to_pylist()), np.float64).reshape(b - a, -1)
-        yield t.column("vec_id")[a:b].to_numpy(), t.column("query")[a:b].to_numpy(), x
 
+def _across(keep: int):
+    """What a border does: the queries of either side meet the rows of the other."""
 
-def search(vectors: DataFrame, query: Column, k: int = 5, *, orderings: int = ORDERINGS, window: int = WINDOW, exact: bool = True) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for the rows where ``query`` holds."""
-    n = vectors.count()
-    ranges = max(1, -(-n * orderings // RANGE_ROWS))
-    keyed = _keyed(vectors, query, orderings)
-    dealt = staged(keyed, "curves")
+    def across(t: pa.Table) -> pa.Table:
+        out = [_edge(t.slice(0, 0), 0)]
+        for part in _sorted(t):
+            asks = np.flatnonzero(part.column("query").to_numpy())
+            if len(asks):
+                x = _matrix(part)
+                out.append(_met(part.take(asks), x[asks], part, x, keep))
+        return pa.concat_tables(out).select(["query_node", "node", "fold", "score"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, asks, x in _parts(batches):
-            for lo in range(0, len(ids), window):
-                # the queries of a stretch share the rows from a window before it to one after it
-                at = lo + np.flatnonzero(asks[lo : lo + window])
-                if len(at):
-                    near = slice(max(0, lo - window), lo + 2 * window)
-                    yield _pairs(top(x[at], ids[at], x[near], ids[near], k))
-
-    ranged = dealt.repartitionByRange(ranges, "ordering", "dim", "key", F.xxhash64("vec_id"))
-    found = _best(ranged.mapInArrow(windows, _PAIR), k)
-    if exact:
-        found = staged(found, "neighbours")
-        found = _best(found.select("query_id", "vec_id", "score").unionByName(_completed(dealt.where("ordering = 0"), found, k, ranges)), k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _completed(rows: DataFrame, found: DataFrame, k: int, ranges: int) -> DataFrame:
-    """Pairs at least as near as a query's k-th so far, from all blocks that can hold one."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, x in _parts(batches):
-            for lo in range(0, len(ids), BLOCK_ROWS):
-                y = x[lo : lo + BLOCK_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([ids[lo : lo + BLOCK_ROWS].tobytes()]), pa.array([y.tobytes()])], names=["dim", "ids", "block"])
-
-    least = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).withColumn("least", F.when(F.col("n") >= k, F.col("least")))
-    asks = rows.where("query").select(F.col("vec_id").alias("query_id"), "dim", "vector").join(least, "query_id", "left")
-    chunks = max(1, -(-asks.count() // CHUNK_ROWS))
-    # queries by chunk: small groups of fixed expected size
-    chunked = asks.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).groupBy("chunk", "dim").agg(F.collect_list(F.struct("query_id", "least", "vector")).alias("asks"))
-    blocks = (
-        rows.repartitionByRange(ranges, "dim", "key", F.xxhash64("vec_id"))
-        .mapInArrow(packed, "dim int, ids binary, block binary")
-        .withColumn("name", F.xxhash64("ids"))
-        .withColumn("part", F.pmod("name", F.lit(ranges)))
-    )
-    # every chunk goes to every part of the blocks, so that no task gets all blocks
-    met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(
-        chunked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))), ["chunk", "dim", "part"]
-    )
-
-    def scored(met: pa.Table) -> pa.Table:
-        out = [_pairs([])]
-        for r in met.to_pylist():
-            ids = np.frombuffer(r["ids"], np.int64)
-            x = np.frombuffer(r["block"], np.float64).reshape(len(ids), -1)
-            q = np.frombuffer(b"".join(a["vector"] for a in r["asks"]), np.float64).reshape(len(r["asks"]), -1)
-            q_ids = np.array([a["query_id"] for a in r["asks"]])
-            floor = np.array([-2.0 if a["least"] is None else a["least"] for a in r["asks"]])
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            centre = unit.mean(0)
-            size = np.linalg.norm(centre)
-            can = np.ones(len(q), bool)
-            if size > 0:
-                # no row is nearer than the angle to the centre less the widest angle from it
-                wide = np.arccos(np.clip((unit @ centre / size).min(), -1, 1))
-                angle = np.arccos(np.clip(q @ centre / (size * np.linalg.norm(q, axis=1)), -1, 1))
-                can = np.cos(np.maximum(0, angle - wide)) >= floor - 1e-9
-            if can.any():
-                out.append(_pairs(top(q[can], q_ids[can], x, ids, k, floor[can])))
-        return pa.Table.from_batches(out)
-
-    return met.groupBy("chunk", "dim", "part", "name").applyInArrow(scored, _PAIR)
+    return across
+
+
+def _cosines(met: DataFrame) -> DataFrame:
+    """query_id, ids and the cosine of q and x in double precision."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.full(batch.num_rows, np.nan)
+            own = {d: (r, v) for r, v in _lists(batch.column("q")) for d in [v.shape[1]]}
+            for rows, x in _lists(batch.column("x")):
+                at, q = own.get(x.shape[1], (np.empty(0, np.int64), x[:0]))
+                both, i, j = np.intersect1d(rows, at, return_indices=True)
+                score[both] = (x[i] * q[j]).sum(1) / (np.sqrt((x[i] * x[i]).sum(1)) * np.sqrt((q[j] * q[j]).sum(1)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(score)], names=["query_id", "ids", "score"])
+
+    return met.select("query_id", "ids", "q", "x").mapInArrow(measured, "query_id long, ids array<long>, score double").where(~F.isnan("score"))
+
+
+def search(vectors: DataFrame, query: Column, k: int = 5, *, orderings: int = ORDERINGS, window: int = WINDOW) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found for the rows where ``query`` holds."""
+    nodes, asks = _nodes(vectors, query, k)
+    ranges = max(1, -(-nodes.count() * orderings // RANGE_ROWS))
+    keep = 2 * k
+    ranged = _keyed(nodes, orderings).repartitionByRange(ranges, "ordering", "dim", "key", "node")
+    found = staged(ranged.mapInArrow(_windows(window, keep), _FOUND), "windows")
+    names = ["query_node", "node", "fold", "score"]
+    edges = found.where("border is not null").groupBy("border").applyInArrow(_across(keep), "query_node long, node long, fold long, score double")
+    pairs = found.where("border is null").select(*names).unionByName(edges)
+    each = pairs.groupBy("query_node", "fold").agg(F.max_by("node", F.struct("score", "node")).alias("node"), F.max("score").alias("score"))
+    near = Window.partitionBy("query_node").orderBy(F.col("score").desc(), "node")
+    chosen = each.withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= keep).select("query_node", "node")
+    # a query's own vector may have other ids
+    chosen = staged(chosen.unionByName(asks.select(F.col("node").alias("query_node"), "node").distinct()), "candidates")
+    discard(found)
+    x = chosen.join(nodes.select("node", "ids", F.col("embedding").alias("x")), "node").select("query_node", "ids", "x")
+    met = asks.select("query_id", F.col("node").alias("query_node"), F.col("embedding").alias("q")).join(x, "query_node")
+    scored = _cosines(met).select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    best = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

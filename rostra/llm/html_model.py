@@ -14,8 +14,9 @@ Character references are decoded, white space inside a run becomes one space, ru
 trimmed and joined in page order by one space.
 
 Defined results: null, empty and textless html give an empty text; cut-off tags, missing
-end tags and bare text are read as browsers do; repeated rows give the same; other
-columns are ignored.
+end tags and bare text are read as browsers do; a ``data-main`` attribute of an input page
+means nothing; very long and very deep pages are read whole, in time that follows their
+length; repeated rows give the same; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 PAGES = 800
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Fixed values of HTML: elements without content, of raw text, never shown as text, of inline text.
@@ -42,7 +44,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("script style template noscript textarea title iframe svg math object select datalist head noembed noframes canvas audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-CLOSED_BY = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
 class Tree:
@@ -70,12 +72,14 @@ def _bucket(n: int) -> str:
     return "0" if n == 0 else "1-3" if n < 4 else "4-9" if n < 10 else "10-24" if n < 25 else "25-"
 
 
-def parse(page: str | None) -> Tree:
-    """The tree of a page."""
+def parse(page: str | None, labelled: bool = False) -> Tree:
+    """The tree of a page; only pages that this module composes are ``labelled``."""
     tree = Tree()
     at = tree.add(-1, 0, ["tag=#root"], "", 0)
     # open elements: name, block node, label, features of an inline element's block
     stack: list[tuple[str, int, int]] = [("#root", at, 0)]
+    # how many elements of each name are open, so that a tag costs no walk through the stack
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = 0
     links = 0
@@ -107,12 +111,12 @@ def parse(page: str | None) -> Tree:
         if top not in INLINE:
             flush()
         stack.pop()
+        opened[top] -= 1
         hidden -= top in UNSEEN
         links -= top == "a"
 
     page = page or ""
     pos = 0
-    names = [s[0] for s in stack]
     n = len(page)
     while pos < n:
         m = _TAG.search(page, pos)
@@ -126,9 +130,8 @@ def parse(page: str | None) -> Tree:
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        names = [s[0] for s in stack]
         if m[1] or m[4]:
-            if name in names[1:]:
+            if opened[name]:
                 close(name)
             elif name == "p":
                 flush()
@@ -136,19 +139,18 @@ def parse(page: str | None) -> Tree:
         if name == "br":
             pieces.append(" ")
             continue
-        if name in CLOSES_P and "p" in names:
+        if name in CLOSES_P and opened["p"]:
             close("p")
         elif name in CLOSED_BY:
             ends, scope = CLOSED_BY[name]
-            ends = ends.split()
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in scope:
+            while any(opened[e] for e in ends):
+                inner = next(s[0] for s in reversed(stack) if s[0] in scope or s[0] in ends or s[0] == "#root")
+                if inner not in ends:
                     break
-                if names[k] in ends:
-                    close(names[k])
-                    if name != "tr" or names[k] == "tr":
-                        break
-        elif name == "body" and "head" in names:
+                close(inner)
+                if name != "tr" or inner == "tr":
+                    break
+        elif name == "body" and opened["head"]:
             close("head")
         if name in VOID:
             if name not in INLINE:
@@ -156,7 +158,7 @@ def parse(page: str | None) -> Tree:
             continue
         attrs = {a.lower(): x or y or z for a, x, y, z in _ATTR.findall(m[3] or m[6] or "")}
         label = stack[-1][2]
-        if "data-main" in attrs:
+        if labelled and "data-main" in attrs:
             label = int(attrs["data-main"])
         if name in INLINE:
             stack.append((name, stack[-1][1], stack[-1][2]))
@@ -167,6 +169,7 @@ def parse(page: str | None) -> Tree:
             if not hidden and name not in UNSEEN:
                 node = tree.add(node, 0, [f"tag={name}", *(f"word={w}" for w in sorted(words))], "", label)
             stack.append((name, node, label))
+        opened[name] += 1
         hidden += name in UNSEEN
         links += name == "a"
         if name in RAW:
@@ -253,7 +256,7 @@ def _entries(trees: list[Tree], names: dict[str, int]) -> tuple[np.ndarray, np.n
 
 def fit(pages: list[str], rounds: int = 150, rate: float = 0.12, decay: float = 0.0005) -> Model:
     """Maximum likelihood of the labels in ``data-main`` by Adam on the exact gradient."""
-    trees = [parse(p) for p in pages]
+    trees = [parse(p, labelled=True) for p in pages]
     names: dict[str, int] = {}
     for t in trees:
         for features in t.features:

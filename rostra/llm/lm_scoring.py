@@ -12,7 +12,8 @@ each document's share of the sum. Every n-gram of every text is counted; nothing
 capped or sampled. One shuffle carries the n-grams, packed by blocks of documents: each
 distinct n-gram of a block once (five bytes, which with the shard's number make a hash
 whose collisions stay under one in 100,000 at any size), then documents and counts. A
-very common n-gram is one entry for each block. A second, smaller shuffle adds the
+block sends a row to the shards that it has n-grams of and to no other, so rows grow with
+the text and not with blocks times shards. A very common n-gram is one entry for each block. A second, smaller shuffle adds the
 shares by block. Shards hold a bounded number of characters, so their number grows with
 the corpus and their memory does not.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from rostra.llm.common import count_hint, mix, odd_constants, text_bytes, word_hashes
 
 #: Characters of text whose n-grams one shard holds, tokens in a block, the smoothing count.
-SHARD_CHARS, BLOCK_TOKENS, SMOOTHING = 16_000_000, 400_000, 0.001
+SHARD_CHARS, BLOCK_TOKENS, SMOOTHING = 4_000_000, 400_000, 0.001
 _A, _B, _C = odd_constants(3, 5)
 _START = np.uint64(0x5BD1E9955BD1E995)
 _LOW = np.uint64((1 << 40) - 1)
@@ -47,7 +48,7 @@ _SHARES = "block long, doc binary, target_share binary, background_share binary,
 
 
 def _block(texts: list[list[bytes]], shards: int) -> list[dict]:
-    """Packed n-grams of a block of documents, one entry for each shard."""
+    """Packed n-grams of a block of documents, one entry for each shard that has some."""
     n = [len(t) for t in texts]
     w = word_hashes([x for t in texts for x in t])
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), n)
@@ -69,13 +70,12 @@ def _block(texts: list[list[bytes]], shards: int) -> list[dict]:
     heads = np.flatnonzero(new_key[cut])
     keys = key[cut][heads]
     many = np.diff(np.append(heads, len(cut))).astype(np.uint32)
-    ends = np.searchsorted(keys >> np.uint64(40), np.arange(shards + 1, dtype=np.uint64))
     at = np.append(heads, len(cut))
+    first = np.flatnonzero(np.diff((keys >> np.uint64(40)).astype(np.int64), prepend=-1))
     out = []
-    for s in range(shards):
-        a, b = ends[s], ends[s + 1]
+    for a, b in zip(first, np.append(first[1:], len(keys)), strict=True):
         part = keys[a:b] & _LOW
-        out.append({"shard": s, "high": (part >> np.uint64(8)).astype(np.uint32).tobytes(), "low": part.astype(np.uint8).tobytes(), "many": many[a:b].tobytes(), "doc": doc[at[a] : at[b]].tobytes(), "count": count[at[a] : at[b]].tobytes()})
+        out.append({"shard": int(keys[a] >> np.uint64(40)), "high": (part >> np.uint64(8)).astype(np.uint32).tobytes(), "low": part.astype(np.uint8).tobytes(), "many": many[a:b].tobytes(), "doc": doc[at[a] : at[b]].tobytes(), "count": count[at[a] : at[b]].tobytes()})
     return out
 
 
@@ -158,7 +158,8 @@ def vocabulary_size(*corpora: DataFrame) -> int:
     """Distinct words of all corpora together, estimated within two hundredths."""
     words = None
     for df in corpora:
-        part = df.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w"))
+        low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        part = df.select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
         words = part if words is None else words.unionByName(part)
     return max(1, int(words.agg(F.approx_count_distinct("w", 0.02)).first()[0] or 0))
 

@@ -3,11 +3,11 @@
 Texts become token pieces of at most ``CAPACITY`` tokens; pieces go into sequences of
 that size, as few as can be had. Full pieces are sequences by themselves. The others are
 dealt by hash into blocks of about ``BLOCK`` pieces. Every block is evolved by ``ISLANDS``
-populations apart from one another: a chromosome is a list of bins; crossover injects
-whole well-filled bins of one parent into the other, bins that hold a duplicate go, and
-the displaced pieces are placed best-fit, largest first. After each epoch the best
-chromosome of an island moves to the next one. A block stops at its lower
-bound and nowhere above it. In a second round the bins of all blocks that are less than full enough are emptied, dealt
+populations apart from one another: a chromosome tells each piece's bin, and the founders
+place the pieces best-fit in random order. Crossover injects whole well-filled bins of one
+parent into the other, bins that hold a duplicate go, and the displaced pieces are placed
+best-fit, largest first. After each epoch the best chromosome of an island moves to the
+next one. An island stops early only at the block's lower bound. In a second round the bins of all blocks that are less than full enough are emptied, dealt
 anew into fewer blocks and packed again, so the last bins of blocks are not wasted.
 
 Only lengths and piece names move; texts are read once and never shuffled.
@@ -34,9 +34,11 @@ from rostra.llm.common import staged
 
 CAPACITY = 2048
 #: Pieces that evolve together; islands for each block; epochs between which the best move.
-BLOCK, ISLANDS, EPOCHS = 4096, 3, 2
+BLOCK, ISLANDS, EPOCHS = 4096, 3, 3
 #: Chromosomes of an island and generations of an epoch.
-POPULATION, GENERATIONS = 4, 5
+POPULATION, GENERATIONS = 5, 6
+#: Tasks of an epoch at most.
+MOST_TASKS = 10_000
 #: Bins under this fill are dealt anew in the second round.
 FULL_ENOUGH = 0.995
 
@@ -98,109 +100,103 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return docs.select("doc_id", "text").mapInArrow(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(bins: list[list[int]], room: list[int], items: list[int], size: np.ndarray, capacity: int) -> None:
-    """Place items, largest first, each where the least room is left; opens bins as needed."""
+def best_fit(bin_of: np.ndarray, room: list[int], items: np.ndarray, size: np.ndarray, capacity: int) -> None:
+    """Place items in the given order, each where the least room is left; opens bins as needed."""
     free = sorted((r, b) for b, r in enumerate(room) if r)
-    for i in sorted(items, key=lambda i: (-size[i], i)):
-        n = int(size[i])
+    for i, n in zip(items.tolist(), size[items].tolist(), strict=True):
         at = bisect.bisect_left(free, (n, -1))
         if at < len(free):
             left, b = free.pop(at)
         else:
-            left, b = capacity, len(bins)
-            bins.append([])
+            left, b = capacity, len(room)
             room.append(capacity)
-        bins[b].append(i)
+        bin_of[i] = b
         room[b] = left - n
         if room[b]:
             bisect.insort(free, (room[b], b))
 
 
-def fitness(room: list[int], capacity: int) -> tuple[int, float]:
+def _falling(items: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return items[np.lexsort((items, -size[items]))]
+
+
+def fills(bin_of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What each bin holds."""
+    return np.bincount(bin_of, weights=size).astype(np.int64)
+
+
+def fitness(bin_of: np.ndarray, size: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then the more unequal fill, which leaves room that can be used."""
-    fill = 1 - np.array(room) / capacity
-    return (-len(room), float((fill * fill).sum()))
+    fill = fills(bin_of, size) / capacity
+    return (-len(fill), float((fill * fill).sum()))
 
 
-def crossover(a: list[list[int]], b: list[list[int]], size: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[list[list[int]], list[int]]:
+def crossover(a: np.ndarray, b: np.ndarray, size: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """Inject well-filled bins of b into a, drop the bins that hold one of their items, best-fit the rest."""
-    fill = np.array([size[x].sum() for x in b])
+    fill = fills(b, size)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    taken = rng.choice(good, max(1, len(good) // 4), replace=False)
-    inside = np.zeros(len(size), bool)
-    for k in taken:
-        inside[b[k]] = True
-    bins, loose = [list(b[k]) for k in taken], []
-    for x in a:
-        hit = inside[x]
-        if hit.any():
-            loose += [i for i, h in zip(x, hit, strict=True) if not h]
-        else:
-            bins.append(list(x))
-    room = [capacity - int(size[x].sum()) for x in bins]
-    best_fit(bins, room, loose, size, capacity)
-    return bins, room
+    taken = rng.choice(good, max(1, len(good) // 2), replace=False)
+    at = np.full(len(fill), -1)
+    at[taken] = np.arange(len(taken))
+    injected = at[b]
+    inside = injected >= 0
+    hit = np.zeros(int(a.max()) + 1, bool)
+    hit[a[inside]] = True
+    child = np.where(inside, injected, len(taken) + (np.cumsum(~hit) - 1)[a])
+    loose = np.flatnonzero(~inside & hit[a])
+    child[loose] = -1
+    return _refilled(child, loose, size, capacity)
+
+
+def mutate(a: np.ndarray, size: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Empty the worst bins and a few others, and place their items anew."""
+    fill = fills(a, size)
+    n = max(1, len(fill) // 10)
+    hit = np.zeros(len(fill), bool)
+    hit[np.argsort(fill, kind="stable")[:n]] = True
+    hit[rng.choice(len(fill), n)] = True
+    child = (np.cumsum(~hit) - 1)[a]
+    loose = np.flatnonzero(hit[a])
+    child[loose] = -1
+    return _refilled(child, loose, size, capacity)
 
 
-def mutate(bins: list[list[int]], size: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[list[list[int]], list[int]]:
-    """Empty the worst bins and a few others, and place their items anew."""
-    fill = np.array([size[x].sum() for x in bins])
-    out = set(np.argsort(fill)[: max(1, len(bins) // 50)].tolist()) | set(rng.choice(len(bins), max(1, len(bins) // 50)).tolist())
-    kept = [list(x) for k, x in enumerate(bins) if k not in out]
-    room = [capacity - int(size[x].sum()) for x in kept]
-    best_fit(kept, room, [i for k in sorted(out) for i in bins[k]], size, capacity)
-    return kept, room
+def _refilled(child: np.ndarray, loose: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
+    there = child >= 0
+    room = (capacity - fills(child[there], size[there])).tolist() if there.any() else []
+    best_fit(child, room, _falling(loose, size), size, capacity)
+    return child.astype(np.int32)
 
 
-def evolve(size: np.ndarray, population: list[list[list[int]]], rng: np.random.Generator, capacity: int, generations: int) -> list[list[list[int]]]:
+def evolve(size: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, capacity: int, generations: int) -> list[np.ndarray]:
     """Generations of one island, best first; stops at the bins that the sum of sizes needs."""
     least = -(-int(size.sum()) // capacity)
-    scored = []
-    for bins in population:
-        room = [capacity - int(size[x].sum()) for x in bins]
-        scored.append((fitness(room, capacity), bins))
-    scored.sort(key=lambda x: x[0], reverse=True)
+    best_first = lambda x: sorted(x, key=lambda p: p[0], reverse=True)
+    scored = best_first((fitness(a, size, capacity), a) for a in population)
     for _ in range(generations):
         if -scored[0][0][0] <= least:
             break
         young = []
         for k in range(1, len(scored)):
-            bins, room = crossover(scored[0][1], scored[k][1], size, capacity, rng)
-            bins, room = mutate(bins, size, capacity, rng)
-            young.append((fitness(room, capacity), bins))
-        scored = sorted([*scored, *young], key=lambda x: x[0], reverse=True)[: len(population)]
-    return [b for _, b in scored]
+            child = mutate(crossover(scored[0][1], scored[k][1], size, capacity, rng), size, capacity, rng)
+            young.append((fitness(child, size, capacity), child))
+        scored = best_first([*scored, *young])[: len(population)]
+    return [a for _, a in scored]
 
 
-def founders(size: np.ndarray, rng: np.random.Generator, capacity: int, n: int) -> list[list[list[int]]]:
-    """Best-fit decreasing, and the same after a random tenth of the items has been placed."""
+def founders(size: np.ndarray, rng: np.random.Generator, capacity: int, n: int) -> list[np.ndarray]:
+    """Best-fit of the items in random orders."""
     out = []
-    for k in range(n):
-        early = rng.permutation(len(size))[: len(size) // 10] if k else []
-        bins: list[list[int]] = []
-        room: list[int] = []
-        best_fit(bins, room, [int(i) for i in early], size, capacity)
-        held = set(map(int, early))
-        best_fit(bins, room, [i for i in range(len(size)) if i not in held], size, capacity)
-        out.append(bins)
+    for _ in range(n):
+        bin_of = np.empty(len(size), np.int32)
+        best_fit(bin_of, [], rng.permutation(len(size)), size, capacity)
+        out.append(bin_of)
     return out
 
 
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def _bin_of(bins: list[list[int]], n: int) -> np.ndarray:
-    out = np.empty(n, np.int32)
-    for b, x in enumerate(bins):
-        out[x] = b
-    return out
-
-
-def _bins_of(bin_of: np.ndarray) -> list[list[int]]:
-    order = np.argsort(bin_of, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1)] if len(bin_of) else []
-
-
 def _pack_blocks(items: DataFrame, capacity: int, block: int, first_id: int) -> DataFrame:
     """``items`` with block, bin and fill, each block packed by its islands."""
     n = items.count()
@@ -211,21 +207,24 @@ def _pack_blocks(items: DataFrame, capacity: int, block: int, first_id: int) ->
     rows = staged(dealt.groupBy("block").agg(order.alias("items")), "blocks")
     sizes = rows.select("block", F.col("items.length").alias("sizes"))
     state = sizes.select("block", "sizes", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(None).cast("array<binary>").alias("chromosomes"))
+    # islands are small in bytes and long in work, so their tasks are counted, not measured
+    tasks = min(blocks * ISLANDS, MOST_TASKS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         size = np.asarray(r["sizes"], np.int64)
-        rng = np.random.default_rng([int(r["block"]), int(r["island"]), r["chromosomes"] is None])
+        rng = np.random.default_rng([int(r["block"]), int(r["island"]), int(r["epoch"])])
         if r["chromosomes"] is None:
             population = founders(size, rng, capacity, POPULATION)
         else:
-            population = [_bins_of(np.frombuffer(c, np.int32)) for c in r["chromosomes"]]
+            population = [np.frombuffer(c, np.int32) for c in r["chromosomes"]]
         evolved = evolve(size, population, rng, capacity, GENERATIONS)
-        count, even = fitness([capacity - int(size[x].sum()) for x in evolved[0]], capacity)
-        return pdf.assign(chromosomes=[[_bin_of(b, len(size)).tobytes() for b in evolved]], n_bins=-count, even=-even)
+        count, even = fitness(evolved[0], size, capacity)
+        return pdf.assign(chromosomes=[[a.astype(np.int32).tobytes() for a in evolved]], n_bins=-count, even=-even)
 
     for epoch in range(EPOCHS):
-        evolved = staged(state.groupBy("block", "island").applyInPandas(run, "block long, sizes array<long>, island int, chromosomes array<binary>, n_bins int, even double"), "islands")
+        held = state.withColumn("epoch", F.lit(epoch)).repartition(tasks, "block", "island")
+        evolved = staged(held.groupBy("block", "island").applyInPandas(run, "block long, sizes array<long>, island int, chromosomes array<binary>, epoch int, n_bins int, even double"), "islands")
         if epoch < EPOCHS - 1:
             # the best of each island takes the place of the worst of the next
             moving = evolved.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("chromosomes", 1).alias("elite"))

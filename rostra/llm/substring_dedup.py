@@ -6,17 +6,18 @@ one) are removed; windows are judged on the input.
 
 Of every window the ``PHRASE``-word phrase with the smallest hash is its anchor, so equal
 windows have equal anchors and an anchor serves many windows. Anchors are counted over
-all documents; those that occur more than once confirm recurring passages. Each document
-that holds some goes, with its own recurring anchors, to a shard; a shard compiles the
-phrases of its documents into one Aho-Corasick automaton and streams the texts through
-it, which locates every occurrence. Windows that hold a located phrase and whose anchor
-recurs are the only ones that can recur: their hashes are grouped, and each group's
-first place decides.
+all documents; those that occur more than once confirm recurring passages, whose phrases
+are dealt to shards by the first document that has them. A shard compiles its phrases into
+one Aho-Corasick automaton, and every document that has a phrase of the shard is streamed
+through it, which locates all occurrences. A window whose anchor is located is a candidate:
+its hash is grouped with the others, and each group's first place decides. A passage that
+very many documents share makes a busy shard: its documents are dealt to as many parts as
+their words need, each with a copy of the automaton.
 
 Exact copies of a whole text need no windows: all words of a later copy go. Counts are
 combined before a shuffle, recurring anchors and first places are staged, so that joins
-on a hot passage can be split. Automata are bounded by ``SHARD_WORDS`` of text. Equality
-of windows is that of 64-bit hashes of their words.
+on a hot passage can be split. An automaton has about ``SHARD_PHRASES`` phrases, a part
+about ``PART_WORDS`` words. Equality of windows is that of 64-bit hashes of their words.
 
 Defined results: null and empty texts have no words and nothing to remove; texts under
 ``window`` words keep all; rows with a null doc_id have no place in the order, keep all
@@ -36,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.common import as_long, gram_hashes, staged, text_bytes, word_hashes
+from rostra.llm.common import as_long, discard, gram_hashes, staged, text_bytes, word_hashes
 
 WINDOW, PHRASE = 20, 10
-#: Words of text whose phrases share one automaton.
-SHARD_WORDS = 500_000
+#: Phrases of one automaton, and words of text that one task streams through it.
+SHARD_PHRASES, PART_WORDS = 20_000, 500_000
+_NONE = np.uint64(2**64 - 1)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -92,55 +94,68 @@ def _anchored(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.mapInArrow(found, "doc_id long, anchors array<long>")
 
 
-def _located(texts: list[list[bytes]], known: list[np.ndarray], window: int, phrase: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Starts and hashes of the windows of each text that may recur, by one automaton."""
-    hashed = [word_hashes(t) for t in texts]
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    spans = []
-    for words, w, recurring in zip(texts, hashed, known, strict=True):
-        g, m = anchors(w, window, phrase)
-        spans.append((g, m))
-        for p in np.flatnonzero(np.isin(g, recurring)):
-            machine.add_word(b" ".join([b"", *words[p : p + phrase], b""]).decode("latin-1"))
-    if len(machine):
-        machine.make_automaton()
-    for words, w, recurring, (_, m) in zip(texts, hashed, known, spans, strict=True):
-        if not len(machine) or not len(m):
-            yield np.empty(0, np.int64), np.empty(0, np.uint64)
-            continue
-        line = b" ".join([b"", *words, b""]).decode("latin-1")
-        ends = np.fromiter((e for e, _ in machine.iter(line)), np.int64)
-        # the blank that ends word i is at place[i]; a hit's end is the blank after its last word
-        place = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        start = np.searchsorted(place, ends) - phrase + 1
-        mark = np.zeros(len(m) + 1, np.int64)
-        np.add.at(mark, np.clip(start - (window - phrase), 0, len(m)), 1)
-        np.add.at(mark, np.clip(start + 1, 0, len(m)), -1)
-        at = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & np.isin(m, recurring))
-        yield at, gram_hashes(w, window)[at]
-
-
-def _candidates(held: DataFrame, window: int, phrase: int) -> DataFrame:
-    """doc_id, text, starts and hashes of windows of documents that come with recurring anchors."""
-
-    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _phrases(texts: DataFrame, phrase: int) -> DataFrame:
+    """(shard, phrase): the words of the recurring anchors that a document is the first to have, blanks on both sides."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                texts, n = [], 0
-                while lo + len(texts) < batch.num_rows and n < SHARD_WORDS:
-                    texts.append(text_bytes(batch.column("text")[lo + len(texts)].as_py()).split())
-                    n += len(texts[-1])
-                part = batch.slice(lo, len(texts))
-                known = [np.asarray(a, np.int64).view(np.uint64) for a in part.column("anchors").to_pylist()]
-                at, hashes = zip(*_located(texts, known, window, phrase), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([as_long(h) for h in hashes], pa.list_(pa.int64()))],
-                    names=["doc_id", "text", "starts", "hashes"],
-                )
-                lo += len(texts)
-
-    return held.mapInArrow(streamed, "doc_id long, text string, starts array<int>, hashes array<long>")
+            shard, out = [], []
+            for text, own, at in zip(*(batch.column(c).to_pylist() for c in ("text", "own", "source_shard")), strict=True):
+                words = text_bytes(text).split()
+                g = gram_hashes(word_hashes(words), phrase)
+                found = {b" ".join([b"", *words[p : p + phrase], b""]) for p in np.flatnonzero(np.isin(g, np.array(own, np.int64).view(np.uint64)))}
+                out += found
+                shard += [at] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(out, pa.binary())], names=["shard", "phrase"])
+
+    return texts.where("own is not null").select("text", "own", "source_shard").mapInArrow(spelled, "shard long, phrase binary")
+
+
+def located(words: list[bytes], machine: ahocorasick.Automaton, phrase: int) -> np.ndarray:
+    """Starts of the places where a phrase of the automaton occurs in a text."""
+    line = b" ".join([b"", *words, b""]).decode("latin-1")
+    ends = np.fromiter((e for e, _ in machine.iter(line)), np.int64)
+    # the blank that ends word i is at place[i]; a hit's end is the blank after its last word
+    place = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return np.searchsorted(place, ends) - phrase + 1
+
+
+def _streamed(window: int, phrase: int):
+    """What a part of a shard does: compile the phrases, stream the texts, give the candidate windows."""
+
+    def found(texts: pa.Table, phrases: pa.Table) -> pa.Table:
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases.column("phrase").to_pylist():
+            machine.add_word(p.decode("latin-1"))
+        ids, at, hashes = [], [], []
+        if len(machine):
+            machine.make_automaton()
+            for i, text in zip(texts.column("doc_id").to_pylist(), texts.column("text"), strict=True):
+                words = text_bytes(text.as_py()).split()
+                start = located(words, machine, phrase)
+                if not len(start) or len(words) < window:
+                    continue
+                w = word_hashes(words)
+                g, m = anchors(w, window, phrase)
+                held = np.full(len(g), _NONE)
+                held[start] = g[start]
+                # a window counts where its own anchor is among the places found
+                mine = np.flatnonzero(sliding_min(held, window - phrase + 1) == m)
+                if len(mine):
+                    ids.append(i)
+                    at.append(mine.astype(np.int32))
+                    hashes.append(as_long(gram_hashes(w, window)[mine]))
+        return pa.table([pa.array(ids, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "starts", "hashes"])
+
+    return found
+
+
+def _candidates(texts: DataFrame, parts: DataFrame, window: int, phrase: int) -> DataFrame:
+    """doc_id, starts and hashes of the windows whose anchor an automaton locates."""
+    visits = texts.select("doc_id", "text", F.explode("visits").alias("v")).select("v.shard", "v.part", "doc_id", "text")
+    # every part of a shard gets the shard's phrases
+    machines = _phrases(texts, phrase).join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "phrase")
+    return visits.groupBy("shard", "part").cogroup(machines.groupBy("shard", "part")).applyInArrow(_streamed(window, phrase), "doc_id long, starts array<int>, hashes array<long>")
 
 
 def covered(n: int, starts: list[int], window: int) -> np.ndarray:
@@ -180,10 +195,19 @@ def changes(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tupl
     copies = staged(single.where(F.col("n_words") >= window).join(first, "key").where("doc_id > first_id").select("doc_id"), "copies")
 
     named = docs.where("doc_id is not null")
-    rows = _anchored(named, window, phrase).select("doc_id", F.explode("anchors").alias("anchor"))
-    recurring = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    own = rows.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti")
-    seen = staged(_candidates(named.join(own, "doc_id").select("doc_id", "text", "anchors"), window, phrase).where(F.size("starts") > 0), "windows")
+    held = staged(_anchored(named, window, phrase), "held")
+    rows = held.select("doc_id", F.explode("anchors").alias("anchor"))
+    recurring = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("source")).where("n > 1").select("anchor", "source"), "anchors")
+    shard = F.pmod(F.xxhash64("source"), F.lit(max(1, -(-recurring.count() // SHARD_PHRASES))))
+    visits = staged(rows.join(recurring, "anchor").select("doc_id", shard.alias("shard")).distinct().join(copies, "doc_id", "left_anti"), "visits")
+    words = placed.groupBy("doc_id").agg(F.sum("n_words").alias("n"))
+    parts = staged(visits.join(words, "doc_id").groupBy("shard").agg(F.ceil(F.sum("n") / PART_WORDS).cast("int").alias("parts")), "parts")
+    at = F.struct("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    plan = visits.join(parts, "shard").groupBy("doc_id").agg(F.collect_list(at).alias("visits"))
+    own = recurring.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list("anchor").alias("own"), F.first(shard).alias("source_shard"))
+    texts = staged(named.join(plan.join(own, "doc_id", "left"), "doc_id"), "texts")
+    discard(held, recurring, visits)
+    seen = staged(_candidates(texts, parts, window, phrase), "windows")
 
     places = seen.select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(F.col("w.hashes").alias("hash"), "doc_id", F.col("w.starts").alias("start"))
     firsts = staged(
@@ -191,7 +215,7 @@ def changes(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tupl
         "firsts",
     )
     later = places.join(firsts, "hash").where((F.col("doc_id") > F.col("first_id")) | ((F.col("doc_id") == F.col("first_id")) & (F.col("start") > F.col("first_start"))))
-    marked = seen.select("doc_id", "text").join(later.groupBy("doc_id").agg(F.collect_set("start").alias("marked")), "doc_id")
+    marked = texts.select("doc_id", "text").join(later.groupBy("doc_id").agg(F.collect_set("start").alias("marked")), "doc_id")
     flags = copies.withColumn("copy", F.lit(True))
     return facts.join(flags, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), _removed(marked, window)
 

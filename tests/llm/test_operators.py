@@ -216,6 +216,37 @@ def test_decontamination(spark, corpus):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_words_and_drop_nothing(spark):
+    bench = spark.createDataFrame([(0, "forty-two"), (1, "Oslo"), (2, "x"), (3, "the capital of france")], "item_id long, text string")
+    rows = [(1, "It is forty-two, I say", "s"), (2, "twentyforty-twos", "s"), (3, "oslo", "s"), (4, "oslos", "s"), (5, "The capital of  France?", "s"), (6, "the capital of france?", "s"), (7, None, "s"), (8, "", "s")]
+    df = made(spark, rows)
+    got = {(r["doc_id"], r["item_id"], r["start"], r["length"]) for r in decontaminate.matches(df, bench).where("short").collect()}
+    assert got == {(1, 0, 6, 9), (3, 1, 0, 4), (5, 3, 0, 22), (6, 3, 0, 21)}
+    assert decontaminate.drop_contaminated(df, bench).count() == len(rows)
+
+
+def test_search_equals_brute_force(monkeypatch):
+    """Every item with at most its budget of edits, also where most q-grams are common to many items."""
+    rng = random.Random(4)
+    monkeypatch.setattr(decontaminate, "COMMON", 3)
+    base = bytes(rng.choices(b"abcdefgh ", k=60)).strip()
+    items = [bytes(rng.choices(b"abcdefgh ", k=k)).strip() for k in (30, 45, 60, 100)] + [base + bytes(rng.choices(b"xyz ", k=25)).strip() for _ in range(8)]
+    index = decontaminate.Index.of(list(enumerate(items)))
+    assert (index.need < np.array([len(t) + 1 - decontaminate.Q for t in index.texts]) - decontaminate.Q * index.edits).any()
+    for _ in range(60):
+        i = rng.randrange(len(items))
+        x = bytearray(index.texts[i])
+        for _ in range(rng.randrange(index.edits[i] + 2)):
+            p = rng.randrange(len(x))
+            x[p : p + rng.randrange(2)] = b"#" * rng.randrange(2)
+        text = bytes(rng.choices(b"abcdefgh ", k=40)) + bytes(x) + bytes(rng.choices(b"abcdefgh ", k=40))
+        got = {h[1] for h in decontaminate.search(index, [b"", text, b"zz"]) if h[0] == 1}
+        assert got == {k for k, t in enumerate(index.texts) if edit_distance_inside(t, text) <= index.edits[k]}
+    # few texts in a dense count, many in a sorted one
+    monkeypatch.setattr(decontaminate, "_CELLS", 0)
+    assert {h[1] for h in decontaminate.search(index, [index.texts[0]])} >= {0}
+
+
 def edit_distance_inside(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
@@ -271,23 +302,46 @@ def test_tokens_are_the_tokenizers():
         assert ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
-def test_evolution_improves_or_keeps():
+def test_checksums_are_those_of_the_tokens(spark):
+    from zlib import crc32
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(i, "héllo wörld, no. %d " % i * (1 + 700 * (i % 3)), "s") for i in range(9)] + [(20, None, "s"), (21, "", "s")]
+    text = {i: t or "" for i, t, _ in rows}
+    for r in packing.pack_documents(made(spark, rows)).collect():
+        ids = [*whole.encode(text[r["doc_id"]], add_special_tokens=False).ids, 0]
+        part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+        assert len(part) == r["length"] and r["ids_crc32"] == crc32(part.tobytes())
+
+
+def whole_packing(bin_of, size, capacity):
+    return packing.fills(bin_of, size).max() <= capacity and sorted(set(bin_of.tolist())) == list(range(int(bin_of.max()) + 1))
+
+
+def test_evolution_improves():
+    """Crossover and mutation lose and double nothing, and leave fewer bins than the best founder."""
     rng = np.random.default_rng(4)
-    size = rng.integers(200, 900, 300)
-    start = packing.founders(size, rng, 2048, 3)
-    end = packing.evolve(size, start, rng, 2048, 8)
-    assert len(end[0]) <= min(map(len, start)) and sorted(i for b in end[0] for i in b) == list(range(300))
-    assert all(size[b].sum() <= 2048 for b in end[0])
-
-
-def test_first_pass_evolves(spark):
-    """A block whose founders are all one bin above the bound evolves down to it in the main pass."""
-    size = np.sort(np.random.default_rng(76).integers(150, 700, 60))
-    bound = -(-int(size.sum()) // 1000)
-    assert min(len(b) for i in range(packing.ISLANDS) for b in packing.founders(size, np.random.default_rng([0, i, True]), 1000, packing.POPULATION)) == bound + 1
+    size = np.sort(rng.integers(100, 900, 1500))
+    start = packing.founders(size, rng, 2048, 5)
+    child = packing.crossover(start[0], start[1], size, 2048, rng)
+    assert all(whole_packing(a, size, 2048) for a in [*start, child, packing.mutate(child, size, 2048, rng)])
+    end = packing.evolve(size, start, rng, 2048, 12)
+    assert whole_packing(end[0], size, 2048) and end[0].max() < min(a.max() for a in start)
+    bound = -(-int(size.sum()) // 2048)
+    assert end[0].max() + 1 <= bound + 3 < min(a.max() + 1 for a in start)
+
+
+def test_blocks_evolve_on_islands(spark):
+    """In the main pass a block whose founders are all above the bound comes down to it."""
+    size = np.sort(np.random.default_rng(76).integers(150, 700, 600))
+    bound = -(-int(size.sum()) // 2048)
+    assert min(a.max() + 1 for i in range(packing.ISLANDS) for a in packing.founders(size, np.random.default_rng([0, i, 0]), 2048, packing.POPULATION)) > bound
     items = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(size)], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    rows = packing._pack_blocks(items, 1000, 4096, 0).collect()
-    assert len(rows) == 60 and len({r["sequence_id"] for r in rows}) == bound
+    rows = packing._pack_blocks(items, 2048, 4096, 0).collect()
+    assert len(rows) == 600 and len({r["sequence_id"] for r in rows}) <= bound + 1
 
 
 # -- language models --------------------------------------------------------------------------
@@ -385,7 +439,7 @@ def test_gradient_of_the_bags():
 
 
 def truth(page):
-    t = html_model.parse(page)
+    t = html_model.parse(page, labelled=True)
     return " ".join(x for x, r, y in zip(t.text, t.run, t.label, strict=True) if r and y)
 
 
@@ -427,6 +481,30 @@ def test_html_rows(spark):
     assert html_model.extract(df.limit(0)).count() == 0
 
 
+def test_html_reads_no_labels_from_pages(spark):
+    """Attributes that look like labels mean nothing; very deep pages take no longer than long ones."""
+    article = "<article><h1>Head line</h1><p>One bold word of many, told well.</p></article>"
+    pages = [f'<body {a}><nav><ul><li><a href=x>Menu</a></ul></nav>{article}</body>' for a in ("", 'data-main="scripts/main"', 'data-main=""', "data-main=0", 'data-id="sidebar comments" data-class=ad')]
+    got = {r["text"] for r in html_model.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert got == {"Head line One bold word of many, told well."}
+    deep = html_model.parse("<div>" * 20_000 + "x" + "<li>y" * 20_000)
+    assert len(deep.parent) > 40_000
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_html_on_pages_that_it_has_not_learned_from(spark):
+    """The table's pages hold one article element each; its text, and nothing else, is to come out."""
+    import html
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in html_model.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    for r in rows:
+        inside = re.search(r"<article[^>]*>(.*?)(?:</article>|<footer|\Z)", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|h3|div|ul|li|blockquote|table|tr|td|pre)\b[^>]*>|<br>", inside)]
+        assert got[r["page_id"]] == " ".join(x for x in blocks if x)
+
+
 # -- neighbours ---------------------------------------------------------------------------------
 
 
@@ -458,8 +536,6 @@ def test_neighbours_equal_brute_force(spark):
         assert [v for v, _ in got[q]] == want.tolist()
         assert np.allclose([c for _, c in got[q]], s[want])
     assert [v for v, _ in got[1200]] == [1201] and set(got) == {*range(0, 700, 50), 1200}
-    near = {(r["query_id"], r["vec_id"]) for r in ann.search(df, query, exact=False).collect()}
-    assert len(near & {(q, v) for q, vs in got.items() for v, _ in vs}) >= 0.9 * len(near)
     assert ann.search(df.limit(0), query).count() == 0
 
 
@@ -469,15 +545,144 @@ def test_repeated_ids_crowd_out_nothing(spark):
     base = rng.normal(size=16)
     near = np.array([base + (0.01 * (i + 1)) * rng.normal(size=16) for i in range(7)])
     x = np.concatenate([np.repeat(near[:1], 6, 0), near[1:]])
-    got = ann.top(base[None], np.array([99]), x, np.array([7] * 6 + list(range(8, 14))), 5)
+    ids = np.array([7] * 6 + list(range(8, 14)))
+    _, at, _ = ann.top(base[None], np.array([99]), x, ids, 5)
     score = {7 + i: float(v @ base / np.linalg.norm(v) / np.linalg.norm(base)) for i, v in enumerate(near)}
     want = sorted(score, key=lambda i: -score[i])[:5]
-    assert [v for _, v, _ in got] == want
+    assert ids[at].tolist() == want
     rows = [(99, base.tolist())] + [(7 + i, v.tolist()) for i, v in enumerate(near)]
     rows += [(7, near[0].tolist())] * 40 + [(7, (near[0] + 1e-6 * k).tolist()) for k in range(20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = ann.search(df, F.col("vec_id") == 99).orderBy("rank").collect()
     assert [r["vec_id"] for r in found] == want
     # a window of 32 rows: the 40 equal rows count as one there
-    found = ann.search(spark.createDataFrame(rows[:-20], df.schema), F.col("vec_id") == 99, window=32, exact=False).orderBy("rank").collect()
+    found = ann.search(spark.createDataFrame(rows[:-20], df.schema), F.col("vec_id") == 99, window=32).orderBy("rank").collect()
     assert [r["vec_id"] for r in found] == want
+
+
+def brute_recall(found, x, queries, k=5):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in queries:
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:k].tolist()) & found[q])
+    return hits / (k * len(queries))
+
+
+def test_recall_where_the_table_is_much_larger_than_the_window(spark):
+    """25 windows in a table, ranges smaller than it: without structure, and with clusters."""
+    rng = np.random.default_rng(8)
+    flat = rng.normal(size=(6400, 64))
+    grouped = rng.normal(size=(80, 64))[rng.integers(0, 80, 6400)] + 0.7 * rng.normal(size=(6400, 64))
+    for x, least in ((flat, 0.9), (grouped, 0.97)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        found = defaultdict(set)
+        for r in ann.search(df, F.col("vec_id") % 50 == 0, window=256).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        assert all(len(found[q]) == 5 for q in range(0, 6400, 50))
+        assert brute_recall(found, x, range(0, 6400, 50)) >= least
+
+
+def test_windows_go_on_over_the_edges_of_ranges(spark, monkeypatch):
+    """With one ordering, what a query finds does not depend on how many ranges the curve is cut into."""
+    x = np.random.default_rng(9).normal(size=(1500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    recall = []
+    for rows in (100_000, 400):
+        monkeypatch.setattr(ann, "RANGE_ROWS", rows)
+        found = defaultdict(set)
+        for r in ann.search(df, F.col("vec_id") % 5 == 0, window=200, orderings=1).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        recall.append(brute_recall(found, x, range(0, 1500, 5)))
+    assert abs(recall[0] - recall[1]) < 0.02
+
+
+def test_tiny_huge_and_common_vectors(spark):
+    rows = [(0, [3e-200, 4e-200]), (1, [3e200, 4e200]), (2, [5e-324, 0.0]), (3, [1.0, 0.1])] + [(i, [3.0, 4.0]) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id").isin(0, 2, 100, 350), window=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    assert [v for v, _ in got[350]] == [0, 1, 100, 101, 102] and [v for v, _ in got[100]] == [0, 1, 101, 102, 103]
+    assert [v for v, _ in got[0]] == [1, 100, 101, 102, 103] and got[2][0][0] == 3
+    assert all(s == 1.0 for _, s in got[350])
+
+
+# -- passages through automata ---------------------------------------------------------------------
+
+
+def test_the_automata_decide(spark, corpus, monkeypatch):
+    """Small shards and parts change nothing; without what the automata locate nothing is removed."""
+    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", 7)
+    monkeypatch.setattr(substring_dedup, "PART_WORDS", 100)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(made(spark, corpus)).collect() if r["doc_id"] is not None}
+    want = brute_passages(corpus)
+    assert got == want
+    machine = substring_dedup.ahocorasick.Automaton(substring_dedup.ahocorasick.STORE_LENGTH)
+    machine.add_word(" b c ")
+    machine.make_automaton()
+    assert substring_dedup.located("a b c b c d".encode().split(), machine, 2).tolist() == [1, 3]
+
+
+def test_removal_needs_the_automata(spark, corpus):
+    none = lambda texts, phrases: substring_dedup._streamed(20, 10)(texts, phrases.slice(0, 0))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substring_dedup, "_streamed", lambda window, phrase: none)
+        facts, changed = substring_dedup.changes(made(spark, corpus))
+        assert changed.count() == 0
+
+
+# -- empty tables -----------------------------------------------------------------------------------
+
+
+def test_empty_documents(spark, corpus):
+    none = clashing(made(spark, corpus)).limit(0)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "an item that is long enough to be one")], "item_id long, text string")
+    some = spark.createDataFrame([("words of a target",)], "text string")
+    for out in (
+        minhash.groups(none),
+        minhash.keep_one(none),
+        line_dedup.strip_lines(none),
+        line_dedup.clean(none),
+        lm_scoring.score(none, some),
+        licenses.scan(none),
+        decontaminate.matches(none, bench),
+        decontaminate.drop_contaminated(none, bench),
+        substring_dedup.dedup(none),
+        quality_mil.classify(none, labels),
+        quality_mil.keep_good(none, labels),
+        packing.pack_documents(none),
+    ):
+        assert out.count() == 0
+
+
+def test_one_very_long_text(spark):
+    """A text of 200,000 words among short ones, in every document operator."""
+    rng = random.Random(12)
+    long = " ".join(words(rng, 200_000, 50_000))
+    df = made(spark, [(1, long, "a"), (2, long + " more", "b"), (3, "short one", "c"), (4, long[200_000:200_900], "d")])
+    assert {r["doc_id"]: r["component_id"] for r in minhash.groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(df).collect()}
+    assert gone[1][1] == 0 and gone[2] == (200_001, 200_000) and gone[4][1] > 0
+    item = spark.createDataFrame([(9, long[500_000:500_300])], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.matches(df, item).collect()} == {1, 2}
+    assert {r["n_tokens"] for r in lm_scoring.score(df, df.select("text")).collect()} >= {200_000, 200_001, 2}
+    assert quality_mil.classify(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).count() == 4
+
+
+def test_licenses_of_one_family(spark):
+    """The license that a text holds is found, and not its siblings that share most words; one changed word anywhere hides none."""
+    rows = []
+    for k, (name, t) in enumerate(licenses.TEMPLATES.items()):
+        rows.append((k, f"x y z {t} and more", name))
+    got = defaultdict(set)
+    for r in licenses.scan(made(spark, rows)).collect():
+        got[r["doc_id"]].add(r["license"])
+    for k, _, name in rows:
+        assert name in got[k]
+        assert {n for n in got[k] if n.split("-")[0] in ("GPL", "LGPL", "AGPL")} <= {n for n in (name, f"{name} notice", name.removesuffix(" notice"))}
+    isc = licenses.TEMPLATES["ISC"].split()
+    edited = [(i, "a b " * (i % 9) + " ".join([*isc[:i], "changed", *isc[i + 1 :]]) + " c d" * (i % 5), "s") for i in range(len(isc))]
+    assert {r["doc_id"] for r in licenses.scan(made(spark, edited)).where("license = 'ISC'").collect()} == set(range(len(isc)))
