@@ -325,7 +325,7 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
         return f' {"id" if maybe(0.2) else "class"}="{value}"'
 
     def link_list() -> str:
-        items = "".join(f'<li><a href="/{word()}">{words(1, 4)}</a>{"</li>" if maybe(0.8) else ""}' for _ in range(rng.randrange(3, 9)))
+        items = "".join(f'<li><a href="/{word()}">{words(1, 4)}</a>{"</li>" if maybe(0.8) else ""}' for _ in range(rng.randrange(1, 9)))
         return f"<ul>{items}</ul>" if maybe(0.7) else " ".join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(5))
 
     def prose(tag: str = "p") -> str:

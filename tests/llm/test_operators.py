@@ -484,7 +484,7 @@ def test_html_rows(spark):
 def test_html_reads_no_labels_from_pages(spark):
     """Attributes that look like labels mean nothing; very deep pages take no longer than long ones."""
     article = "<article><h1>Head line</h1><p>One bold word of many, told well.</p></article>"
-    pages = [f'<body {a}><nav><ul><li><a href=x>Menu</a></ul></nav>{article}</body>' for a in ("", 'data-main="scripts/main"', 'data-main=""', "data-main=0", 'data-id="sidebar comments" data-class=ad')]
+    pages = [f'<body {a}><nav><ul><li><a href=x>Menu</a></ul></nav>{article}<footer>&copy; me</footer></body>' for a in ("", 'data-main="scripts/main"', 'data-main=""', "data-main=0", 'data-id="sidebar comments" data-class=ad')]
     got = {r["text"] for r in html_model.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
     assert got == {"Head line One bold word of many, told well."}
     deep = html_model.parse("<div>" * 20_000 + "x" + "<li>y" * 20_000)
