@@ -76,6 +76,7 @@ ENTITY_BLACKLIST = ["Hon", "Jr", "Memory", "Speaker", "Thereupon", "Sr", "Tribut
 ENTITY_TAILS = [" On", " Sine Die Adjournment"]
 CHUNK_BLACKLIST = [" hon ", "sine die adjournment", "who", "where", "when", "what", "behalf", "somebody", "some one", "anybody", "any one"]
 PRONOUN_LEMMA = "-PRON-"
+DETERMINERS = ["a", "an", "the", "this", "that", "these", "those", "each", "every", "some", "any", "no", "another"]
 NUMERIC_TYPES = ["ORDINAL", "CARDINAL", "PERCENT", "MONEY", "QUANTITY", "DATE", "TIME"]
 MARKS = "!\"#$%&'()*+,-/:;<=>?@[\\]^_`{|}~"
 LEADING_MARKS = "!\"#$%&'()*+,-/.:;<=>?@[\\]^_`{|}~ "

@@ -6,19 +6,26 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostra import constants as K
 from rostra.functions import text as X
 
-#: What an annotator gives for a text: entities (surface, label) and noun chunks (text, lemma).
-ANNOTATION = "entities array<struct<surface:string,label:string>>, chunks array<struct<text:string,lemma:string>>"
+#: What an annotator gives for a text: entities (surface, label, tagged words) and noun chunks (text, lemma).
+ANNOTATION = "entities array<struct<surface:string,label:string,words:array<struct<text:string,tag:string>>>>, chunks array<struct<text:string,lemma:string>>"
 _RUN = re.compile(r"\b[A-Z][\w.'’-]*(?:\s+(?:of\s+|the\s+)?[A-Z][\w.'’-]*)*")
 _STOP = frozenset("a an and are as at be but by for from had has have he her his in is it its of on or our she that the their there they this to was we were will with you i not no so if all".split())
+_TAGS = {**dict.fromkeys(K.DETERMINERS, "DT"), **dict.fromkeys("of in on at by for from with to".split(), "IN"), **dict.fromkeys("and or but".split(), "CC"), "'s": "POS"}
 _PRONOUN = frozenset("i you he she it we they me him us them my your his her its our their".split())
 
 
-def rule_annotator(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+def _tagged(surface: str) -> list[tuple[str, str]]:
+    """The words of an entity with their tags; a possessive ending is a word of its own."""
+    return [(w, _TAGS.get(w.lower(), "NNP")) for w in re.sub(r"['’]s\b", " 's", surface).split()]
+
+
+def rule_annotator(text: str) -> tuple[list[tuple[str, str, list[tuple[str, str]]]], list[tuple[str, str]]]:
     """A deterministic stand-in for a trained annotator: runs of capitalised words, and words between stop words."""
     entities = []
     for m in _RUN.finditer(text):
@@ -26,7 +33,7 @@ def rule_annotator(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, st
         first = surface.split()[0].rstrip(".")
         label = "PERSON" if first in {"Mr", "Mrs", "Ms", "Dr"} else "ORG" if surface.isupper() or "of" in surface.split() else "GPE" if " " not in surface else "PERSON"
         if surface.lower() not in _STOP:
-            entities.append((surface, label))
+            entities.append((surface, label, _tagged(surface)))
     chunks, held = [], []
     for w in [*re.findall(r"[\w'’-]+|[.,;:!?]", text), "."]:
         if w.lower() in _STOP or not w[0].isalnum():
@@ -44,7 +51,8 @@ def annotate(docs: DataFrame, annotator: Callable = rule_annotator, key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [annotator(t or "") for t in batch.column(1).to_pylist()]
-            entities = pa.array([[{"surface": s, "label": n} for s, n in e] for e, _ in got], pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string())])))
+            word = pa.struct([("text", pa.string()), ("tag", pa.string())])
+            entities = pa.array([[{"surface": s, "label": n, "words": [{"text": t, "tag": g} for t, g in w]} for s, n, w in e] for e, _ in got], pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string()), ("words", pa.list_(word))])))
             chunks = pa.array([[{"text": t, "lemma": n} for t, n in c] for _, c in got], pa.list_(pa.struct([("text", pa.string()), ("lemma", pa.string())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), entities, chunks], names=[key, "entities", "chunks"])
 
@@ -52,10 +60,17 @@ def annotate(docs: DataFrame, annotator: Callable = rule_annotator, key: str = "
     return docs.select(key, content).mapInArrow(run, f"{key} {kind}, {ANNOTATION}")
 
 
+def trimmed(words: Column) -> Column:
+    """The text of an entity's tagged words without a leading determiner and without trailing tags; null if nothing is left."""
+    w = F.when((F.size(words) > 0) & (F.get(words, F.lit(0))["tag"] == "DT"), F.slice(words, 2, F.greatest(F.lit(1), F.size(words)))).otherwise(words)
+    return F.array_join(F.transform(X.without_trailing_tags(w), lambda x: x["text"]), " ")
+
+
 def entity_rows(annotated: DataFrame, key: str = "crec_id") -> DataFrame:
-    """(key, pos, entity, label) of the entities that are kept, cleaned."""
-    rows = annotated.select(key, F.posexplode("entities").alias("pos", "e")).where(X.entity_kept("e.surface", "e.label"))
-    return rows.select(key, "pos", X.clean_entity("e.surface").alias("entity"), F.col("e.label").alias("label")).where("entity IS NOT NULL")
+    """(key, pos, entity, label) of the entities that are kept, trimmed and cleaned."""
+    rows = annotated.select(key, F.posexplode("entities").alias("pos", "e")).select(key, "pos", trimmed(F.col("e.words")).alias("surface"), F.col("e.label").alias("label"))
+    rows = rows.where(X.entity_kept("surface", "label"))
+    return rows.select(key, "pos", X.clean_entity("surface").alias("entity"), "label").where("entity IS NOT NULL")
 
 
 def entity_types(rows: DataFrame, key: str = "crec_id", entity: str = "entity", label: str = "label", pos: str = "pos") -> DataFrame:
@@ -86,7 +101,7 @@ def chunk_counts(annotated: DataFrame, entities: DataFrame, key: str = "crec_id"
     Compat counts every chunk once, intent all its occurrences.
     """
     rows = annotated.select(key, F.explode("chunks").alias("c")).where(X.chunk_kept("c.text", "c.lemma"))
-    rows = rows.select(key, F.lower(X.clean_chunk("c.text")).alias("chunk"))
+    rows = rows.select(key, F.lower(X.clean_chunk(X.without_determiner("c.text"))).alias("chunk"))
     named = entities.select(key, F.lower("entity").alias("chunk")).distinct()
     left = rows.join(named, [key, "chunk"], "left_anti")
     n = F.lit(1) if mode == "compat" else F.count(F.lit(1))

@@ -29,6 +29,8 @@ def _matches(content: str, term: str, mode: str) -> Column:
 
 
 def _count(content: str, term: str, limit: int | None, mode: str) -> Column:
+    """Occurrences; the limit on tokens is historical behaviour, so intent mode counts the whole text."""
+    limit = None if mode == "intent" else limit
     if mode == "intent" and len(X.analyzed_words(term)) > 1:
         return X.phrase_count(content, term)
     return X.token_count(content, term, limit)
@@ -62,10 +64,15 @@ def periods(start: dt.date, end: dt.date, days_ago: int = 30) -> dict[str, tuple
     return {"current": (start, end), "previous": (start - back, end - back)}
 
 
-def period_breakdown(docs: DataFrame, term: str, start: dt.date, end: dt.date, days_ago: int = 30, mode: str = "compat") -> DataFrame:
-    """(period, date, count) of both periods."""
-    parts = [dense_term_counts(docs, term, a, b, mode=mode).select(F.lit(name).alias("period"), "date", "count") for name, (a, b) in periods(start, end, days_ago).items()]
-    return parts[0].unionByName(parts[1])
+def period_breakdown(docs: DataFrame, term: str, start: dt.date, end: dt.date, days_ago: int = 30, mode: str = "compat", limit: int | None = TOKEN_LIMIT) -> DataFrame:
+    """(period, date, count) of both periods; one scan, as days of both periods are counted once."""
+    p = periods(start, end, days_ago)
+    days = None
+    for name, (a, b) in p.items():
+        part = calendar(docs.sparkSession, a, b).select(F.lit(name).alias("period"), "date")
+        days = part if days is None else days.unionByName(part)
+    counts = term_counts(docs, term, min(a for a, _ in p.values()), max(b for _, b in p.values()), limit, mode)
+    return days.join(counts, "date", "left").select("period", "date", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def period_delta(docs: DataFrame, term: str, start: dt.date, end: dt.date, days_ago: int = 30, limit: int | None = TOKEN_LIMIT, mode: str = "compat") -> DataFrame:

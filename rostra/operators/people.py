@@ -92,12 +92,15 @@ def latest_term(terms: DataFrame, key: str = "bioguide_id", order: tuple[str, ..
 
 
 def term_at(docs: DataFrame, terms: DataFrame, key: str = "bioguide_id", day: str = "date_issued") -> DataFrame:
-    """Documents with the term that covered their day: the latest started, null columns if none did."""
+    """Documents with the term that covered their day: the latest started, null columns if none did.
+
+    Each person and day is looked up once, however many documents they have.
+    """
     columns = [c for c in terms.columns if c != key]
-    held = docs.withColumn("_row", F.monotonically_increasing_id())
-    met = held.select("_row", key, day).join(terms, key).where(F.col(day).between(F.col("start_date"), F.col("end_date")))
-    best = met.groupBy("_row").agg(F.max_by(F.struct(*columns), F.struct("start_date", "end_date")).alias("t"))
-    return held.join(best, "_row", "left").select(*docs.columns, *[F.col(f"t.{c}").alias(c) for c in columns])
+    asked = docs.select(key, day).distinct()
+    met = asked.join(terms, key).where(F.col(day).between(F.col("start_date"), F.col("end_date")))
+    best = met.groupBy(key, day).agg(F.max_by(F.struct(*columns), F.struct("start_date", "end_date")).alias("t"))
+    return docs.join(best, [key, day], "left").select(*docs.columns, *[F.col(f"t.{c}").alias(c) for c in columns])
 
 
 def nested(people: DataFrame, terms: DataFrame, ids: DataFrame, key: str = "bioguide_id", term_columns: tuple[str, ...] | None = None) -> DataFrame:

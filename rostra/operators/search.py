@@ -53,7 +53,7 @@ def bm25(docs: DataFrame, phrase: str, content: str = "content") -> DataFrame:
     df = [F.count_if(F.array_contains("_words", w)).cast("double").alias(f"_df{i}") for i, w in enumerate(words)]
     stats = found.agg(n.alias("_n"), F.avg(F.size("_words")).alias("_avg"), *df)
     idf = reduce(lambda a, b: a + b, [F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) for i in range(len(words))])
-    tf = X.phrase_count(content, phrase).cast("double")
+    tf = X.phrase_count(content, phrase, F.col("_words")).cast("double")
     score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_words") / F.greatest("_avg", F.lit(1e-9))))
     return found.crossJoin(F.broadcast(stats)).withColumn("score", F.coalesce(score, F.lit(0.0))).drop("_words", "_n", "_avg", *[f"_df{i}" for i in range(len(words))])
 

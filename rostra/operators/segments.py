@@ -15,7 +15,7 @@ from rostra.constants import FUZZY_SCORE, generic_speakers
 
 def sentences(docs: DataFrame, key: str = "crec_id", content: str = "content") -> DataFrame:
     """(key, pos, sentence) of every document; titles and initials end no sentence."""
-    marked = F.regexp_replace(content, r"\b(Mr|Mrs|Ms|Dr|Jr|Sr|St|No|[A-Z])\.\s", "$1\u0001 ")
+    marked = F.regexp_replace(content, r"(?<![\p{L}\p{N}_])(Mr|Mrs|Ms|Dr|Jr|Sr|St|No|[A-Z])\.\s", "$1\u0001 ")
     cut = F.transform(F.split(marked, r"(?<=[.!?])\s+"), lambda s: F.replace(s, F.lit("\u0001"), F.lit(".")))
     return docs.select(key, F.posexplode(F.filter(cut, lambda s: s != "")).alias("pos", "sentence"))
 

@@ -263,14 +263,13 @@ def term_upsert_keep_last(spark, d) -> DataFrame:
     return people.keep_last(roles.read(spark, d, "orders"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("""SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS party, max(o_orderkey) AS seq FROM orders GROUP BY 1""")
+@query("""WITH o AS (SELECT o_custkey, o_orderkey AS seq, o_orderkey % 2 AS new, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS party FROM orders)
+SELECT o_custkey, coalesce(arg_max(party, seq) FILTER (new = 1 AND party IS NOT NULL), arg_max(party, seq) FILTER (new = 0 AND party IS NOT NULL)) AS party,
+coalesce(max(seq) FILTER (new = 1), max(seq)) AS seq FROM o GROUP BY 1""")
 def upsert_columns(spark, d) -> DataFrame:
+    """Orders of odd keys put into those of even keys: a new value wins whatever its number, a null never."""
     o = roles.read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("party"))
-    half = F.col("seq") % 2 == 0
-    # even keys are the old table, shifted below the new one's
-    old, new = o.where(half).withColumn("at", F.col("seq")), o.where(~half).withColumn("at", F.col("seq"))
-    both = people.upsert(old.limit(0), old.unionByName(new), ["o_custkey"], "at")
-    return both.select("o_custkey", "party", "seq")
+    return people.upsert(o.where("seq % 2 = 0"), o.where("seq % 2 = 1"), ["o_custkey"], "seq").select("o_custkey", "party", "seq")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -371,10 +370,69 @@ def scrape_days(spark, d) -> DataFrame:
     return archive.days(spark, "2017-01-30", "2017-02-03")
 
 
-@query("SELECT CAST(ts AS DATE) AS date, CAST(count(*) FILTER (event_type LIKE '%k') AS INTEGER) AS num_files, count(*) AS n FROM events GROUP BY 1")
+_MEMBER = "CASE doc_id % 3 WHEN 0 THEN 'a/mods.xml' ELSE 'a/b/f' || doc_id || '.htm' END"
+
+
+@query(f"""WITH m AS (SELECT doc_id, DATE '2017-01-01' + CAST(doc_id % 90 AS INTEGER) AS date, {_MEMBER} AS member FROM documents),
+k AS (SELECT date, member, 'crec/' || strftime(date, '%Y/%m/%d') || '/' || regexp_extract(member, '[^/]+$') AS key FROM m),
+b AS (SELECT date, bool_and(date <> DATE '2017-01-08') AS success, string_agg(key, chr(10) ORDER BY key) AS keys, count(*) FILTER (member LIKE '%.htm') AS n FROM k GROUP BY 1)
+SELECT date, success, CASE WHEN success THEN keys ELSE 'unreadable archive' END AS message, CAST(n AS INTEGER) AS num_files FROM b""")
 def audit_counts(spark, d) -> DataFrame:
-    e = roles.read(spark, d, "events")
-    return e.groupBy(F.to_date("ts").alias("date")).agg(F.count_if(F.endswith("event_type", F.lit("k"))).cast("int").alias("num_files"), F.count(F.lit(1)).alias("n"))
+    """The audit of days whose members are named after documents; one day has an unreadable archive."""
+    rows = _members(spark, d)
+    broken = rows.where("date = DATE '2017-01-08'").select("date").distinct().withColumn("member", F.lit(None).cast("string"))
+    return archive.audit(rows.select("date", "member").unionByName(broken))
+
+
+def _members(spark, d) -> DataFrame:
+    return roles.read(spark, d, "documents").select(F.date_add(F.lit(dt.date(2017, 1, 1)), F.pmod("doc_id", F.lit(90)).cast("int")).alias("date"), F.expr(_MEMBER).alias("member"))
+
+
+@query("SELECT DATE '2017-01-22' AS date, true AS success, 'no data' AS message, 0 AS num_files")
+def no_data_day(spark, d) -> DataFrame:
+    return archive.no_data(spark, "2017-01-22")
+
+
+_XML_ID = "'id-CREC-' || strftime(date_issued, '%Y-%m-%d') || '-pt1-Pg' || CASE crec_id % 7 WHEN 0 THEN 'D' ELSE 'S' END || crec_id"
+
+
+@query(rf"""WITH {_D}, x AS (SELECT *, {_XML_ID} AS id FROM d WHERE crec_id % 7 <> 0 AND content IS NOT NULL),
+c AS (SELECT *, ' MET AND ADJOURNED. ' || content AS body FROM x WHERE crec_id % 11 <> 0)
+SELECT id AS crec_id, date_issued, title, title_part, 'p' || crec_id || '.pdf' AS pdf_url, CASE WHEN crec_id % 5 = 0 THEN '' ELSE 'h' || crec_id || '.htm' END AS html_url,
+'S' || crec_id AS page_start, '' AS page_end, 'Roe ' || crec_id % 3 || ';Doe' AS speakers, 'D' || crec_id % 4 AS roe_id, md5(__CLEAN__) AS content_md5 FROM c""")
+def load_job(spark, d) -> DataFrame:
+    """The load job over a table of metadata files and bodies made of the documents: every field of the XML and the cleaned body."""
+    loaded, _ = documents.load(_staged(spark, d), fuzzy=False)
+    return loaded.select("crec_id", "date_issued", "title", "title_part", "pdf_url", "html_url", "page_start", "page_end", F.array_join("speakers", ";").alias("speakers"), F.col("speaker_ids")["Mr. ROE"].alias("roe_id"), F.md5("content").alias("content_md5"))
+
+
+@query(rf"""WITH {_D} SELECT {_XML_ID} AS crec_id, 'no body' AS reason FROM d WHERE crec_id % 7 <> 0 AND (crec_id % 11 = 0 OR content IS NULL)""")
+def load_quarantine(spark, d) -> DataFrame:
+    return documents.load(_staged(spark, d), fuzzy=False)[1]
+
+
+def _staged(spark, d) -> DataFrame:
+    """(date, name, content): a metadata file a day that names its documents, and their bodies."""
+    ids = _XML_ID.replace("strftime(date_issued, '%Y-%m-%d')", "date_format(date_issued, 'yyyy-MM-dd')")
+    rows = roles.docs(spark, d).withColumn("id", F.expr(ids))
+    one = F.expr("""'<relatedItem type="constituent" ID="' || id || '"><titleInfo><title>' || title || '</title><partName>' || title_part || '</partName></titleInfo><location>'
+|| '<url displayLabel="PDF rendition">p' || crec_id || '.pdf</url>' || CASE WHEN crec_id % 5 = 0 THEN '' ELSE '<url displayLabel="HTML rendition">h' || crec_id || '.htm</url>' END
+|| '</location><part type="article"><extent><start>S' || crec_id || '</start></extent></part><name type="personal"><namePart>Roe ' || crec_id % 3 || '</namePart></name>'
+|| '<name type="corporate"><namePart>X</namePart></name><name type="personal"><namePart>Doe</namePart></name>'
+|| '<extension><congMember role="SPEAKING" bioGuideId="Z"><name type="parsed">Mr. ROE of Iowa</name></congMember>'
+|| '<congMember role="SPEAKING" bioGuideId="D' || crec_id % 4 || '"><name type="parsed">Mr. ROE of Ohio</name></congMember>'
+|| '<congMember role="MENTIONED" bioGuideId="M"><name type="parsed">Mr. ROE</name></congMember></extension></relatedItem>'""")
+    head = F.concat(F.lit('<mods xmlns="http://www.loc.gov/mods/v3"><originInfo><dateIssued>'), F.date_format("date_issued", "yyyy-MM-dd"), F.lit('</dateIssued></originInfo><relatedItem type="other" ID="x"/>'))
+    files = rows.groupBy("date_issued").agg(F.array_join(F.collect_list(one), "").alias("items")).select(F.col("date_issued").alias("date"), F.lit("mods.xml").alias("name"), F.concat(head, "items", F.lit("</mods>")).alias("content"))
+    bodies = rows.where("crec_id % 11 <> 0").select(F.col("date_issued").alias("date"), documents.body_name("id").alias("name"), F.concat(F.lit("x MET AND ADJOURNED. "), "content").alias("content"))
+    return files.unionByName(bodies.where("content IS NOT NULL"))
+
+
+@query(f"WITH {_D} SELECT crec_id, CASE WHEN crec_id % 3 = 0 THEN 'new' ELSE title END AS title, title_part FROM d UNION ALL SELECT -1, 'new', 'added'")
+def document_upsert(spark, d) -> DataFrame:
+    old = roles.docs(spark, d).select("crec_id", "title", "title_part")
+    new = old.where("crec_id % 3 = 0").withColumn("title", F.lit("new"))
+    return documents.merged(old, new.unionByName(spark.createDataFrame([(-1, "new", "added")], "crec_id long, title string, title_part string")))
 
 
 @query("SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -397,6 +455,149 @@ def bill_types(spark, d) -> DataFrame:
     return people_source.bill_types(spark)
 
 
+_SQL["load_job"] = _SQL["load_job"].replace("__CLEAN__", _cleanup_sql("body"))
+
+
+_REC = """r AS (SELECT c_custkey AS seq, 'B' || c_custkey // 2 AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS official_full, c_mktsegment AS religion,
+CASE WHEN c_custkey % 5 = 0 THEN '19' || (50 + c_custkey % 40) || '-02-03' END AS birthday, c_nationkey FROM customer)"""
+
+
+def _records(spark, d) -> DataFrame:
+    """People as YAML files give them, two records for each id."""
+    c = roles.read(spark, d, "customer")
+    text = lambda *kv: F.map_filter(F.create_map(*[x if i % 2 else F.lit(x) for i, x in enumerate(kv)]), lambda _, v: v.isNotNull())
+    bid = F.concat(F.lit("B"), F.expr("c_custkey div 2"))
+    born = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("19"), 50 + F.col("c_custkey") % 40, F.lit("-02-03")))
+    term = text("type", F.lit("rep"), "start", F.lit("2001-01-03"), "end", F.lit("2003-01-03"), "state", F.col("c_nationkey").cast("string"), "district", F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")), "party", F.col("c_mktsegment"))
+    return c.select(
+        F.col("c_custkey").cast("long").alias("seq"),
+        F.struct(
+            text("bioguide", bid, "govtrack", F.col("c_custkey").cast("string")).alias("id"),
+            text("official_full", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))).alias("name"),
+            text("religion", F.col("c_mktsegment"), "birthday", born).alias("bio"),
+            F.array(term).alias("terms"),
+        ).alias("record"),
+    )
+
+
+@query(f"""WITH {_REC} SELECT id AS bioguide_id, arg_max(official_full, seq) FILTER (official_full IS NOT NULL) AS official_full, arg_max(religion, seq) AS religion,
+coalesce(CAST(arg_max(birthday, seq) FILTER (birthday IS NOT NULL) AS DATE), DATE '1776-07-04') AS birthday FROM r GROUP BY 1""")
+def load_persons(spark, d) -> DataFrame:
+    return people_source.persons(_records(spark, d)).select("bioguide_id", "official_full", "religion", "birthday")
+
+
+@query(f"WITH {_REC} SELECT DISTINCT id AS bioguide_id, unnest(['bioguide', 'govtrack']) AS type, unnest([id, CAST(seq AS VARCHAR)]) AS value FROM r")
+def load_external_ids(spark, d) -> DataFrame:
+    return people_source.external_ids(_records(spark, d))
+
+
+@query(f"""WITH {_REC} SELECT id AS bioguide_id, CAST(c_nationkey AS VARCHAR) AS state, DATE '2001-01-03' AS start_date, DATE '2003-01-03' AS end_date, 'rep' AS type,
+coalesce(arg_max(seq, seq) FILTER (seq % 2 = 0), -1) AS district, arg_max(religion, seq) AS party FROM r GROUP BY id, c_nationkey""")
+def load_terms(spark, d) -> DataFrame:
+    return people_source.terms(_records(spark, d)).select("bioguide_id", "state", "start_date", "end_date", "type", F.col("district").cast("long").alias("district"), "party")
+
+
+# -- the result page and the people pages -------------------------------------------------------
+
+
+_PAGE_BM25 = rf"""WITH {_D}, w AS (SELECT *, {_ANA} AS a FROM d),
+s AS (SELECT count(*) AS n, avg(len(a)) AS m, count(*) FILTER (list_contains(a, 'the')) AS d1 FROM w),
+f AS (SELECT *, len(a) AS dl, len(list_filter(a, lambda x: x = 'the')) AS tf, instr(lower(content), 'the') AS p FROM w WHERE date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-03'),
+r AS (SELECT *, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m)), 6) AS score FROM f, s WHERE tf > 0),
+t AS (SELECT * FROM r ORDER BY score DESC, crec_id LIMIT 10)
+SELECT crec_id, score, CAST((length(content) - length(replace(lower(content), 'the', ''))) // 3 AS INTEGER) AS mentions, 'the' AS search_phrase, strftime(date_issued, '%b %d, %Y') AS human_date, {_SNIP} AS snippet,
+(SELECT CAST(count(*) AS INTEGER) FROM (VALUES (crec_id % 150), (crec_id * 7 % 150)) v(k) WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = k AND k > 0)) AS matched FROM t"""
+
+
+def _result_page(spark, d) -> dict[str, DataFrame]:
+    held = roles.terms(spark, d).groupBy("bioguide_id", "start_date", "end_date").agg(F.max("party").alias("party"))
+    return pages.result_page(roles.docs(spark, d), roles.people(spark, d), held, " The ", START, END)
+
+
+@query(_PAGE_BM25)
+def result_page(spark, d) -> DataFrame:
+    """The hits of a result page with all that is shown of them."""
+    docs = _result_page(spark, d)["docs"]
+    return docs.select("crec_id", F.round("score", 6).alias("score"), "mentions", "search_phrase", "human_date", "snippet", F.size("matched").alias("matched"))
+
+
+@query(_SQL["period_breakdown"])
+def result_page_breakdown(spark, d) -> DataFrame:
+    return _result_page(spark, d)["breakdown"]
+
+
+@query(_SQL["period_delta"])
+def result_page_totals(spark, d) -> DataFrame:
+    return _result_page(spark, d)["totals"]
+
+
+@query("""SELECT to_json({'status': 'success', 'data': list({'k': n_nationkey, 'name': n_name} ORDER BY n_nationkey)}) AS json FROM nation""")
+def page_envelope(spark, d) -> DataFrame:
+    rows = roles.read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return pages.envelope(rows.orderBy("k").coalesce(1))
+
+
+@query(f"WITH {_D} SELECT crec_id, strftime(date_issued, '%Y-%m-%d') AS date_issued FROM d")
+def search_hits(spark, d) -> DataFrame:
+    return search.hits(roles.docs(spark, d).select("crec_id", "date_issued"))
+
+
+@query(rf"WITH {_D} SELECT crec_id FROM d WHERE crec_id % 150 = 7 OR crec_id * 7 % 150 = 7")
+def search_speaker_intent(spark, d) -> DataFrame:
+    return search.phrase_filter(roles.docs(spark, d), {"speaker": "Customer#000000007"}, mode="intent").select("crec_id")
+
+
+@query("SELECT DATE '2017-01-05' AS a, DATE '2017-02-04' AS b, DATE '2016-03-01' AS c, DATE '2016-03-09' AS d")
+def range_arguments(spark, d) -> DataFrame:
+    a, b = histogram.date_range(as_of=dt.date(2017, 2, 4))
+    c, e = histogram.date_range("2016-03-01", "2016-03-09", as_of=dt.date(2017, 2, 4))
+    return spark.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(e).alias("d"))
+
+
+_OFFICE = """p AS (SELECT c_custkey AS bioguide_id, c_name AS official_full, regexp_extract(c_name, '[0-9]+') AS last, CASE c_custkey % 2 WHEN 0 THEN 'F' ELSE 'M' END AS gender, c_mktsegment AS religion FROM customer),
+t AS (SELECT o_custkey AS bioguide_id, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 365 AS end_date, CASE o_orderstatus WHEN 'O' THEN 'sen' ELSE 'rep' END AS type, o_orderpriority AS party,
+CASE o_orderkey % 3 WHEN 0 THEN 'OH' WHEN 1 THEN 'IA' ELSE 'WY' END AS state FROM orders)"""
+
+
+def _office(spark, d) -> tuple[DataFrame, DataFrame]:
+    p = roles.people(spark, d).withColumns({"last": F.regexp_extract("official_full", "[0-9]+", 0), "gender": F.when(F.col("bioguide_id") % 2 == 0, "F").otherwise("M")})
+    t = roles.terms(spark, d)
+    state = F.element_at(F.array(F.lit("OH"), F.lit("IA"), F.lit("WY")), (F.col("term_id") % 3 + 1).cast("int"))
+    return p, t.withColumns({"type": F.when(F.col("type") == "O", "sen").otherwise("rep"), "state": state})
+
+
+@query(f"""WITH {_OFFICE} SELECT p.bioguide_id, official_full FROM p JOIN t a USING (bioguide_id) JOIN t b USING (bioguide_id) JOIN t c USING (bioguide_id)
+WHERE a.state = 'OH' AND b.party = '1-URGENT' AND c.type = 'sen' AND gender = 'F' AND religion = 'BUILDING'""")
+def people_search(spark, d) -> DataFrame:
+    p, t = _office(spark, d)
+    return people.search_people(p, t, gender="F", religion="BUILDING", state="OH", party="1-URGENT", term_type="sen").select("bioguide_id", "official_full")
+
+
+@query(f"""WITH {_OFFICE} SELECT bioguide_id, official_full FROM p WHERE last LIKE '%7' AND last = '000000007' AND EXISTS (SELECT 1 FROM t WHERE t.bioguide_id = p.bioguide_id AND state = 'IA' AND type = 'rep')""")
+def people_search_intent(spark, d) -> DataFrame:
+    """All criteria on one term; an unknown type of term would be ignored."""
+    p, t = _office(spark, d)
+    return people.search_people(p, t, last_name="000000007", state="IA", term_type="rep", mode="intent").select("bioguide_id", "official_full")
+
+
+@query(f"WITH {_OFFICE} SELECT bioguide_id, official_full FROM p WHERE bioguide_id = 11")
+def person_by_id(spark, d) -> DataFrame:
+    p, t = _office(spark, d)
+    return people.search_people(p, t, name="overridden", person_id=11).select("bioguide_id", "official_full")
+
+
+@query(f"WITH {_OFFICE} SELECT p.bioguide_id, official_full FROM p JOIN t USING (bioguide_id) WHERE DATE '1998-06-01' BETWEEN start_date AND end_date AND state = 'WY'")
+def serving_in_state(spark, d) -> DataFrame:
+    p, t = _office(spark, d)
+    return people.current(p, t, roles.AS_OF, state="WY", mode="intent").select("bioguide_id", "official_full")
+
+
+@query("SELECT s_suppkey, regexp_replace(s_name, '0', 'Roe') AS name FROM supplier")
+def short_names(spark, d) -> DataFrame:
+    s = roles.read(spark, d, "supplier")
+    return s.select("s_suppkey", X.short_name(F.concat(F.regexp_replace("s_name", "^(.*?)0", "$1Roe"), F.lit(" of Ohio and of Iowa"))).alias("name"))
+
+
 # -- segments --------------------------------------------------------------------------------
 
 
@@ -423,6 +624,28 @@ def segment_lookup(spark, d) -> DataFrame:
     return found.select(F.concat_ws("-", "crec_id", "number").alias("id"), F.try_element_at(known, F.coalesce("speaker", F.lit(""))).alias("bioguide_id"))
 
 
+_SENT = r"""s0 AS (SELECT doc_id AS crec_id, regexp_replace(regexp_replace(regexp_replace(text, __TITLE__), __TITLE__), '([.!?])\s+', '\1' || chr(2), 'g') AS t FROM documents WHERE text IS NOT NULL),
+s1 AS (SELECT crec_id, unnest(list_filter(list_transform(string_split(t, chr(2)), lambda x: replace(x, chr(1), '.')), lambda x: x <> '')) AS sentence,
+unnest(range(len(list_filter(string_split(t, chr(2)), lambda x: x <> '')))) AS pos FROM s0)""".replace("__TITLE__", r"""'(^|[^\p{L}\p{N}_])(Mr|Mrs|Ms|Dr|Jr|Sr|St|No|[A-Z])\.\s', '\1\2' || chr(1) || ' ', 'g'""")  # twice, as neighbouring titles share a blank
+
+
+@query(f"WITH {_SENT} SELECT crec_id, CAST(pos AS INTEGER) AS pos, md5(sentence) AS sentence FROM s1")
+def sentences(spark, d) -> DataFrame:
+    return segments.sentences(roles.docs(spark, d)).select("crec_id", "pos", F.md5("sentence").alias("sentence"))
+
+
+@query(f"""WITH {_SENT}, h AS (SELECT *, CASE WHEN contains(sentence, ' the ') THEN ' the ' WHEN contains(sentence, ' que ') THEN ' que ' END AS hit FROM s1),
+c AS (SELECT *, last_value(hit IGNORE NULLS) OVER (PARTITION BY crec_id ORDER BY pos) AS sp FROM h),
+g AS (SELECT *, CASE WHEN lag(sp) OVER w IS DISTINCT FROM sp OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS f FROM c WINDOW w AS (PARTITION BY crec_id ORDER BY pos)),
+n AS (SELECT *, sum(f) OVER (PARTITION BY crec_id ORDER BY pos) AS number FROM g)
+SELECT crec_id || '-' || CAST(number AS BIGINT) AS id, any_value(sp) AS speaker, CASE any_value(sp) WHEN ' the ' THEN 'T1' END AS bioguide_id, md5(string_agg(sentence, ' ' ORDER BY pos)) AS text FROM n GROUP BY crec_id, number""")
+def document_segments(spark, d) -> DataFrame:
+    """The segments of every document, by two speakers of its own of whom one has an id."""
+    docs = roles.docs(spark, d).where("content IS NOT NULL").withColumn("speaker_ids", F.create_map(F.lit(" the "), F.lit("T1"), F.lit(" que "), F.lit(None).cast("string")))
+    one = segments.document_segments(docs, fuzzy=False).select(F.explode("segments").alias("s"))
+    return one.select("s.id", "s.speaker", "s.bioguide_id", F.md5("s.text").alias("text"))
+
+
 _NAMES = ["tion", "the", "que", "eneux", "sch"]
 
 
@@ -462,14 +685,71 @@ def entity_counts_by_type(spark, d) -> DataFrame:
     return entities.entity_counts(_mentions(spark, d)).select("crec_id", "type", "entity", "n")
 
 
-@query(r"""WITH w AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS chunk FROM conversations WHERE role = 'assistant'),
-u AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS chunk FROM conversations WHERE role <> 'assistant')
-SELECT conv_id, count(*) AS n FROM (SELECT * FROM w EXCEPT SELECT * FROM u) GROUP BY 1""")
+@query(_ENT + "SELECT crec_id, type, CAST(count(*) AS BIGINT) AS names, CAST(sum(n) AS BIGINT) AS n FROM y GROUP BY 1, 2")
+def entity_maps(spark, d) -> DataFrame:
+    maps = entities.entity_maps(_mentions(spark, d)).select("crec_id", F.explode("named_entity_counts").alias("type", "m"))
+    return maps.select("crec_id", "type", F.size("m").cast("long").alias("names"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+
+
+_MARKS_SQL = r"""regexp_replace(regexp_replace(replace(replace(x, '-', ' '), '  ', ' '), '^\s+|\s+$', '', 'g'), '[!"#$%&''()*+,\-/:;<=>?@\[\\\]\^_`{|}~]+', '', 'g')"""
+_CHUNKS = rf"""c AS (SELECT conv_id AS crec_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '')) AS x, role FROM conversations),
+k AS (SELECT crec_id, regexp_replace(lower({_MARKS_SQL}), '(^|[^\p{{L}}])ß', '\1ss', 'g') AS chunk, x, role FROM c WHERE NOT regexp_matches(lower(x), 'who|where|when|what|behalf|somebody|anybody')),
+e AS (SELECT DISTINCT crec_id, lower(x) AS chunk FROM c WHERE regexp_matches(x, '^[A-Z]')) """
+
+
+def _annotated(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Words of conversations as noun chunks, and those with a capital as entities."""
+    c = roles.read(spark, d, "conversations").select(F.col("conv_id").alias("crec_id"), F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda x: x != "").alias("w"))
+    chunks = c.select("crec_id", F.transform("w", lambda x: F.struct(x.alias("text"), F.lower(x).alias("lemma"))).alias("chunks"))
+    return chunks, c.select("crec_id", F.explode("w").alias("entity")).where(F.col("entity").rlike("^[A-Z]"))
+
+
+@query(f"WITH {_CHUNKS} SELECT DISTINCT crec_id, chunk, CAST(1 AS BIGINT) AS n FROM k ANTI JOIN e USING (crec_id, chunk)")
 def noun_minus_entity(spark, d) -> DataFrame:
-    c = roles.read(spark, d, "conversations")
-    of = lambda test: F.flatten(F.collect_list(F.when(test, F.split(F.lower("text"), r"\s+"))))
-    sets = c.groupBy("conv_id").agg(F.array_except(of(F.col("role") == "assistant"), of(F.col("role") != "assistant")).alias("left"))
-    return sets.where(F.size("left") > 0).select("conv_id", F.size("left").cast("long").alias("n"))
+    return entities.chunk_counts(*_annotated(spark, d))
+
+
+@query(f"WITH {_CHUNKS} SELECT crec_id, chunk, count(*) AS n FROM k ANTI JOIN e USING (crec_id, chunk) GROUP BY 1, 2")
+def chunk_counts_intent(spark, d) -> DataFrame:
+    return entities.chunk_counts(*_annotated(spark, d), mode="intent")
+
+
+@query(_ENT + """, d AS (SELECT doc_id AS crec_id, DATE '2017-01-01' + CAST(doc_id % 90 AS INTEGER) AS date FROM documents),
+s AS (SELECT crec_id, date, unnest(['A' || crec_id % 10, 'B' || crec_id % 3]) AS bioguide_id FROM d),
+l AS (SELECT bioguide_id, max((date, crec_id)) AS m FROM s GROUP BY 1),
+z AS (SELECT crec_id, count(DISTINCT type) AS types FROM y GROUP BY 1)
+SELECT bioguide_id, m[2] AS crec_id, m[1] AS date, CAST(coalesce(types, 0) AS INTEGER) AS types, 1 AS chunks FROM l LEFT JOIN z ON z.crec_id = m[2]""")
+def speaker_word_counts(spark, d) -> DataFrame:
+    docs = roles.docs(spark, d).select("crec_id", "date_issued", F.create_map(F.lit("x"), F.concat(F.lit("A"), F.col("crec_id") % 10), F.lit("y"), F.concat(F.lit("B"), F.col("crec_id") % 3)).alias("speaker_ids"))
+    chunks = docs.select("crec_id", F.lit("chunk").alias("chunk"), F.lit(2).cast("long").alias("n"))
+    out = entities.speaker_word_counts(docs, entities.entity_maps(_mentions(spark, d)), chunks)
+    size = lambda c, kind: F.size(F.map_keys(F.from_json(c, kind)))
+    return out.select("bioguide_id", "crec_id", "date", size("named_entities", "map<string,map<string,bigint>>").alias("types"), size("noun_chunks", "map<string,bigint>").alias("chunks"))
+
+
+#: Surfaces with tags, labels, and the entity that must come of them (null: dropped).
+_SURFACES = [
+    ("the Senate votes", "DT NNP VBZ", "ORG", "Senate"),
+    ("Ohio do not", "NNP VBP RB", "GPE", "Ohio"),
+    ("Mr. LEE and", "NNP NNP CC", "PERSON", "Mr. Lee"),
+    ("U.S. SENATE's", "NNP NNP POS", "ORG", None),
+    ("HON", "NNP", "PERSON", None),
+    ("NPR", "NNP", "ORG", "NPR"),
+    ("three", "CD", "CARDINAL", None),
+    ("x", "NN", "ORG", None),
+    ("is", "VBZ", "ORG", None),
+    ("import-export BANK", "NN NN", "ORG", "Import Export Bank"),
+    ("SENATE Sine Die Adjournment", "NNP NNP NNP NNP", "ORG", "Senate"),
+]
+
+
+@query("SELECT c_custkey AS crec_id, entity FROM customer, (VALUES " + ", ".join(f"('{e}')" for *_, e in _SURFACES if e) + ") v(entity)")
+def entity_cleanup(spark, d) -> DataFrame:
+    """Trailing tags, determiners, numeric types, the blacklist and the case of names, once for each customer."""
+    kept = [(s, n, list(zip(s.split(), t.split(), strict=True))) for s, t, n, e in _SURFACES if e or not s.endswith("'s")]
+    fixed = spark.createDataFrame([(kept,)], f"e {entities.ANNOTATION.split(', chunks')[0].removeprefix('entities ')}")
+    rows = roles.read(spark, d, "customer").select(F.col("c_custkey").alias("crec_id")).crossJoin(F.broadcast(fixed)).withColumnRenamed("e", "entities")
+    return entities.entity_rows(rows).select("crec_id", "entity")
 
 
 @query()

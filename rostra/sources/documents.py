@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions import text as X
+from rostra.operators.segments import document_segments
 
 _CONSTITUENT = """struct<`_ID`:string,`_type`:string,
  titleInfo:struct<title:string,partName:string>,
@@ -82,6 +83,24 @@ def split_quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").select("crec_id", "reason")
 
 
+def load(members: DataFrame, mode: str = "compat", fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The load job: (documents, quarantine) of staged members (date, name, content).
+
+    Metadata gives the constituents, digests and front matter are left out, bodies are
+    matched by name and day, cleaned from their heading on, and cut into speakers' segments.
+    """
+    text = members.withColumn("content", F.col("content").cast("string"))
+    docs = constituents(text.where(F.endswith("name", F.lit("mods.xml"))), "content")
+    bodies = text.where(F.endswith("name", F.lit(".htm"))).select("name", F.col("content").alias("body"))
+    loaded, bad = split_quarantine(with_bodies(docs.where(~skippable()), bodies))
+    return document_segments(loaded.drop("content").withColumnRenamed("clean", "content"), mode=mode, fuzzy=fuzzy), bad
+
+
+def merged(old: DataFrame, new: DataFrame, key: str = "crec_id") -> DataFrame:
+    """``old`` with the documents of ``new`` put in by id: a document that is there is replaced whole."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def write(docs: DataFrame, path: str) -> None:
     """Write documents by day; running a day again replaces it."""
     docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_issued").parquet(path)

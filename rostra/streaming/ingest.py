@@ -13,11 +13,15 @@ def run_once(spark: SparkSession, source: str, schema: StructType, sink: str, ch
     """Process the files that came since the last run, by day; a batch that is repeated replaces its own files.
 
     Each micro-batch writes under its own number, so a restart neither loses nor doubles rows;
-    readers take the last batch of a key.
+    readers take the last batch of a key. Of a key's rows in one batch that of the latest day
+    stays, of equal days that with the largest hash, so that a repeat keeps the same row.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        out = transform(batch).dropDuplicates([key]).withColumn("batch", F.lit(number))
+        rows = transform(batch)
+        order = F.struct(F.col(day), F.xxhash64(F.to_json(F.struct(*rows.columns))))
+        rest = [c for c in rows.columns if c != key]
+        out = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").withColumn("batch", F.lit(number))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", day).parquet(sink)
 
     stream = spark.readStream.schema(schema).parquet(source)
