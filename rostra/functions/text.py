@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -164,7 +164,8 @@ def clean_chunk(c: Column | str) -> Column:
 
 def without_trailing_tags(words: Column, verb: bool = True, adposition: bool = True, conjunction: bool = True, determiner: bool = True, possessive: bool = True) -> Column:
     """An array of (text, tag) without its trailing verb, adposition, conjunction, determiner and possessive, in that order; null if nothing is left."""
-    w = words
+    # each step binds its array once; nested conditions would repeat it many times over
+    step = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))
 
     def drop(a: Column, n: int, when: Column) -> Column:
         return F.when(when, F.slice(a, 1, F.greatest(F.lit(0), F.size(a) - n))).otherwise(a)
@@ -172,13 +173,17 @@ def without_trailing_tags(words: Column, verb: bool = True, adposition: bool = T
     def tag(a: Column, k: int) -> Column:
         return F.coalesce(F.try_element_at(a, F.lit(k))["tag"], F.lit(""))
 
+    def without(name: str, a: Column) -> Column:
+        return drop(a, 1, tag(a, -1) == name)
+
+    w = words
     if verb:
-        w = drop(w, 1, tag(w, -1).isin(K.VERB_TAGS))
-        w = drop(w, 2, (tag(w, -1) == "RB") & tag(w, -2).isin(K.VERB_TAGS))
+        w = step(w, lambda a: drop(a, 1, tag(a, -1).isin(K.VERB_TAGS)))
+        w = step(w, lambda a: drop(a, 2, (tag(a, -1) == "RB") & tag(a, -2).isin(K.VERB_TAGS)))
     for on, name in ((adposition, "IN"), (conjunction, "CC"), (determiner, "DT"), (possessive, "POS")):
         if on:
-            w = drop(w, 1, tag(w, -1) == name)
-    return F.when(F.size(w) > 0, w)
+            w = step(w, partial(without, name))
+    return step(w, lambda a: F.when(F.size(a) > 0, a))
 
 
 # The patterns and the order of the clean-up steps, and the heading's letters.

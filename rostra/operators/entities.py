@@ -62,7 +62,8 @@ def annotate(docs: DataFrame, annotator: Callable = rule_annotator, key: str = "
 
 def trimmed(words: Column) -> Column:
     """The text of an entity's tagged words without a leading determiner and without trailing tags; null if nothing is left."""
-    w = F.when((F.size(words) > 0) & (F.get(words, F.lit(0))["tag"] == "DT"), F.slice(words, 2, F.greatest(F.lit(1), F.size(words)))).otherwise(words)
+    first = F.coalesce(F.try_element_at(words, F.lit(1))["tag"], F.lit(""))
+    w = F.slice(words, F.when(first == "DT", 2).otherwise(1), F.greatest(F.lit(1), F.size(words)))
     return F.array_join(F.transform(X.without_trailing_tags(w), lambda x: x["text"]), " ")
 
 
