@@ -147,6 +147,10 @@ def align(item: bytes, text: bytes, most: int, low: int | None = None, high: int
     low, high = max(-m, -m if low is None else low), min(n, n if high is None else high)
     if high < low:
         return None
+    # most places are verbatim; the first on these diagonals is the best path
+    at = text.find(item, max(0, low), high + m)
+    if at >= 0:
+        return 0, at, at + m
     wide = high - low + 1
     t = np.full(n + m + wide + 1, -1, np.int64)
     t[m : m + n] = np.frombuffer(text, np.uint8)  # the text with room before and behind
