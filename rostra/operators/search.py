@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rostra.functions import text as X
 from rostra.operators.histogram import in_range
@@ -75,7 +78,74 @@ def hits(df: DataFrame) -> DataFrame:
     return df.withColumn("date_issued", F.date_format("date_issued", "yyyy-MM-dd"))
 
 
-def postings(docs: DataFrame, key: str = "crec_id", content: str = "content") -> DataFrame:
-    """(term, key, tf, positions) of every word of every document; write it bucketed by term to serve look-ups."""
-    words = docs.select(key, F.posexplode(X.analyze(content)).alias("pos", "term"))
-    return words.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def postings(docs: DataFrame, key: str = "crec_id", content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """(term, key, tf, positions, length) of every word of every document, with the columns ``keep`` of the document.
+
+    Keys are taken as unique. Positions start at 0; length is the document's number of words.
+    """
+    found = docs.select(key, *keep, X.analyze(content).alias("_words"))
+    words = found.select(key, *keep, F.size("_words").alias("length"), F.posexplode("_words").alias("pos", "term"))
+    return words.groupBy("term", key, *keep, "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def statistics(docs: DataFrame, content: str = "content") -> DataFrame:
+    """One row: the number of documents and their average number of words; a null text has none."""
+    length = F.size(X.analyze(F.coalesce(F.col(content), F.lit(""))))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avg_length"))
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, key: str = "crec_id", content: str = "content", keep: Sequence[str] = (), buckets: int = 256) -> None:
+    """Write the postings, by buckets of terms and sorted by term, and the statistics under ``path``.
+
+    The rebalance lets a bucket with a very frequent word fill as many files as it needs.
+    """
+    rows = postings(docs, key, content, keep).withColumn("bucket", _bucket(F.col("term"), buckets))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/postings")
+    # the schema too, since postings of no rows leave no file to tell it
+    statistics(docs, content).withColumns({"buckets": F.lit(buckets), "schema": F.lit(rows.schema.json())}).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def read_index(spark: SparkSession, path: str, phrase: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of a phrase's words, read from their buckets alone, and the statistics."""
+    stats = spark.read.parquet(f"{path}/statistics")
+    kept = stats.first()
+    buckets, schema = kept["buckets"], StructType.fromJson(json.loads(kept["schema"]))
+    words = list(dict.fromkeys(X.analyzed_words(phrase)))
+    rows = spark.read.schema(schema).parquet(f"{path}/postings").where(F.col("term").isin(words))
+    if words:
+        rows = rows.where(reduce(lambda a, b: a | b, [F.col("bucket") == _bucket(F.lit(w), buckets) for w in words]))
+    return rows.drop("bucket"), stats.drop("buckets", "schema")
+
+
+def _places(words: Sequence[str]) -> Column:
+    """Non-overlapping places of the phrase, from the map ``_at`` of a document's positions by word."""
+    def starts_of(i: int) -> Column:
+        return F.transform(F.col("_at")[words[i]], lambda x: x - i)
+
+    starts = F.array_sort(reduce(F.array_intersect, [starts_of(i) for i in range(len(words))]))
+    step = lambda s, x: F.when(x >= s["next"], F.struct((s["n"] + 1).alias("n"), (x + len(words)).alias("next"))).otherwise(s)
+    return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("next")), step, lambda s: s["n"])
+
+
+def phrase_hits(found: DataFrame, stats: DataFrame, phrase: str, key: str = "crec_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, keep, tf, score) of the documents that hold the phrase, from postings; no text is read.
+
+    Scores are those of :func:`bm25`. The words of a phrase meet in one shuffle by key, in
+    which a document has as many rows as the phrase has different words.
+    """
+    words = X.analyzed_words(phrase)
+    distinct = list(dict.fromkeys(words))
+    rows = found.where(F.col("term").isin(distinct))
+    df = rows.agg(*[F.count_if(F.col("term") == w).cast("double").alias(f"_df{i}") for i, w in enumerate(words)]) if words else None
+    held = rows.groupBy(key, *keep, "length").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_at"))
+    if df is None:
+        return held.select(key, *keep, F.lit(0).alias("tf"), F.lit(0.0).alias("score"))
+    hits = held.where(F.size("_at") == len(distinct)).withColumn("tf", _places(words)).where("tf > 0")
+    one = df.crossJoin(stats)
+    idf = reduce(lambda a, b: a + b, [F.log(1 + (F.col("n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) for i in range(len(words))])
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1e-9))))
+    return hits.crossJoin(F.broadcast(one)).select(key, *keep, "tf", score.alias("score"))

@@ -139,6 +139,14 @@ def page_two_offset(spark, d) -> DataFrame:
     return _ranked(spark, d, 10)
 
 
+@query(_BM25.split("SELECT crec_id, score FROM r")[0] + "SELECT crec_id, score FROM r")
+def postings_search(spark, d) -> DataFrame:
+    """Every hit of the phrase with its score, from postings and not from texts."""
+    docs = roles.docs(spark, d)
+    hits = search.phrase_hits(search.postings(docs, keep=["date_issued"]), search.statistics(docs), PHRASE, keep=["date_issued"])
+    return histogram.in_range(hits, START, END).select("crec_id", F.round("score", 6).alias("score"))
+
+
 @query(rf"""WITH {_D} SELECT term, CAST(count(DISTINCT crec_id) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS places
 FROM (SELECT crec_id, unnest({_ANA}) AS term FROM d) GROUP BY term""")
 def postings_summary(spark, d) -> DataFrame:
