@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import ann, decontaminate, html_model, licenses, line_dedup, lm_scoring, minhash, packing, quality_mil, substring_dedup
+from rostra.llm import ann, chat, decontaminate, html_model, licenses, line_dedup, lm_scoring, merkle, minhash, packing, pivots, quality_mil, substring_dedup
 from rostra.llm.common import table
 
 
@@ -55,9 +55,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    awkward = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", awkward), (-1, 1, "assistant", awkward)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)), arranged=True)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.from_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents", *columns)
+    marked = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    changed = F.when(marked, merkle.leaf([*columns[:-1], merkle.lowered("text")]))
+    return merkle.manifest(docs, columns, "source", "doc_id", changed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_html, op4_line_dedup, op5_lm_scoring, op6_licenses, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_html, op4_line_dedup, op5_lm_scoring, op6_licenses, op7_decontamination, op8_substring_dedup, op9_quality, op10_packing, op11_chat, op12_hard_negatives, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": minhash.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op2_near_dedup": minhash.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op11_chat": chat.ORACLE, "op12_hard_negatives": pivots.ORACLE, "op13_manifest": merkle.ORACLE}
