@@ -33,7 +33,7 @@ from rostra.llm.common import staged
 
 FANOUT, LEVELS, TOP = 16, 3, 4096
 #: Leaves of a range of the sort, and the most ranges, whose counts the driver adds up.
-RANGE_ROWS, MOST_RANGES = 262_144, 16_384
+RANGE_ROWS, MOST_RANGES = 32_768, 16_384
 _PATH = "array<struct<before:string,after:string>>"
 
 
@@ -232,6 +232,8 @@ def manifest(df: DataFrame, columns: Sequence[str], group: str, key: str, change
     id_kind = df.schema[key].dataType
     id_type, proof_kind = to_arrow_type(id_kind), f"id {id_kind.simpleString()}, {_PROOF}"
     leaves = df.select(g.alias("g"), F.col(key).alias("id"), leaf(columns).alias("hash"), (F.lit(None).cast("string") if changed is None else changed).alias("changed"))
+    # written once, so that counting, sampling and dealing read hashes and no text
+    leaves = staged(leaves, "leaves")
     held = blocks(placed(leaves, "g", ["id", "hash"], range_rows), fanout**depth, "id", "changed")
     if held.limit(1).count() == 0:
         return df.sparkSession.createDataFrame([], proof_kind).withColumnRenamed("id", key)
