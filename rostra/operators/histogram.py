@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.constants import TOKEN_LIMIT
 from rostra.functions import text as X
+from rostra.operators.index import Index
 
 
 def date_range(start: str | None = None, end: str | None = None, days_ago: int = 30, as_of: dt.date | None = None) -> tuple[dt.date, dt.date]:
@@ -36,11 +37,14 @@ def _count(content: str, term: str, limit: int | None, mode: str) -> Column:
     return X.token_count(content, term, limit)
 
 
-def term_counts(docs: DataFrame, term: str, start: dt.date, end: dt.date, limit: int | None = TOKEN_LIMIT, mode: str = "compat") -> DataFrame:
+def term_counts(docs: DataFrame | Index, term: str, start: dt.date, end: dt.date, limit: int | None = TOKEN_LIMIT, mode: str = "compat") -> DataFrame:
     """(date, count): tokens equal to the term, by day, in documents whose words include it.
 
-    In compat mode a term of several words occurs nowhere; in intent mode it is a phrase.
+    In compat mode a term of several words occurs nowhere; in intent mode it is a phrase. From
+    an index the counts of its days are read, and no text.
     """
+    if isinstance(docs, Index):
+        return docs.term_counts(term, start, end, limit, mode)
     hits = in_range(docs, start, end).where(_matches("content", term, mode))
     return hits.groupBy(F.col("date_issued").alias("date")).agg(F.sum(_count("content", term, limit, mode)).cast("long").alias("count"))
 
@@ -52,9 +56,13 @@ def calendar(spark, start: dt.date, end: dt.date) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
 
 
-def dense_term_counts(docs: DataFrame, term: str, start: dt.date, end: dt.date, limit: int | None = TOKEN_LIMIT, mode: str = "compat") -> DataFrame:
+def _session(docs: DataFrame | Index) -> SparkSession:
+    return docs.spark if isinstance(docs, Index) else docs.sparkSession
+
+
+def dense_term_counts(docs: DataFrame | Index, term: str, start: dt.date, end: dt.date, limit: int | None = TOKEN_LIMIT, mode: str = "compat") -> DataFrame:
     """The histogram with every day of the range, in order."""
-    days = calendar(docs.sparkSession, start, end)
+    days = calendar(_session(docs), start, end)
     return days.join(term_counts(docs, term, start, end, limit, mode), "date", "left").select("date", F.coalesce("count", F.lit(0)).cast("long").alias("count")).orderBy("date")
 
 
@@ -64,22 +72,25 @@ def periods(start: dt.date, end: dt.date, days_ago: int = 30) -> dict[str, tuple
     return {"current": (start, end), "previous": (start - back, end - back)}
 
 
-def period_breakdown(docs: DataFrame, term: str, start: dt.date, end: dt.date, days_ago: int = 30, mode: str = "compat", limit: int | None = TOKEN_LIMIT) -> DataFrame:
+def period_breakdown(docs: DataFrame | Index, term: str, start: dt.date, end: dt.date, days_ago: int = 30, mode: str = "compat", limit: int | None = TOKEN_LIMIT) -> DataFrame:
     """(period, date, count) of both periods; one scan, as days of both periods are counted once."""
     p = periods(start, end, days_ago)
     days = None
     for name, (a, b) in p.items():
-        part = calendar(docs.sparkSession, a, b).select(F.lit(name).alias("period"), "date")
+        part = calendar(_session(docs), a, b).select(F.lit(name).alias("period"), "date")
         days = part if days is None else days.unionByName(part)
     counts = term_counts(docs, term, min(a for a, _ in p.values()), max(b for _, b in p.values()), limit, mode)
     return days.join(counts, "date", "left").select("period", "date", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def period_delta(docs: DataFrame, term: str, start: dt.date, end: dt.date, days_ago: int = 30, limit: int | None = TOKEN_LIMIT, mode: str = "compat") -> DataFrame:
+def period_delta(docs: DataFrame | Index, term: str, start: dt.date, end: dt.date, days_ago: int = 30, limit: int | None = TOKEN_LIMIT, mode: str = "compat") -> DataFrame:
     """One row: totals of both periods and the change in per cent, cut towards zero; one scan."""
     p = periods(start, end, days_ago)
     low, high = min(a for a, _ in p.values()), max(b for _, b in p.values())
-    hits = in_range(docs, low, high).where(_matches("content", term, mode)).select("date_issued", _count("content", term, limit, mode).alias("n"))
+    if isinstance(docs, Index):
+        hits = docs.term_counts(term, low, high, limit, mode).select(F.col("date").alias("date_issued"), F.col("count").alias("n"))
+    else:
+        hits = in_range(docs, low, high).where(_matches("content", term, mode)).select("date_issued", _count("content", term, limit, mode).alias("n"))
     total = {k: F.coalesce(F.sum(F.when(F.col("date_issued").between(F.lit(a), F.lit(b)), F.col("n"))), F.lit(0)).cast("long") for k, (a, b) in p.items()}
     return hits.agg(total["current"].alias("current_total"), total["previous"].alias("previous_total")).withColumn(
         "delta", (100 * ((F.col("current_total") - F.col("previous_total")) / F.greatest("previous_total", F.lit(1)))).cast("int")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rostra.constants import TOKEN_LIMIT
 from rostra.functions import text as X
 from rostra.operators import histogram, people, search
+from rostra.operators.index import Index
 
 
 def enriched(hits: DataFrame, phrase: str) -> DataFrame:
@@ -17,13 +18,14 @@ def enriched(hits: DataFrame, phrase: str) -> DataFrame:
     return hits.withColumns({"mentions": X.mentions("content", phrase), "search_phrase": F.lit(phrase), "human_date": X.human_date("date_issued"), "snippet": X.snippet("content", phrase)})
 
 
-def result_page(docs: DataFrame, persons: DataFrame, terms: DataFrame, phrase: str, start: dt.date, end: dt.date, days_ago: int = 30, size: int = 10, offset: int = 0, mode: str = "compat", limit: int | None = TOKEN_LIMIT) -> dict[str, DataFrame]:
-    """The parts of a page as DataFrames: breakdown, totals, docs."""
+def result_page(docs: DataFrame, persons: DataFrame, terms: DataFrame, phrase: str, start: dt.date, end: dt.date, days_ago: int = 30, size: int = 10, offset: int = 0, mode: str = "compat", limit: int | None = TOKEN_LIMIT, index: Index | None = None) -> dict[str, DataFrame]:
+    """The parts of a page as DataFrames: breakdown, totals, docs; with an index of the contents, from that."""
     q = phrase.strip().lower()
-    hits = enriched(search.search(docs, {"content": q}, start, end, size, offset, mode), q)
+    hits = enriched(search.search(docs, {"content": q}, start, end, size, offset, mode, index), q)
+    counted = docs if index is None else index
     return {
-        "breakdown": histogram.period_breakdown(docs, q, start, end, days_ago, mode, limit),
-        "totals": histogram.period_delta(docs, q, start, end, days_ago, limit, mode),
+        "breakdown": histogram.period_breakdown(counted, q, start, end, days_ago, mode, limit),
+        "totals": histogram.period_delta(counted, q, start, end, days_ago, limit, mode),
         "docs": people.match_speakers(hits, persons, terms, mode=mode) if "speakers" in docs.columns else hits,
     }
 

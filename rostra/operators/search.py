@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from rostra.functions import text as X
 from rostra.operators.histogram import in_range
+from rostra.operators.index import Index, bm25_score, places
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "speaker", "content")
@@ -66,13 +65,29 @@ def page(df: DataFrame, size: int = 10, offset: int = 0, key: str = "crec_id") -
     return df.orderBy(F.col("score").desc(), key).offset(int(offset)).limit(int(size))
 
 
-def search(docs: DataFrame, fields: dict[str, str], start: dt.date, end: dt.date, size: int = 10, offset: int = 0, mode: str = "compat") -> DataFrame:
-    """A page of the documents of the range whose fields have the phrases, best first."""
+def search(docs: DataFrame, fields: dict[str, str], start: dt.date, end: dt.date, size: int = 10, offset: int = 0, mode: str = "compat", index: Index | None = None) -> DataFrame:
+    """A page of the documents of the range whose fields have the phrases, best first.
+
+    With an index of the contents no text is read but those of the page: the index finds and
+    ranks, other fields narrow its hits by their own columns, and the page's rows alone are fetched.
+    """
     phrase = " ".join(v for k, v in field_filters(fields, mode).items() if k == "content")
+    if index is not None and phrase:
+        return _from_index(docs, index, phrase, {k: v for k, v in fields.items() if k != "content"}, start, end, size, offset, mode)
     ranked = bm25(docs, phrase) if phrase else docs.withColumn("score", F.lit(1.0))
     return page(phrase_filter(in_range(ranked, start, end), fields, mode), size, offset)
 
 
+def _from_index(docs: DataFrame, index: Index, phrase: str, others: dict[str, str], start: dt.date, end: dt.date, size: int, offset: int, mode: str, key: str = "crec_id") -> DataFrame:
+    found = index.hits(phrase, start, end).select(F.col("key").alias(key), "score")
+    own = in_range(docs, start, end)
+    if field_filters(others, mode):
+        found = found.join(phrase_filter(own, others, mode).select(key), key, "left_semi")
+    # a page has ``size`` rows, so it may be broadcast to where its documents are
+    best = page(found, size, offset, key)
+    return own.join(F.broadcast(best), key).select(*docs.columns, "score").orderBy(F.col("score").desc(), key)
+
+
 def hits(df: DataFrame) -> DataFrame:
     """Documents of a page with their day as text."""
     return df.withColumn("date_issued", F.date_format("date_issued", "yyyy-MM-dd"))
@@ -94,43 +109,6 @@ def statistics(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avg_length"))
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def write_index(docs: DataFrame, path: str, key: str = "crec_id", content: str = "content", keep: Sequence[str] = (), buckets: int = 256) -> None:
-    """Write the postings, by buckets of terms and sorted by term, and the statistics under ``path``.
-
-    The rebalance lets a bucket with a very frequent word fill as many files as it needs.
-    """
-    rows = postings(docs, key, content, keep).withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/postings")
-    # the schema too, since postings of no rows leave no file to tell it
-    statistics(docs, content).withColumns({"buckets": F.lit(buckets), "schema": F.lit(rows.schema.json())}).write.mode("overwrite").parquet(f"{path}/statistics")
-
-
-def read_index(spark: SparkSession, path: str, phrase: str) -> tuple[DataFrame, DataFrame]:
-    """The postings of a phrase's words, read from their buckets alone, and the statistics."""
-    stats = spark.read.parquet(f"{path}/statistics")
-    kept = stats.first()
-    buckets, schema = kept["buckets"], StructType.fromJson(json.loads(kept["schema"]))
-    words = list(dict.fromkeys(X.analyzed_words(phrase)))
-    rows = spark.read.schema(schema).parquet(f"{path}/postings").where(F.col("term").isin(words))
-    if words:
-        rows = rows.where(reduce(lambda a, b: a | b, [F.col("bucket") == _bucket(F.lit(w), buckets) for w in words]))
-    return rows.drop("bucket"), stats.drop("buckets", "schema")
-
-
-def _places(words: Sequence[str]) -> Column:
-    """Non-overlapping places of the phrase, from the map ``_at`` of a document's positions by word."""
-    def starts_of(i: int) -> Column:
-        return F.transform(F.col("_at")[words[i]], lambda x: x - i)
-
-    starts = F.array_sort(reduce(F.array_intersect, [starts_of(i) for i in range(len(words))]))
-    step = lambda s, x: F.when(x >= s["next"], F.struct((s["n"] + 1).alias("n"), (x + len(words)).alias("next"))).otherwise(s)
-    return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("next")), step, lambda s: s["n"])
-
-
 def phrase_hits(found: DataFrame, stats: DataFrame, phrase: str, key: str = "crec_id", keep: Sequence[str] = ()) -> DataFrame:
     """(key, keep, tf, score) of the documents that hold the phrase, from postings; no text is read.
 
@@ -144,8 +122,6 @@ def phrase_hits(found: DataFrame, stats: DataFrame, phrase: str, key: str = "cre
     held = rows.groupBy(key, *keep, "length").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_at"))
     if df is None:
         return held.select(key, *keep, F.lit(0).alias("tf"), F.lit(0.0).alias("score"))
-    hits = held.where(F.size("_at") == len(distinct)).withColumn("tf", _places(words)).where("tf > 0")
+    hits = held.where(F.size("_at") == len(distinct)).withColumn("tf", places(words)).where("tf > 0")
     one = df.crossJoin(stats)
-    idf = reduce(lambda a, b: a + b, [F.log(1 + (F.col("n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) for i in range(len(words))])
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1e-9))))
-    return hits.crossJoin(F.broadcast(one)).select(key, *keep, "tf", score.alias("score"))
+    return hits.crossJoin(F.broadcast(one)).select(key, *keep, "tf", bm25_score(len(words), F.col("n"), F.col("avg_length"), K1, B).alias("score"))

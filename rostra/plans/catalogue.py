@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from rostra.constants import BILL_TYPES, STATES
 from rostra.functions import text as X
-from rostra.operators import entities, histogram, people, search, segments
+from rostra.operators import entities, histogram, index, people, search, segments
 from rostra.operators import page as pages
 from rostra.plans import roles
-from rostra.sources import archive, documents
+from rostra.sources import archive, documents, shared
 from rostra.sources import people as people_source
 from rostra.streaming import ingest
 
@@ -154,6 +154,56 @@ def postings_summary(spark, d) -> DataFrame:
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").cast("long").alias("places"))
 
 
+def _indexed(spark, d) -> index.Index:
+    """An index of the documents, written day by day.
+
+    Some days are first written with other texts and with documents that are none, and then replaced;
+    one day, outside the documents, is written and emptied. Part of it is then compacted.
+    """
+    docs, path = roles.docs(spark, d).select("crec_id", "content", "date_issued"), shared.fresh(spark, "index")
+    wrong = F.dayofmonth("date_issued") % 10 == 7
+    stale = docs.where(wrong).select((-1 - F.col("crec_id")).alias("crec_id"), F.lit("of the of the").alias("content"), "date_issued")
+    index.add(docs.withColumn("content", F.when(wrong, F.lit("the of the")).otherwise(F.col("content"))).unionByName(stale), path, buckets=8)
+    gone = docs.where("date_issued = DATE '2017-01-07'").withColumn("date_issued", F.lit(dt.date(2017, 12, 1)))
+    index.add(docs.where(wrong).unionByName(gone), path)
+    index.compact(spark, path)
+    index.add(gone.limit(0), path, days=[dt.date(2017, 12, 1)])
+    return index.Index(spark, path)
+
+
+@query(_BM25.split("SELECT crec_id, score FROM r")[0] + "SELECT crec_id, score FROM r")
+def index_search(spark, d) -> DataFrame:
+    """Every hit of the phrase in the range with its score, from a written index whose days were in part replaced."""
+    return _indexed(spark, d).hits(PHRASE, START, END).select(F.col("key").alias("crec_id"), F.round("score", 6).alias("score"))
+
+
+@query(_BM25 + "10")
+def index_page(spark, d) -> DataFrame:
+    """The second page of a search through the index, with the texts of its documents fetched."""
+    rows = search.search(roles.docs(spark, d), {"content": PHRASE}, START, END, offset=10, index=_indexed(spark, d))
+    return rows.where("content IS NOT NULL").select("crec_id", F.round("score", 6).alias("score"))
+
+
+@query(_SQL["term_counts_dense"])
+def index_term_counts(spark, d) -> DataFrame:
+    """Ninety days of a term from the daily counts of the index."""
+    return histogram.dense_term_counts(_indexed(spark, d), TERM, START, dt.date(2017, 5, 1))
+
+
+@query(_SQL["phrase_counts_by_day"])
+def index_phrase_counts(spark, d) -> DataFrame:
+    return histogram.term_counts(_indexed(spark, d), PHRASE, START, END, mode="intent")
+
+
+@query(rf"""WITH {_D}, w AS (SELECT date_issued AS day, crec_id, unnest({_ANA}) AS term FROM d), k AS (SELECT date_issued AS day, unnest({_TOK}) AS term FROM d),
+a AS (SELECT day, term, count(DISTINCT crec_id) AS docs, count(*) AS places FROM w GROUP BY 1, 2), b AS (SELECT day, term, count(*) AS tokens FROM k GROUP BY 1, 2)
+SELECT coalesce(a.day, b.day) AS day, coalesce(a.term, b.term) AS term, CAST(coalesce(docs, 0) AS BIGINT) AS docs, CAST(coalesce(places, 0) AS BIGINT) AS places, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens
+FROM a FULL JOIN b ON a.day = b.day AND a.term = b.term""")
+def index_daily_counts(spark, d) -> DataFrame:
+    """The whole rollup of a written index: what is kept of every word and token of every day."""
+    return _indexed(spark, d).all_counts().select("day", "term", "docs", "places", "tokens")
+
+
 @query(f"WITH {_D} SELECT crec_id, CAST((length(content) - length(replace(lower(content), 'of the', ''))) // 6 AS INTEGER) AS mentions FROM d")
 def mentions(spark, d) -> DataFrame:
     return roles.docs(spark, d).select("crec_id", X.mentions("content", PHRASE).alias("mentions"))
@@ -529,6 +579,19 @@ def result_page(spark, d) -> DataFrame:
     return docs.select("crec_id", F.round("score", 6).alias("score"), "mentions", "search_phrase", "human_date", "snippet", F.size("matched").alias("matched"))
 
 
+@query(_PAGE_BM25)
+def index_result_page(spark, d) -> DataFrame:
+    """The hits of a result page, found and ranked through a written index."""
+    held = roles.terms(spark, d).groupBy("bioguide_id", "start_date", "end_date").agg(F.max("party").alias("party"))
+    docs = pages.result_page(roles.docs(spark, d), roles.people(spark, d), held, " The ", START, END, index=_indexed(spark, d))["docs"]
+    return docs.select("crec_id", F.round("score", 6).alias("score"), "mentions", "search_phrase", "human_date", "snippet", F.size("matched").alias("matched"))
+
+
+@query(_SQL["period_delta"])
+def index_totals(spark, d) -> DataFrame:
+    return histogram.period_delta(_indexed(spark, d), TERM, START, END)
+
+
 @query(_SQL["period_breakdown"])
 def result_page_breakdown(spark, d) -> DataFrame:
     return _result_page(spark, d)["breakdown"]

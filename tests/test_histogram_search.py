@@ -123,27 +123,3 @@ def test_result_page(spark, docs):
 def test_postings(docs):
     r = search.postings(docs.limit(1)).where("term = 'foo'").first()
     assert (r["tf"], r["positions"]) == (2, [0, 3])
-
-
-def test_index_gives_the_scores_of_the_texts(spark, tmp_path):
-    texts = ["a a a b", "b a a", None, "", "c a b a b a b", "a", "It's a b's a b"] * 3
-    docs = spark.createDataFrame([(i, t, DAY(2017, 1, i % 5 + 1)) for i, t in enumerate(texts)], "crec_id long, content string, date_issued date")
-    search.write_index(docs, str(tmp_path), keep=["date_issued"], buckets=8)
-    for phrase in ["a", "a a", "a b", "b a b", "a b a", "nowhere", "a nowhere", "it's A", "", " . "]:
-        found, stats = search.read_index(spark, str(tmp_path), phrase)
-        got = {r["crec_id"]: round(r["score"], 9) for r in search.phrase_hits(found, stats, phrase, keep=["date_issued"]).collect()}
-        want = search.phrase_filter(search.bm25(docs, phrase), {"content": phrase}) if phrase.strip(" .") else docs.limit(0).withColumn("score", F.lit(0.0))
-        assert got == {r["crec_id"]: round(r["score"], 9) for r in want.collect()}, phrase
-
-
-def test_index_reads_only_the_buckets_of_its_words(spark, tmp_path, docs):
-    search.write_index(docs, str(tmp_path), buckets=8)
-    found, _ = search.read_index(spark, str(tmp_path), "foo")
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "term" in plan.split("PushedFilters")[1]
-
-
-def test_index_of_no_documents(spark, tmp_path, docs):
-    search.write_index(docs.limit(0), str(tmp_path))
-    found, stats = search.read_index(spark, str(tmp_path), "foo bar")
-    assert search.phrase_hits(found, stats, "foo bar").count() == 0
