@@ -83,11 +83,12 @@ def entity_types(rows: DataFrame, key: str = "crec_id", entity: str = "entity",
 
 def entity_counts(rows: DataFrame, key: str = "crec_id") -> DataFrame:
     """(key, type, entity, n, pos); people's names lose capitals, and of names that thus meet the last seen counts."""
-    counts = rows.groupBy(key, "entity").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    typed = counts.join(entity_types(rows, key), [key, "entity"])
+    # one aggregation by label gives both the counts and the most frequent label
+    counted = rows.groupBy(key, "entity", "label").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("first"))
+    named_label = F.when(F.coalesce("label", F.lit("")) != "", F.struct(F.col("m"), -F.col("first")))
+    typed = counted.groupBy(key, "entity").agg(F.sum("m").alias("n"), F.min("first").alias("pos"), F.coalesce(F.max_by("label", named_label), F.lit("")).alias("type"))
     named = typed.withColumn("entity", F.when(F.col("type") == "PERSON", X.camel_case("entity")).otherwise(F.col("entity")))
-    w = Window.partitionBy(key, "type", "entity").orderBy(F.col("pos").desc())
-    return named.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return named.groupBy(key, "type", "entity").agg(F.max_by(F.struct("n", "pos"), "pos").alias("r")).select(key, "type", "entity", "r.n", "r.pos")
 
 
 def entity_maps(rows: DataFrame, key: str = "crec_id") -> DataFrame:
@@ -97,12 +98,12 @@ def entity_maps(rows: DataFrame, key: str = "crec_id") -> DataFrame:
 
 
 def chunk_counts(annotated: DataFrame, entities: DataFrame, key: str = "crec_id", mode: str = "compat") -> DataFrame:
-    """(key, chunk, n): noun chunks that are no entity, in lower case.
+    """(key, chunk, n): noun chunks that are no entity, in lower case; the determiner goes before the blacklist is asked.
 
     Compat counts every chunk once, intent all its occurrences.
     """
-    rows = annotated.select(key, F.explode("chunks").alias("c")).where(X.chunk_kept("c.text", "c.lemma"))
-    rows = rows.select(key, F.lower(X.clean_chunk(X.without_determiner("c.text"))).alias("chunk"))
+    rows = annotated.select(key, F.explode("chunks").alias("c")).select(key, X.without_determiner("c.text").alias("text"), F.col("c.lemma").alias("lemma"))
+    rows = rows.where(X.chunk_kept("text", "lemma")).select(key, F.lower(X.clean_chunk("text")).alias("chunk"))
     named = entities.select(key, F.lower("entity").alias("chunk")).distinct()
     left = rows.join(named, [key, "chunk"], "left_anti")
     n = F.lit(1) if mode == "compat" else F.count(F.lit(1))

@@ -137,12 +137,17 @@ def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def folded(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """One row a key; a column keeps its last value by ``seq`` that is not null."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in rest])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Old and new rows as one a key; a column keeps its last value that is not null."""
+    """Old and new rows as one a key; a column keeps its last value that is not null, a new one before an old."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (*keys, "_new")]
-    order = F.struct("_new", seq)
-    return both.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest])
+    rows = both.withColumn("_order", F.struct("_new", seq)).drop("_new")
+    return folded(rows, keys, "_order").drop("_order")
 
 
 def delete_keys(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.constants import FUZZY_SCORE, generic_speakers
+from rostra.functions import text as X
+from rostra.operators.fuzzy import fuzzy_match, fuzzy_options, open_pairs, weighted_ratio, with_best
 
+__all__ = ["candidates", "document_segments", "first_contained", "fuzzy_match", "islands", "segments", "sentence_array", "sentences", "weighted_ratio"]
 
-
-def sentences(docs: DataFrame, key: str = "crec_id", content: str = "content") -> DataFrame:
-    """(key, pos, sentence) of every document; titles and initials end no sentence."""
+def sentence_array(content: Column) -> Column:
+    """The sentences of a text; titles and initials end none."""
     marked = F.regexp_replace(content, r"(?<![\p{L}\p{N}_])(Mr|Mrs|Ms|Dr|Jr|Sr|St|No|[A-Z])\.\s", "$1\u0001 ")
     cut = F.transform(F.split(marked, r"(?<=[.!?])\s+"), lambda s: F.replace(s, F.lit("\u0001"), F.lit(".")))
-    return docs.select(key, F.posexplode(F.filter(cut, lambda s: s != "")).alias("pos", "sentence"))
+    return F.filter(cut, lambda s: s != "")
+
+
+def sentences(docs: DataFrame, key: str = "crec_id", content: str = "content") -> DataFrame:
+    """(key, pos, sentence) of every document."""
+    return docs.select(key, F.posexplode(sentence_array(F.col(content))).alias("pos", "sentence"))
 
 
 def first_contained(sentence: Column, candidates: Column) -> Column:
@@ -30,51 +33,6 @@ def candidates(own: Column, mode: str = "compat") -> Column:
     return F.concat(F.coalesce(own, F.array().cast("array<string>")), F.array(*[F.lit(s) for s in generic_speakers(mode)]))
 
 
-def ratio(a: str, b: str) -> int:
-    return round(100 * SequenceMatcher(None, a, b, autojunk=False).ratio())
-
-
-def _norm(s: str) -> str:
-    return " ".join("".join(c if c.isalnum() else " " for c in s).lower().split())
-
-
-def weighted_ratio(a: str, b: str) -> int:
-    """The best of plain, token-sorted and token-set similarity, 0 to 100, for strings of like length.
-
-    With lengths that differ by half or more, only scores of 90 or less are possible, so
-    those pairs are given 0.
-    """
-    a, b = _norm(a), _norm(b)
-    if not a or not b or max(len(a), len(b)) >= 1.5 * min(len(a), len(b)):
-        return 0
-    ta, tb = set(a.split()), set(b.split())
-    both, left, right = " ".join(sorted(ta & tb)), " ".join(sorted(ta - tb)), " ".join(sorted(tb - ta))
-    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    token_set = max(ratio(both, one) if both else 0, ratio(both, two) if both else 0, ratio(one, two))
-    return max(ratio(a, b), round(0.95 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))), round(0.95 * token_set))
-
-
-def fuzzy_match(df: DataFrame, sentence: str, options: str, out: str, least: int = FUZZY_SCORE) -> DataFrame:
-    """``df`` with the best option whose score is above ``least``, the first of equals, or null.
-
-    Only pairs of like length reach the Python worker's comparison.
-    """
-
-    @F.pandas_udf("string")
-    def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, names in batches:
-            found = []
-            for s, o in zip(text, names, strict=True):
-                scored = [(weighted_ratio(s, c), -i, c) for i, c in enumerate(o if o is not None else [])] if s else []
-                top = max(scored, default=(0, 0, None))
-                found.append(top[2] if top[0] > least else None)
-            yield pd.Series(found, dtype=object)
-
-    # marks count for nothing in the comparison, so the limits leave room for some
-    near = F.filter(options, lambda c: (F.length(F.col(sentence)) < 2 * F.length(c) + 8) & (F.length(c) < 2 * F.length(F.col(sentence)) + 8))
-    return df.withColumn(out, F.when(F.size(near) > 0, best(F.col(sentence), near)))
-
-
 def segments(rows: DataFrame, key: str = "crec_id", pos: str = "pos", sentence: str = "sentence", hit: str = "hit") -> DataFrame:
     """(key, number, speaker, text): islands of sentences of one speaker.
 
@@ -91,17 +49,49 @@ def segments(rows: DataFrame, key: str = "crec_id", pos: str = "pos", sentence:
     )
 
 
-def document_segments(docs: DataFrame, key: str = "crec_id", content: str = "content", speaker_ids: str = "speaker_ids", mode: str = "compat", fuzzy: bool = True) -> DataFrame:
-    """``docs`` with ``segments``: id, speaker, text and person id of each island, in order."""
-    names = docs.select(key, speaker_ids, candidates(F.map_keys(speaker_ids), mode).alias("_options"))
-    rows = sentences(docs, key, content).join(names.select(key, "_options"), key)
-    rows = rows.withColumn("_exact", first_contained(F.col("sentence"), F.col("_options")))
+def islands(sentences_: Column, hits: Column) -> Column:
+    """Runs of sentences of one speaker, as (speaker, text) in order, from the speaker recognised in each sentence or null.
+
+    A run begins where a speaker is recognised who is not the one before; sentences before
+    the first have none. Linear in the text: every sentence goes into one slice.
+    """
+    found = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: F.get(hits, i).isNotNull())
+    changed = X.let(found, lambda f: F.filter(f, lambda i, k: (k == 0) | (F.get(hits, i) != F.get(hits, F.get(f, k - 1)))))
+    starts = X.let(changed, lambda c: F.when(F.coalesce(F.get(c, F.lit(0)), F.lit(-1)) == 0, c).otherwise(F.concat(F.array(F.lit(0)), c)))
+
+    def run(all_: Column) -> Column:
+        return F.transform(all_, lambda i, k: F.struct(F.get(hits, i).alias("speaker"), F.array_join(F.slice(sentences_, i + 1, F.coalesce(F.get(all_, k + 1), F.size(hits)) - i), " ").alias("text")))
+
+    return F.when(F.size(hits) > 0, X.let(starts, run))
+
+
+def document_segments(docs: DataFrame, key: str = "crec_id", content: str = "content", speaker_ids: str = "speaker_ids", mode: str = "compat", fuzzy: bool = True, least: int = FUZZY_SCORE) -> DataFrame:
+    """``docs`` with ``segments``: id, speaker, text and person id of each island, in order; null for a null or empty text.
+
+    Every document is cut in its own row, so nothing is shuffled. With ``fuzzy`` a sentence without a speaker
+    is compared with those that it could be like; only these pairs reach Python.
+    """
+    names = candidates(F.map_keys(speaker_ids), mode)
+    cut = F.coalesce(sentence_array(F.col(content)), F.array().cast("array<string>"))
     if fuzzy:
-        open_ = F.when(F.col("_exact").isNull(), F.col("_options"))
-        rows = fuzzy_match(rows.withColumn("_open", open_), "sentence", "_open", "_near").withColumn("hit", F.coalesce("_exact", "_near"))
+        unlike = X.let(fuzzy_options(names), lambda o: X.let(cut, lambda s: F.filter(F.transform(s, lambda x, i: F.when(first_contained(x, names).isNull(), open_pairs(x, i, o, least))), lambda p: F.size(p["names"]) > 0)))
+        docs = with_best(docs, unlike, "_near", least)
+        near = F.map_from_entries("_near")
     else:
-        rows = rows.withColumn("hit", F.col("_exact"))
-    found = segments(rows, key).join(names.select(key, speaker_ids), key)
-    one = F.struct("number", F.concat_ws("-", key, "number").alias("id"), "speaker", "text", F.try_element_at(F.col(speaker_ids), F.coalesce("speaker", F.lit(""))).alias("bioguide_id"))
-    held = found.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_s")).select(key, F.transform("_s", lambda s: F.struct(s["id"].alias("id"), s["speaker"].alias("speaker"), s["text"].alias("text"), s["bioguide_id"].alias("bioguide_id"))).alias("segments"))
-    return docs.drop("segments").join(held, key, "left")
+        near = None
+
+    def whole(s: Column) -> Column:
+        def hit(x: Column, i: Column) -> Column:
+            exact = first_contained(x, names)
+            return exact if near is None else F.coalesce(exact, F.try_element_at(near, i))
+
+        def named(runs: Column) -> Column:
+            def one(r: Column, k: Column) -> Column:
+                person = F.try_element_at(F.col(speaker_ids), F.coalesce(r["speaker"], F.lit("")))
+                return F.struct(F.concat_ws("-", F.col(key), k + 1).alias("id"), r["speaker"].alias("speaker"), r["text"].alias("text"), person.alias("bioguide_id"))
+
+            return F.transform(runs, one)
+
+        return X.let(F.transform(s, hit), lambda h: named(islands(s, h)))
+
+    return docs.drop("segments").withColumn("segments", X.let(cut, whole)).drop("_near")

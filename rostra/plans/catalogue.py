@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from rostra.constants import BILL_TYPES, STATES
 from rostra.functions import text as X
-from rostra.operators import entities, histogram, index, people, search, segments
+from rostra.operators import entities, fuzzy, histogram, index, people, search, segments
 from rostra.operators import page as pages
 from rostra.plans import roles
-from rostra.sources import archive, documents, shared
+from rostra.sources import archive, daily, documents, shared
 from rostra.sources import people as people_source
 from rostra.streaming import ingest
 
@@ -455,13 +455,21 @@ _XML_ID = "'id-CREC-' || strftime(date_issued, '%Y-%m-%d') || '-pt1-Pg' || CASE
 
 
 @query(rf"""WITH {_D}, x AS (SELECT *, {_XML_ID} AS id FROM d WHERE crec_id % 7 <> 0 AND content IS NOT NULL),
-c AS (SELECT *, ' MET AND ADJOURNED. ' || content AS body FROM x WHERE crec_id % 11 <> 0)
+c AS (SELECT *, ' MET AND ADJOURNED. ' || content || '. Mr. DOE yields to Mr. ROE now.' AS body FROM x WHERE crec_id % 11 <> 0)
 SELECT id AS crec_id, date_issued, title, title_part, 'p' || crec_id || '.pdf' AS pdf_url, CASE WHEN crec_id % 5 = 0 THEN '' ELSE 'h' || crec_id || '.htm' END AS html_url,
-'S' || crec_id AS page_start, '' AS page_end, 'Roe ' || crec_id % 3 || ';Doe' AS speakers, 'D' || crec_id % 4 AS roe_id, md5(__CLEAN__) AS content_md5 FROM c""")
+'S' || crec_id AS page_start, '' AS page_end, 'Roe ' || crec_id % 3 || ';Doe' AS speakers, 'D' || crec_id % 4 AS roe_id, 'Mr. ROE,Mr. DOE' AS named, id || '-1::;' || id || '-2:Mr. ROE:D' || crec_id % 4 AS segments, md5(__CLEAN__) AS content_md5 FROM c""")
 def load_job(spark, d) -> DataFrame:
-    """The load job over a table of metadata files and bodies made of the documents: every field of the XML and the cleaned body."""
+    """The load job over a table of metadata files and bodies made of the documents: every field of the XML, the cleaned body and its segments.
+
+    A name that is given twice is tried where it first stands, and has the id it is last given.
+    """
     loaded, _ = documents.load(_staged(spark, d), fuzzy=False)
-    return loaded.select("crec_id", "date_issued", "title", "title_part", "pdf_url", "html_url", "page_start", "page_end", F.array_join("speakers", ";").alias("speakers"), F.col("speaker_ids")["Mr. ROE"].alias("roe_id"), F.md5("content").alias("content_md5"))
+    return _fields(loaded)
+
+
+def _fields(loaded: DataFrame) -> DataFrame:
+    one = F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["id"], F.coalesce(s["speaker"], F.lit("")), F.coalesce(s["bioguide_id"], F.lit("")))), ";")
+    return loaded.withColumns({"named": F.array_join(F.map_keys("speaker_ids"), ","), "segments": one}).select("crec_id", "date_issued", "title", "title_part", "pdf_url", "html_url", "page_start", "page_end", F.array_join("speakers", ";").alias("speakers"), F.col("speaker_ids")["Mr. ROE"].alias("roe_id"), "named", "segments", F.md5("content").alias("content_md5"))
 
 
 @query(rf"""WITH {_D} SELECT {_XML_ID} AS crec_id, 'no body' AS reason FROM d WHERE crec_id % 7 <> 0 AND (crec_id % 11 = 0 OR content IS NULL)""")
@@ -478,14 +486,77 @@ def _staged(spark, d) -> DataFrame:
 || '</location><part type="article"><extent><start>S' || crec_id || '</start></extent></part><name type="personal"><namePart>Roe ' || crec_id % 3 || '</namePart></name>'
 || '<name type="corporate"><namePart>X</namePart></name><name type="personal"><namePart>Doe</namePart></name>'
 || '<extension><congMember role="SPEAKING" bioGuideId="Z"><name type="parsed">Mr. ROE of Iowa</name></congMember>'
-|| '<congMember role="SPEAKING" bioGuideId="D' || crec_id % 4 || '"><name type="parsed">Mr. ROE of Ohio</name></congMember>'
+|| '<congMember role="SPEAKING" bioGuideId="U"><name type="parsed">Mr. DOE of Utah</name></congMember>'
+    || '<congMember role="SPEAKING" bioGuideId="D' || crec_id % 4 || '"><name type="parsed">Mr. ROE of Ohio</name></congMember>'
 || '<congMember role="MENTIONED" bioGuideId="M"><name type="parsed">Mr. ROE</name></congMember></extension></relatedItem>'""")
     head = F.concat(F.lit('<mods xmlns="http://www.loc.gov/mods/v3"><originInfo><dateIssued>'), F.date_format("date_issued", "yyyy-MM-dd"), F.lit('</dateIssued></originInfo><relatedItem type="other" ID="x"/>'))
     files = rows.groupBy("date_issued").agg(F.array_join(F.collect_list(one), "").alias("items")).select(F.col("date_issued").alias("date"), F.lit("mods.xml").alias("name"), F.concat(head, "items", F.lit("</mods>")).alias("content"))
-    bodies = rows.where("crec_id % 11 <> 0").select(F.col("date_issued").alias("date"), documents.body_name("id").alias("name"), F.concat(F.lit("x MET AND ADJOURNED. "), "content").alias("content"))
+    bodies = rows.where("crec_id % 11 <> 0").select(F.col("date_issued").alias("date"), documents.body_name("id").alias("name"), F.concat(F.lit("x MET AND ADJOURNED. "), "content", F.lit(". Mr. DOE yields to Mr. ROE now.")).alias("content"))
     return files.unionByName(bodies.where("content IS NOT NULL"))
 
 
+def _archives(spark, d, days: int = 90) -> str:
+    """A folder of archives, one a day, with the metadata and bodies of the documents and members that are left out."""
+    path = shared.fresh(spark, "archives")
+    rows = _staged(spark, d).where(F.col("date") < F.date_add(F.lit(dt.date(2017, 1, 1)), days)).select("date", F.concat(F.lit("a/b/"), "name").alias("member"), "content")
+    noise = rows.select("date").distinct().select("date", F.lit("a/x.pdf").alias("member"), F.lit("noise").alias("content"))
+    archive.write_archives(rows.unionByName(noise), path).collect()  # a row a day
+    return path
+
+
+@query(rf"""WITH {_D}, x AS (SELECT *, {_XML_ID} AS id FROM d WHERE crec_id % 11 <> 0 AND content IS NOT NULL)
+SELECT date_issued AS date, 'a/b/' || trim(id, 'id-') || '.htm' AS member, md5('x MET AND ADJOURNED. ' || content || '. Mr. DOE yields to Mr. ROE now.') AS content_md5, CAST(NULL AS VARCHAR) AS error FROM x
+WHERE date_issued BETWEEN DATE '2017-02-01' AND DATE '2017-03-31' UNION ALL SELECT DATE '2017-04-01', NULL, NULL, 'no data'""")
+def archive_members(spark, d) -> DataFrame:
+    """Archives of all documents, written a day at a time and read by the data source: the bodies of two months and of a day without an archive."""
+    rows = archive.members(spark, _archives(spark, d, 90), dt.date(2017, 2, 1), dt.date(2017, 4, 2))
+    return rows.where("member LIKE '%.htm' OR member IS NULL").select("date", "member", F.md5("content").alias("content_md5"), "error")
+
+
+def _run_days(spark, d) -> str:
+    """A store after a week's runs.
+
+    A run has stopped half way; one day is run twice; one day's archive is unreadable when it is first
+    read and another's when it is read again, which keeps what it had; one day has no archive.
+    """
+    archives, store = _archives(spark, d, 6), shared.fresh(spark, "store")
+    day = lambda n: dt.date(2017, 1, n)
+    broken = shared.fresh(spark, "broken")
+    for n in (3, 4):
+        archive.put(f"{broken}/CREC-2017-01-0{n}.zip", b"PK no archive")
+    spark.range(0).write.parquet(f"{store}/staged/run=0")  # what a run leaves that stops before its audit
+    daily.scrape(spark, archives, store, day(1), day(3))
+    daily.load(spark, store, fuzzy=False, buckets=4)
+    daily.scrape(spark, broken, store, day(3), day(4))
+    daily.scrape(spark, archives, store, day(2), day(8))
+    daily.load(spark, store, fuzzy=False, buckets=4)
+    daily.scrape(spark, broken, store, day(4), day(5))
+    daily.load(spark, store, fuzzy=False, buckets=4)
+    return store
+
+
+@query(_SQL["load_job"].replace("__CLEAN__", _cleanup_sql("body")) + " WHERE date_issued < DATE '2017-01-07'")
+def daily_load(spark, d) -> DataFrame:
+    """The daily job over a week of archives, by two runs that share a day: each document once, with its segments."""
+    return _fields(daily.loaded(spark, _run_days(spark, d)).where("reason IS NULL"))
+
+
+@query(rf"""WITH {_D}, x AS (SELECT *, {_XML_ID} AS id FROM d), b AS (SELECT date_issued AS date, 'crec/' || strftime(date_issued, '%Y/%m/%d') || '/' || trim(id, 'id-') || '.htm' AS key FROM x WHERE crec_id % 11 <> 0 AND content IS NOT NULL
+UNION ALL SELECT DISTINCT date_issued, 'crec/' || strftime(date_issued, '%Y/%m/%d') || '/mods.xml' FROM d)
+SELECT date, true AS success, string_agg(key, chr(10) ORDER BY key) AS message, CAST(count(*) FILTER (key LIKE '%.htm') AS INTEGER) AS num_files, CASE WHEN date = DATE '2017-01-01' THEN 0 ELSE 2 END AS run, 'ended' AS state FROM b WHERE date < DATE '2017-01-07' AND date <> DATE '2017-01-04' GROUP BY 1
+UNION ALL SELECT DATE '2017-01-07', true, 'no data', 0, 2, 'ended' UNION ALL SELECT DATE '2017-01-04', false, 'unreadable archive', 0, 3, 'ended'""")
+def daily_audit(spark, d) -> DataFrame:
+    """The last audit row of each day after those runs."""
+    return daily.audit(spark, _run_days(spark, d))
+
+
+@query(rf"""WITH {_D}, x AS (SELECT {_XML_ID} AS crec_id, {_ANA.replace("content", "(' MET AND ADJOURNED. ' || content)")} AS a FROM d WHERE date_issued < DATE '2017-01-07' AND crec_id % 7 <> 0 AND crec_id % 11 <> 0 AND content IS NOT NULL),
+t AS (SELECT crec_id, CAST(len(list_filter(range(1, len(a)), lambda i: a[i] = 'of' AND a[i + 1] = 'the')) AS INTEGER) AS tf FROM x) SELECT crec_id, tf FROM t WHERE tf > 0""")
+def daily_index(spark, d) -> DataFrame:
+    """How often the phrase stands in each document of the week, from the index that the daily job keeps."""
+    return index.Index(spark, f"{_run_days(spark, d)}/index").hits(PHRASE).select(F.col("key").alias("crec_id"), "tf")
+
+
 @query(f"WITH {_D} SELECT crec_id, CASE WHEN crec_id % 3 = 0 THEN 'new' ELSE title END AS title, title_part FROM d UNION ALL SELECT -1, 'new', 'added'")
 def document_upsert(spark, d) -> DataFrame:
     old = roles.docs(spark, d).select("crec_id", "title", "title_part")
@@ -732,6 +803,19 @@ def fuzzy_best_match(spark, d) -> DataFrame:
     return segments.fuzzy_match(s, "name", "options", "best").select("s_suppkey", "name", "best")
 
 
+_PARTS = """n AS (SELECT DISTINCT p_name || ' ' || p_type AS b FROM part), o AS (SELECT DISTINCT substring(p_name || ' ' || p_type, 1, 1 + p_partkey % 12) || substring(p_name || ' ' || p_type, 3 + p_partkey % 12) AS a FROM part)"""
+
+
+@query(f"""WITH {_PARTS}, s AS (SELECT a, b, 100 - 100 * levenshtein(a, b) / greatest(length(a), length(b)) AS x FROM o, n)
+SELECT a, b, CAST(floor(x) AS INTEGER) AS score FROM s WHERE floor(x) > 85""")
+def fuzzy_near_names(spark, d) -> DataFrame:
+    """Names of parts with a letter lost, and all names of parts that are more than 85 per cent like them."""
+    name = F.concat_ws(" ", "p_name", "p_type")
+    p = roles.read(spark, d, "part").select(name.alias("b"), (F.col("p_partkey") % 12).cast("int").alias("k"))
+    lost = p.select(F.concat(F.substring("b", F.lit(1), F.col("k") + 1), F.substring(F.col("b"), F.col("k") + 3, F.lit(1 << 20))).alias("a"))
+    return fuzzy.near_join(lost, p, "a", "b", 85)
+
+
 # -- entities --------------------------------------------------------------------------------
 
 

@@ -1,18 +1,28 @@
-"""Daily archives: names, members, staged keys, and the ingest audit."""
+"""Daily archives: names, members, staged keys, the data source that reads them, and the sink that writes them."""
 
 from __future__ import annotations
 
-import io
+import datetime as dt
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rostra.functions.text import col
 from rostra.schemas import AUDIT
 
+NO_DATA, UNREADABLE = "no data", "unreadable archive"
+#: Bytes of members that a reader gives to Spark together.
+_BATCH_BYTES = 8 << 20
+_NAME = re.compile(r"CREC-(\d{4}-\d{2}-\d{2})\.zip$")
+
 
 def archive_name(day: Column | str) -> Column:
     """The name of a day's archive."""
@@ -39,39 +49,179 @@ def staged_key(name: Column | str, day: Column | str, prefix: str = "crec") -> C
     return F.concat_ws("/", F.lit(prefix), F.date_format(col(day), "yyyy/MM/dd"), basename(name))
 
 
-def members(spark: SparkSession, path: str) -> DataFrame:
-    """(path, date, member, content) of the relevant members of all archives under a path.
+# -- the data source -------------------------------------------------------------------------
+
+
+@dataclass
+class Archive(InputPartition):
+    """A day's archive; without a path there is none."""
+
+    day: dt.date | None
+    path: str | None
+
+
+def _store(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    # file:/x, as Hadoop writes it, is file:///x
+    uri = re.sub(r"^file:/(?!/)", "file:///", path)
+    return fs.FileSystem.from_uri(uri)
+
+
+class ArchiveReader(DataSourceReader):
+    """A partition a day. Members are read one by one, so a task holds one of them and no archive.
+
+    With days given, every one of them has a row at least: days without an archive, or with one that
+    cannot be read, say so in ``error``. Days are chosen by the options alone, before any archive is opened:
+    a pushed-down filter would stay with the reader, which all queries on one DataFrame share.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"]
+        self.start, self.end = (dt.date.fromisoformat(options[k]) if options.get(k) else None for k in ("start", "end"))
+
+    def _wanted(self, day: dt.date | None) -> bool:
+        if day is None:
+            return self.start is None and self.end is None
+        return (self.start is None or self.start <= day) and (self.end is None or day < self.end)
+
+    def partitions(self) -> list[Archive]:
+        from pyarrow import fs
+
+        store, root = _store(self.path)
+        found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+        held = [Archive(dt.date.fromisoformat(m[1]) if (m := _NAME.search(f.path)) else None, f.path) for f in found if f.type == fs.FileType.File and f.path.endswith(".zip")]
+        if self.start is not None and self.end is not None:
+            there = {a.day for a in held}
+            span = (self.start + dt.timedelta(days=k) for k in range((self.end - self.start).days))
+            held += [Archive(d, None) for d in span if d not in there]
+        return [a for a in held if self._wanted(a.day)]
+
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no archives
+            return
+
+        def rows(members: list[str | None], contents: list[bytes | None], error: str | None) -> pa.RecordBatch:
+            n = len(members)
+            return pa.RecordBatch.from_arrays([pa.array([partition.day] * n, pa.date32()), pa.array([partition.path] * n, pa.string()), pa.array(members, pa.string()), pa.array(contents, pa.binary()), pa.array([error] * n, pa.string())], names=["date", "path", "member", "content", "error"])
+
+        if partition.path is None:
+            yield rows([None], [None], NO_DATA)
+            return
+        store, _ = _store(self.path)
+        names, bodies, size, n = [], [], 0, 0
+        try:
+            with store.open_input_file(partition.path) as file, zipfile.ZipFile(file) as z:
+                for name in z.namelist():
+                    if name.endswith(("htm", "mods.xml")):
+                        body = z.read(name)
+                        names.append(name)
+                        bodies.append(body)
+                        size, n = size + len(body), n + 1
+                        if size >= _BATCH_BYTES:
+                            yield rows(names, bodies, None)
+                            names, bodies, size = [], [], 0
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, ValueError):
+            # what is wrong with the archive; a store that fails is the task's fault, and it is tried again.
+            # Members read before the fault came stay out of the day by its error
+            yield rows([None], [None], UNREADABLE)
+            return
+        if names or not n:
+            yield rows(names, bodies, None) if names else rows([None], [None], None)
+
+
+class ArchiveSource(DataSource):
+    """``spark.read.format("rostra_archives")``; options path, and start and end as half-open days."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rostra_archives"
+
+    def schema(self) -> str:
+        return "date date, path string, member string, content binary, error string"
+
+    def reader(self, schema) -> ArchiveReader:
+        return ArchiveReader(dict(self.options))
+
+
+def members(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """(date, path, member, content, error) of the relevant members of the archives under a path.
+
+    An archive that cannot be read gives a row with an error and no member; so does a day from start up to,
+    not including, end without an archive. An archive without relevant members gives a row without either.
+    """
+    spark.dataSource.register(ArchiveSource)
+    reader = spark.read.format("rostra_archives").option("path", path)
+    for k, v in (("start", start), ("end", end)):
+        reader = reader.option(k, v.isoformat()) if v is not None else reader
+    return reader.load()
+
+
+def put(path: str, body: bytes) -> None:
+    """Write a small file."""
+    store, at = _store(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        out.write(body)
 
-    An archive that cannot be read gives one row with a null member, so that the audit
-    sees it and the rest of the day goes on.
+
+def write_archives(rows: DataFrame, path: str) -> DataFrame:
+    """Write rows (date, member, content) as an archive a day; gives (date, members) of what has been written.
+
+    A day streams through one task, sorted by member, so no archive is held in memory; it gets its
+    name when it is whole, so a task that is lost leaves nothing that counts.
     """
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+        store.create_dir(root, recursive=True)
+        context = TaskContext.get()
+        day, out, z, n, done = None, None, None, 0, []
+
+        def close() -> None:
+            z.close()
+            out.close()
+            store.move(part, f"{root}/CREC-{day.isoformat()}.zip")
+            done.append((day, n))
+
+        part = ""
         for batch in batches:
-            for i in range(batch.num_rows):
-                at, body = batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
-                try:
-                    with zipfile.ZipFile(io.BytesIO(body)) as z:
-                        found = [(n, z.read(n)) for n in z.namelist() if n.endswith(("htm", "mods.xml"))]
-                except zipfile.BadZipFile:
-                    found = [(None, None)]
-                names, bodies = zip(*found, strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.string()), pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["path", "member", "content"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", "content").mapInArrow(expand, "path string, member string, content binary")
-    day = F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.zip$", 1), "yyyy-MM-dd")
-    return rows.select("path", day.alias("date"), "member", "content")
+            for d, name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != day:
+                    if z is not None:
+                        close()
+                    day, n, part = d, 0, f"{root}/.{d.isoformat()}-{context.taskAttemptId()}.part"
+                    out = store.open_output_stream(part)
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                z.writestr(zipfile.ZipInfo(name), body, zipfile.ZIP_DEFLATED)
+                n += 1
+        if z is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], pa.date32()), pa.array([k for _, k in done], pa.int64())], names=["date", "members"])
+
+    ordered = rows.where("date IS NOT NULL").select("date", "member", F.col("content").cast("binary").alias("content")).repartition("date").sortWithinPartitions("date", "member")
+    return ordered.mapInArrow(run, "date date, members long")
+
+
+# -- the audit -------------------------------------------------------------------------------
 
 
 def audit(rows: DataFrame) -> DataFrame:
-    """One row for each day: whether it could be read, the keys it gave, and how many bodies."""
-    good = F.count_if(F.col("member").isNull()) == 0
+    """One row for each day: whether it could be read, the keys it gave, and how many bodies.
+
+    Of rows with an ``error`` that counts; a null member without one is an archive that cannot be read, unless
+    the table tells errors apart. A day without an archive is a success.
+    """
+    told = "error" in rows.columns
+    error = F.max("error") if told else F.max(F.when(F.col("member").isNull(), UNREADABLE))
     keys = F.array_join(F.array_sort(F.collect_list(F.when(F.col("member").isNotNull(), staged_key("member", "date")))), "\n")
-    return rows.groupBy("date").agg(good.alias("success"), F.when(good, keys).otherwise("unreadable archive").alias("message"), F.count_if(F.endswith("member", F.lit(".htm"))).cast("int").alias("num_files"))
+    day = rows.groupBy("date").agg(error.alias("_error"), keys.alias("_keys"), F.count_if(F.endswith("member", F.lit(".htm"))).cast("int").alias("num_files"))
+    return day.select("date", (F.coalesce("_error", F.lit(NO_DATA)) == NO_DATA).alias("success"), F.coalesce("_error", "_keys").alias("message"), "num_files")
 
 
-def no_data(spark: SparkSession, day: str, message: str = "no data") -> DataFrame:
+def no_data(spark: SparkSession, day: str, message: str = NO_DATA) -> DataFrame:
     """The audit row of a day without an archive, which counts as a success."""
     return spark.range(1).select(F.to_date(F.lit(day)).alias("date"), F.lit(True).alias("success"), F.lit(message).alias("message"), F.lit(0).alias("num_files")).to(AUDIT)
 

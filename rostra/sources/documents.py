@@ -24,18 +24,21 @@ def _first(array: Column, test, field) -> Column:
 def constituents(metadata: DataFrame, xml: str = "xml") -> DataFrame:
     """One row for each constituent of metadata files, whose whole text is in column ``xml``.
 
-    Missing texts are ''. The date is the file's. Of the members, those speaking give
-    ``speaker_ids``; a name given twice keeps its last id.
+    Missing texts are ''. ``date_issued`` is the file's own; the ``date`` under which a file was staged is
+    carried along. Of the members, those speaking give ``speaker_ids``; a name given twice keeps its
+    first place and its last id.
     """
-    parsed = metadata.select(F.from_xml(xml, _MODS, {"attributePrefix": "_", "valueTag": "_VALUE"}).alias("m"))
-    rows = parsed.select(F.to_date("m.originInfo.dateIssued").alias("date_issued"), F.explode("m.relatedItem").alias("r")).where("r._type = 'constituent'")
+    carried = [c for c in ("date",) if c in metadata.columns]
+    parsed = metadata.select(*carried, F.from_xml(xml, _MODS, {"attributePrefix": "_", "valueTag": "_VALUE"}).alias("m"))
+    rows = parsed.select(*carried, F.to_date("m.originInfo.dateIssued").alias("date_issued"), F.explode("m.relatedItem").alias("r")).where("r._type = 'constituent'")
     url = lambda label: _first(F.col("r.location.url"), lambda u: u["_displayLabel"] == label, lambda u: u["_VALUE"])
     extent = lambda end: _first(F.col("r.part"), lambda p: p["_type"] == "article", lambda p: p["extent"][end])
     members = F.filter(F.flatten(F.transform("r.extension", lambda e: F.coalesce(e["congMember"], F.array().cast("array<struct<_role:string,_bioGuideId:string,name:array<struct<_VALUE:string,_type:string>>>>")))), lambda m: m["_role"] == "SPEAKING")
     pairs = F.transform(members, lambda m: F.struct(X.short_name(_first(m["name"], lambda n: n["_type"] == "parsed", lambda n: n["_VALUE"])).alias("key"), m["_bioGuideId"].alias("value")))
-    # the last of equal names: those that no later pair repeats
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.lit(1), F.size(pairs))), lambda q: q["key"] == p["key"]))
+    # a name given twice stands where it is first given, with the id that it is last given
+    named = X.let(pairs, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda p: p["key"])), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(all_, lambda p: p["key"] == k), -1)["value"].alias("value"))))
     return rows.select(
+        *carried,
         F.coalesce("r._ID", F.lit("")).alias("crec_id"),
         "date_issued",
         F.coalesce("r.titleInfo.title", F.lit("")).alias("title"),
@@ -45,7 +48,7 @@ def constituents(metadata: DataFrame, xml: str = "xml") -> DataFrame:
         extent("start").alias("page_start"),
         extent("end").alias("page_end"),
         F.coalesce(F.transform(F.filter("r.name", lambda n: n["_type"] == "personal"), lambda n: n["namePart"]), F.array().cast("array<string>")).alias("speakers"),
-        F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>")).alias("speaker_ids"),
+        F.coalesce(F.map_from_entries(named), F.create_map().cast("map<string,string>")).alias("speaker_ids"),
     )
 
 
@@ -55,9 +58,10 @@ def body_name(crec_id: Column | str) -> Column:
 
 
 def with_bodies(docs: DataFrame, bodies: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
-    """``docs`` with ``content``, null where no body has the name."""
-    one = bodies.groupBy(F.col(name).alias("_name")).agg(F.min(body).alias("content"))
-    return docs.drop("content").withColumn("_name", body_name("crec_id")).join(one, "_name", "left").drop("_name")
+    """``docs`` with ``content``, null where no body has the name; where both sides have the ``date`` they were staged under, of the same day."""
+    keys = ["date"] if "date" in docs.columns and "date" in bodies.columns else []
+    one = bodies.groupBy(*keys, F.col(name).alias("_name")).agg(F.min(body).alias("content"))
+    return docs.drop("content").withColumn("_name", body_name("crec_id")).join(one, [*keys, "_name"], "left").drop("_name")
 
 
 def is_digest(crec_id: Column | str, title_part: Column | str) -> Column:
@@ -77,23 +81,34 @@ def skippable(crec_id: Column | str = "crec_id", title_part: Column | str = "tit
 
 def split_quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that can be loaded, and those without a body or a heading, with the reason."""
-    cleaned = docs.withColumn("clean", X.clean("content"))
-    reason = F.when(F.col("content").isNull(), "no body").when(F.col("clean").isNull(), "no heading")
-    marked = cleaned.withColumn("reason", reason)
+    marked = with_reason(docs)
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").select("crec_id", "reason")
 
 
-def load(members: DataFrame, mode: str = "compat", fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The load job: (documents, quarantine) of staged members (date, name, content).
+def with_reason(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``clean``, the text from its heading on, and the ``reason`` why one cannot be loaded, or null."""
+    cleaned = docs.withColumn("clean", X.clean("content"))
+    return cleaned.withColumn("reason", F.when(F.col("content").isNull(), "no body").when(F.col("clean").isNull(), "no heading"))
+
 
-    Metadata gives the constituents, digests and front matter are left out, bodies are
-    matched by name and day, cleaned from their heading on, and cut into speakers' segments.
+def prepared(members: DataFrame, mode: str = "compat", fuzzy: bool = True) -> DataFrame:
+    """Every document of staged members (date, name, content) that is not left out, with the ``reason`` of those that cannot be loaded.
+
+    Metadata gives the constituents, digests and front matter are left out, bodies are matched
+    by name and day, cleaned from their heading on, and cut into speakers' segments. One pass: a sink
+    writes it once and splits it by the reason.
     """
     text = members.withColumn("content", F.col("content").cast("string"))
     docs = constituents(text.where(F.endswith("name", F.lit("mods.xml"))), "content")
-    bodies = text.where(F.endswith("name", F.lit(".htm"))).select("name", F.col("content").alias("body"))
-    loaded, bad = split_quarantine(with_bodies(docs.where(~skippable()), bodies))
-    return document_segments(loaded.drop("content").withColumnRenamed("clean", "content"), mode=mode, fuzzy=fuzzy), bad
+    bodies = text.where(F.endswith("name", F.lit(".htm"))).withColumnRenamed("content", "body")
+    marked = with_reason(with_bodies(docs.where(~skippable()), bodies))
+    return document_segments(marked.drop("content").withColumnRenamed("clean", "content"), mode=mode, fuzzy=fuzzy)
+
+
+def load(members: DataFrame, mode: str = "compat", fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The load job: (documents, quarantine) of staged members (date, name, content)."""
+    rows = prepared(members, mode, fuzzy)
+    return rows.where("reason IS NULL").drop("reason", "date"), rows.where("reason IS NOT NULL").select("crec_id", "reason")
 
 
 def merged(old: DataFrame, new: DataFrame, key: str = "crec_id") -> DataFrame:

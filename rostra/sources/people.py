@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.constants import BILL_TYPES, STATES
-from rostra.operators.people import upsert
+from rostra.operators.people import folded
 from rostra.schemas import PERSON, TERM
 
 DEFAULT_BIRTHDAY = "1776-07-04"
@@ -18,7 +18,7 @@ _RECORD = "id map<string,string>, name map<string,string>, bio map<string,string
 
 
 def load_yaml(spark: SparkSession, *paths: str) -> DataFrame:
-    """(seq, record) of all persons, in the order of the files given and within them."""
+    """(seq, record) of all persons; ``seq`` orders them by the paths as given, by the files of a path, and within a file."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import yaml
@@ -26,15 +26,15 @@ def load_yaml(spark: SparkSession, *paths: str) -> DataFrame:
         text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v) if isinstance(v, (list, dict)) else str(v)
         plain = lambda d: {k: text(v) for k, v in (d or {}).items()}
         for batch in batches:
-            for body in batch.column("content").to_pylist():
+            for at, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 people = yaml.load(body, Loader=yaml.BaseLoader) or []
                 rows = [json.dumps({"id": plain(p.get("id")), "name": plain(p.get("name")), "bio": plain(p.get("bio")), "terms": [plain(t) for t in p.get("terms") or []]}) for p in people]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["n", "json"])
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["path", "n", "json"])
 
     parts = []
     for k, path in enumerate(paths):
-        raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, "n long, json string")
-        parts.append(raw.select((F.lit(k * 10**9) + F.col("n")).alias("seq"), F.from_json("json", _RECORD).alias("record")))
+        raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, n long, json string")
+        parts.append(raw.select(F.struct(F.lit(k).alias("source"), "path", "n").alias("seq"), F.from_json("json", _RECORD).alias("record")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -46,7 +46,7 @@ def persons(records: DataFrame) -> DataFrame:
     both = records.select("seq", F.col("record.id")["bioguide"].alias("bioguide_id"), F.col("record.name").alias("n"), F.col("record.bio").alias("b")).where("bioguide_id IS NOT NULL")
     columns = [F.coalesce(F.col("b")[f.name], F.col("n")[f.name]).alias(f.name) for f in PERSON if f.name not in ("bioguide_id", "birthday")]
     rows = both.select("seq", "bioguide_id", *columns, F.try_to_date(F.col("b")["birthday"]).alias("birthday"))
-    merged = upsert(rows.limit(0), rows, ["bioguide_id"], "seq").drop("seq")
+    merged = folded(rows, ["bioguide_id"], "seq").drop("seq")
     return merged.withColumn("birthday", F.coalesce("birthday", F.to_date(F.lit(DEFAULT_BIRTHDAY)))).select(*PERSON.fieldNames())
 
 
@@ -61,9 +61,9 @@ def terms(records: DataFrame) -> DataFrame:
     rows = records.select("seq", F.col("record.id")["bioguide"].alias("bioguide_id"), F.posexplode("record.terms").alias("p", "t"))
     names = {"election_class": "class"}
     text = [t[names.get(f.name, f.name)].alias(f.name) for f in TERM if f.name not in ("bioguide_id", "start_date", "end_date", "district")]
-    flat = rows.select((F.col("seq") * 10_000 + F.col("p")).alias("seq"), "bioguide_id", F.to_date(t["start"]).alias("start_date"), F.to_date(t["end"]).alias("end_date"), t["district"].try_cast("int").alias("district"), *text)
+    flat = rows.select(F.struct("seq", "p").alias("seq"), "bioguide_id", F.to_date(t["start"]).alias("start_date"), F.to_date(t["end"]).alias("end_date"), t["district"].try_cast("int").alias("district"), *text)
     keys = ["bioguide_id", "state", "start_date", "end_date", "type"]
-    out = upsert(flat.limit(0), flat, keys, "seq").drop("seq")
+    out = folded(flat, keys, "seq").drop("seq")
     return out.withColumn("district", F.coalesce("district", F.lit(-1))).select(*TERM.fieldNames())
 
 
