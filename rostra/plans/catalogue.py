@@ -19,7 +19,7 @@ from rostra.operators import page as pages
 from rostra.plans import roles
 from rostra.sources import archive, daily, documents, shared
 from rostra.sources import people as people_source
-from rostra.streaming import ingest
+from rostra.streaming import ingest, latest
 
 START, END = dt.date(2017, 2, 1), dt.date(2017, 3, 3)
 TERM, PHRASE, SECOND = "the", "of the", "src1"
@@ -423,9 +423,12 @@ def member_filter(spark, d) -> DataFrame:
     return roles.read(spark, d, "pages").select("page_id", archive.relevant("url").alias("relevant"))
 
 
-@query("SELECT CAST(unnest(generate_series(DATE '2017-01-30', DATE '2017-02-02', INTERVAL 1 DAY)) AS DATE) AS date")
+@query("""WITH u AS (SELECT user_id, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events GROUP BY 1)
+SELECT user_id, CAST(unnest(generate_series(a, b - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM u WHERE a < b""")
 def scrape_days(spark, d) -> DataFrame:
-    return archive.days(spark, "2017-01-30", "2017-02-03")
+    """The days from each user's first event up to, not including, that of the last."""
+    u = roles.read(spark, d, "events").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
+    return u.select("user_id", F.explode(archive.day_span("a", "b")).alias("date"))
 
 
 _MEMBER = "CASE doc_id % 3 WHEN 0 THEN 'a/mods.xml' ELSE 'a/b/f' || doc_id || '.htm' END"
@@ -446,9 +449,15 @@ def _members(spark, d) -> DataFrame:
     return roles.read(spark, d, "documents").select(F.date_add(F.lit(dt.date(2017, 1, 1)), F.pmod("doc_id", F.lit(90)).cast("int")).alias("date"), F.expr(_MEMBER).alias("member"))
 
 
-@query("SELECT DATE '2017-01-22' AS date, true AS success, 'no data' AS message, 0 AS num_files")
+@query("""WITH h AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE event_id % 3 = 0), r AS (SELECT min(date) AS a, max(date) AS b FROM h),
+c AS (SELECT CAST(unnest(generate_series(a, b + 4, INTERVAL 1 DAY)) AS DATE) AS date FROM r)
+SELECT date, true AS success, 'no data' AS message, 0 AS num_files FROM c WHERE date NOT IN (SELECT date FROM h)""")
 def no_data_day(spark, d) -> DataFrame:
-    return archive.no_data(spark, "2017-01-22")
+    """The audit of the days, to four after the last, on which a third of the events has none: each is a success without files."""
+    have = roles.read(spark, d, "events").where("event_id % 3 = 0").select(F.to_date("ts").alias("date"))
+    span = have.agg(F.min("date").alias("a"), F.date_add(F.max("date"), 5).alias("b")).select(F.explode(archive.day_span("a", "b")).alias("date"))
+    missing = span.join(have, "date", "left_anti").select("date", F.lit(None).cast("string").alias("member"), F.lit(archive.NO_DATA).alias("error"))
+    return archive.audit(missing)
 
 
 _XML_ID = "'id-CREC-' || strftime(date_issued, '%Y-%m-%d') || '-pt1-Pg' || CASE crec_id % 7 WHEN 0 THEN 'D' ELSE 'S' END || crec_id"
@@ -569,19 +578,52 @@ def daily_events(spark, d) -> DataFrame:
     return ingest.daily_counts(roles.read(spark, d, "events"))
 
 
+@query("""WITH b AS (SELECT doc_id AS crec_id, (doc_id * 7 + v * 5) % 11 AS seq, v AS batch, lang || v AS title FROM documents, (VALUES (0), (1), (2)) t(v) WHERE (doc_id + v) % 4 <> 3),
+w AS (SELECT *, max(seq) OVER (PARTITION BY crec_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM b)
+SELECT crec_id, seq, title FROM w WHERE had IS NULL OR seq > had""")
+def stream_newest(spark, d) -> DataFrame:
+    """Documents as a stream of three versions each, not in order: the rows that were newer than all before them."""
+    source, sink = shared.fresh(spark, "stream"), shared.fresh(spark, "sink")
+    docs = roles.read(spark, d, "documents")
+    for v in range(3):
+        rows = docs.where((F.col("doc_id") + v) % 4 != 3).select(F.col("doc_id").alias("crec_id"), F.pmod(F.col("doc_id") * 7 + v * 5, F.lit(11)).alias("seq"), F.concat("lang", F.lit(v)).alias("title"))
+        rows.write.parquet(f"{source}/v={v}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{source}/v=*")
+        latest.run_available(latest.keep_last(stream, "crec_id", "seq"), sink, f"{sink}-checkpoint")
+    return spark.read.schema(rows.schema).parquet(sink).drop("batch")
+
+
+@query("""WITH b AS (SELECT doc_id AS crec_id, (doc_id * 7 + v * 5) % 11 AS seq, v, lang || v AS title FROM documents, (VALUES (0), (1), (2)) t(v) WHERE (doc_id + v) % 4 <> 3)
+SELECT crec_id, max(seq) AS seq, arg_max(title, (seq, -v)) AS title FROM b GROUP BY 1""")
+def stream_latest(spark, d) -> DataFrame:
+    """The last row of each document after that stream."""
+    rows = stream_newest(spark, d)
+    return rows.groupBy("crec_id").agg(F.max("seq").alias("seq"), F.max_by("title", "seq").alias("title"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_extract(spark, d) -> DataFrame:
     return roles.read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in STATES.items()) + ") s(short, name)")
+_CODES = list(STATES)
+_KINDS = [*BILL_TYPES, "other"]
+
+
+@query("WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(STATES.values())) + f") s(k, name)) SELECT c_custkey, name FROM customer JOIN s ON k = c_custkey % {len(STATES)}")
 def states(spark, d) -> DataFrame:
-    return people_source.states(spark)
+    """The name of the state of every customer, by a code made of the key."""
+    codes = F.array(*map(F.lit, _CODES))
+    c = roles.read(spark, d, "customer").select("c_custkey", F.get(codes, (F.col("c_custkey") % len(_CODES)).cast("int")).alias("short"))
+    return c.join(people_source.states(spark), "short").select("c_custkey", "name")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in BILL_TYPES.items()) + ") s(code, label)")
+@query("WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(BILL_TYPES.values())) + f") s(k, label)) SELECT o_orderkey, label FROM orders LEFT JOIN s ON k = o_orderkey % {len(BILL_TYPES) + 1}")
 def bill_types(spark, d) -> DataFrame:
-    return people_source.bill_types(spark)
+    """The label of a kind of bill for every order, by a code made of the key; an unknown kind has none."""
+    codes = F.array(*map(F.lit, _KINDS))
+    o = roles.read(spark, d, "orders").select("o_orderkey", F.get(codes, (F.col("o_orderkey") % len(_KINDS)).cast("int")).alias("code"))
+    return o.join(people_source.bill_types(spark), "code", "left").select("o_orderkey", "label")
 
 
 _SQL["load_job"] = _SQL["load_job"].replace("__CLEAN__", _cleanup_sql("body"))
@@ -689,11 +731,14 @@ def search_speaker_intent(spark, d) -> DataFrame:
     return search.phrase_filter(roles.docs(spark, d), {"speaker": "Customer#000000007"}, mode="intent").select("crec_id")
 
 
-@query("SELECT DATE '2017-01-05' AS a, DATE '2017-02-04' AS b, DATE '2016-03-01' AS c, DATE '2016-03-09' AS d")
+@query("""WITH m AS (SELECT CAST(max(ts) AS DATE) AS m FROM events), e AS (SELECT event_id, CAST(ts AS DATE) AS day, m FROM events, m)
+SELECT event_id, day BETWEEN m - 30 AND m AS recent, day BETWEEN m - 3 AND m AS last_days, day BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AS named FROM e""")
 def range_arguments(spark, d) -> DataFrame:
-    a, b = histogram.date_range(as_of=dt.date(2017, 2, 4))
-    c, e = histogram.date_range("2016-03-01", "2016-03-09", as_of=dt.date(2017, 2, 4))
-    return spark.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(e).alias("d"))
+    """Whether each event is of the usual range up to the last day of all, of a shorter one, and of one that is named."""
+    e = roles.read(spark, d, "events").select("event_id", F.to_date("ts").alias("day"))
+    last = e.agg(F.max("day")).first()[0] or dt.date(1970, 1, 1)
+    ranges = {"recent": histogram.date_range(as_of=last), "last_days": histogram.date_range(days_ago=3, as_of=last), "named": histogram.date_range("2024-01-05", "2024-01-09", as_of=last)}
+    return e.select("event_id", *[F.col("day").between(F.lit(a), F.lit(b)).alias(k) for k, (a, b) in ranges.items()])
 
 
 _OFFICE = """p AS (SELECT c_custkey AS bioguide_id, c_name AS official_full, regexp_extract(c_name, '[0-9]+') AS last, CASE c_custkey % 2 WHEN 0 THEN 'F' ELSE 'M' END AS gender, c_mktsegment AS religion FROM customer),

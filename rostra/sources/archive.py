@@ -29,11 +29,16 @@ def archive_name(day: Column | str) -> Column:
     return F.concat(F.lit("CREC-"), F.date_format(col(day), "yyyy-MM-dd"), F.lit(".zip"))
 
 
+def day_span(start: Column | str, end: Column | str) -> Column:
+    """The days from start up to, not including, end; null if there are none."""
+    a, b = col(start), col(end)
+    return F.when(a < b, F.sequence(a, F.date_sub(b, 1)))
+
+
 def days(spark: SparkSession, start: str, end: str | None = None) -> DataFrame:
     """The days from start up to, not including, end (today if none)."""
     last = F.to_date(F.lit(end)) if end else F.current_date()
-    first = F.to_date(F.lit(start))
-    return spark.range(1).select(F.explode(F.when(first < last, F.sequence(first, F.date_sub(last, 1)))).alias("date"))
+    return spark.range(1).select(F.explode(day_span(F.to_date(F.lit(start)), last)).alias("date"))
 
 
 def basename(path: Column | str) -> Column:

@@ -75,6 +75,19 @@ def bill_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(BILL_TYPES.items()), "code string, label string")
 
 
-def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A table of an external database; give partitionColumn, bounds and numPartitions for large ones."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, rows: int = 100_000, most: int = 256, **options: str) -> DataFrame:
+    """A table of an external database, read in parts of about ``rows`` rows by a numeric or date column.
+
+    The bounds are the column's least and greatest values, asked of the database; every row is read,
+    also those without a value. Filters and columns reach the database with every part; ``most`` bounds the
+    connections at a time. Without a column one task reads all.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if column is None:
+        return reader.option("dbtable", name).load()
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    low, high, n = spark.read.format("jdbc").options(url=url, query=f"SELECT min({quoted}) AS a, max({quoted}) AS b, count(*) AS n FROM {name}", **options).load().first()
+    if low is None:
+        return reader.option("dbtable", name).load()
+    parts = min(most, max(1, -(-n // rows)))
+    return reader.options(dbtable=name, partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()

@@ -104,3 +104,40 @@ def test_stream_counts_equal_table_counts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, ingest.daily_counts(e).collect()))
+
+
+def test_yaml_files_go_by_name_and_place(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "y").mkdir()
+    for name, party in (("b", "last"), ("a", "first")):
+        (tmp_path / f"y/{name}.yaml").write_text(f"- id: {{bioguide: A1}}\n  name: {{first: {party}1}}\n- id: {{bioguide: A1}}\n  name: {{first: {party}2}}\n")
+    assert people.persons(people.load_yaml(spark, str(tmp_path / "y"))).first()["first"] == "last2"
+
+
+@pytest.fixture
+def derby(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    try:
+        jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no Derby")
+    return f"jdbc:derby:{tmp_path}/db;create=true"
+
+
+def test_a_table_of_a_database_is_read_in_parts(spark, derby):
+    from rostra.operators import people as P
+
+    rows = [(i, f"B{i % 50}", dt.date(1990 + i % 20, 1, 1), dt.date(1996 + i % 20, 1, 1)) for i in range(1, 501)]
+    terms = spark.createDataFrame([*rows, (None, "B1", dt.date(1997, 1, 1), dt.date(1999, 1, 1))], "term_id long, bioguide_id string, start_date date, end_date date")
+    persons = spark.createDataFrame([(f"B{i}", f"N{i}") for i in range(50)], "bioguide_id string, official_full string")
+    for name, df in (("terms", terms), ("persons", persons)):
+        df.coalesce(1).write.format("jdbc").options(url=derby, dbtable=name, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    read = lambda name, column: people.jdbc(spark, derby, name, column, rows=100, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    t = read("terms", "term_id")
+    assert t.rdd.getNumPartitions() == 6 and t.count() == 501
+    plan = t.where("term_id > 400").select("bioguide_id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(TERM_ID,400)" in plan.upper().replace("GREATERTHAN", "GreaterThan") and "START_DATE" not in plan.upper().split("READSCHEMA")[1]
+    as_of = dt.date(1998, 6, 1)
+    one, two = (sorted(map(tuple, P.current(a, b, as_of).select("bioguide_id", "official_full").collect())) for a, b in ((persons, terms), (read("persons", None), t)))
+    assert one == two and len(one) > 50
+    assert read("(SELECT * FROM terms WHERE \"term_id\" < 0) x", "term_id").count() == 0
