@@ -4,7 +4,7 @@ A page becomes a tree of block elements with runs of inline text as leaves. Ever
 main text or not; node potentials come from tags, class and id words, text length and
 link density, parent-child potentials from the kind of child. Sum-product messages go
 upward and downward, and give the exact marginal of each node; runs whose marginal is at
-least one half are the main text. The weights maximise the likelihood of labelled pages,
+least half that of the likeliest run are the main text, if the page is likely enough to have any. The weights maximise the likelihood of labelled pages,
 whose gradient uses the same messages. Pages are labelled by :func:`labelled_pages`,
 which composes pages in the usual layouts and knows which parts are the article;
 ``PAGES`` of them, a fixed number, are fitted on the driver once.
@@ -15,7 +15,7 @@ trimmed and joined in page order by one space.
 
 Defined results: null, empty and textless html give an empty text; cut-off tags, missing
 end tags and bare text are read as browsers do; a ``data-main`` attribute of an input page
-means nothing; very long and very deep pages are read whole, in time that follows their
+means nothing; what ``hidden`` or a style of no display hides is no text; very long and very deep pages are read whole, in time that follows their
 length; repeated rows give the same; other columns are ignored.
 """
 
@@ -32,10 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PAGES = 800
+PAGES = 1200
+#: Pages that have main text with less than this probability have none.
+LEAST_LIKELY = 0.05
+#: Elements that are nested deeper count as children of the last one above.
+DEEPEST = 200
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Elements that a page does not show.
+_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])(?!\s*=\s*["']?(?:false|until-found))|(?<![\w-])style\s*=\s*["'][^"']*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+#: The label of text outside all elements, in pages that this module composes.
+_ALL_MAIN = "<!--data-main-->"
 _WORD = re.compile(r"[a-z]+")
 _SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Fixed values of HTML: elements without content, of raw text, never shown as text, of inline text.
@@ -47,6 +55,14 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+_VALUE = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*')""")
+
+
+def _kept(m: re.Match) -> str:
+    """An attribute without its value, but for styles."""
+    return m[0] if m[1].lower() == "style" else m[1] + '="' + ("false" if m[1].lower() == "hidden" and m[2][1:-1].lower() in ("false", "until-found") else "") + '"'
+
+
 class Tree:
     """Nodes in page order: parent, depth, kind (1 for runs of text), feature names, text, label."""
 
@@ -59,6 +75,8 @@ class Tree:
         self.label: list[int] = []
 
     def add(self, parent: int, run: int, features: list[str], text: str, label: int) -> int:
+        if parent >= 0 and self.depth[parent] >= DEEPEST:
+            parent = self.parent[parent]
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.run.append(run)
@@ -75,9 +93,11 @@ def _bucket(n: int) -> str:
 def parse(page: str | None, labelled: bool = False) -> Tree:
     """The tree of a page; only pages that this module composes are ``labelled``."""
     tree = Tree()
-    at = tree.add(-1, 0, ["tag=#root"], "", 0)
-    # open elements: name, block node, label, features of an inline element's block
-    stack: list[tuple[str, int, int]] = [("#root", at, 0)]
+    page = page or ""
+    outside = int(labelled and page.startswith(_ALL_MAIN))
+    at = tree.add(-1, 0, ["tag=#root"], "", outside)
+    # open elements: name, block node, label, whether they hide what is in them
+    stack: list[tuple[str, int, int, bool]] = [("#root", at, outside, False)]
     # how many elements of each name are open, so that a tag costs no walk through the stack
     opened: Counter[str] = Counter()
     pieces: list[str] = []
@@ -89,7 +109,7 @@ def parse(page: str | None, labelled: bool = False) -> Tree:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            _, node, label = stack[-1]
+            _, node, label, _ = stack[-1]
             words = text.count(" ") + 1
             share = linked / max(1, sum(map(len, pieces)))
             last = text[-1]
@@ -107,15 +127,14 @@ def parse(page: str | None, labelled: bool = False) -> Tree:
 
     def pop() -> None:
         nonlocal hidden, links
-        top = stack[-1][0]
+        top, _, _, hides = stack[-1]
         if top not in INLINE:
             flush()
         stack.pop()
         opened[top] -= 1
-        hidden -= top in UNSEEN
+        hidden -= hides
         links -= top == "a"
 
-    page = page or ""
     pos = 0
     n = len(page)
     while pos < n:
@@ -160,17 +179,20 @@ def parse(page: str | None, labelled: bool = False) -> Tree:
         label = stack[-1][2]
         if labelled and "data-main" in attrs:
             label = int(attrs["data-main"])
+        # only attributes outside other attributes' values hide
+        rest = m[3] or m[6] or ""
+        hides = name in UNSEEN or ("hidden" in rest.lower() or "none" in rest.lower()) and bool(_HIDDEN.search(_VALUE.sub(_kept, rest)))
         if name in INLINE:
-            stack.append((name, stack[-1][1], stack[-1][2]))
+            stack.append((name, stack[-1][1], stack[-1][2], hides))
         else:
             flush()
             words = {w for k in ("class", "id", "role") for w in _WORD.findall(_SPLIT_CASE.sub(" ", attrs.get(k, "")).lower())}
             node = stack[-1][1]
-            if not hidden and name not in UNSEEN:
+            if not hidden and not hides:
                 node = tree.add(node, 0, [f"tag={name}", *(f"word={w}" for w in sorted(words))], "", label)
-            stack.append((name, node, label))
+            stack.append((name, node, label, hides))
         opened[name] += 1
-        hidden += name in UNSEEN
+        hidden += hides
         links += name == "a"
         if name in RAW:
             k = re.compile(rf"</{name}", re.I).search(page, pos)
@@ -193,6 +215,15 @@ class Forest:
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
 
+    def log_sums(self, unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """The log partition sum of each tree, by the upward messages."""
+        inside = unary.copy()
+        for level in self.levels[:0:-1]:
+            joint = inside[level][:, None, :] + pair[self.run[level]]
+            np.add.at(inside, self.parent[level], np.logaddexp(joint[:, :, 0], joint[:, :, 1]))
+        root = inside[self.levels[0]]
+        return np.logaddexp(root[:, 0], root[:, 1])
+
     def messages(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Node marginals of label 1, pair marginals by kind of child, and the log partition sum.
 
@@ -231,13 +262,29 @@ class Model:
         out[:, 1] = np.bincount(rows, weights=self.weights[columns], minlength=n)
         return out
 
+    def given_some(self, forest: Forest, unary: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Marginals of runs in proportion to the likeliest of their page.
+
+        That no run of a page is main has a probability of its own, from the same messages with all
+        runs held at 0. Where main text is likely enough, though no run alone is, the likeliest are it;
+        a page with a certain run is as it was.
+        """
+        held = unary.copy()
+        held[forest.run == 1, 1] = -60.0
+        some = -np.expm1(np.minimum(forest.log_sums(held, self.pair) - forest.log_sums(unary, self.pair), 0.0))
+        best = np.maximum.reduceat(np.where(forest.run == 1, p, 0.0), forest.first[:-1])
+        scale = np.where((best > 0) & (some >= LEAST_LIKELY), best, 1.0)
+        return p / np.repeat(scale, np.diff(forest.first))
+
     def texts(self, pages: list[str | None]) -> list[str]:
         """The main text of each page."""
         trees = [parse(p) for p in pages]
         if not trees:
             return []
         forest = Forest(trees)
-        p, _, _ = forest.messages(self.unary(trees), self.pair)
+        unary = self.unary(trees)
+        p, _, _ = forest.messages(unary, self.pair)
+        p = self.given_some(forest, unary, p)
         return [" ".join(x for x, r, q in zip(t.text, t.run, p[f : f + len(t.run)], strict=True) if r and q >= 0.5) for t, f in zip(trees, forest.first, strict=False)]
 
 
@@ -297,11 +344,20 @@ _PARTS = {
     "comment": ("section", "comments comment reply replies responses disqus discussion respond thread commentlist reader"),
     "share": ("div", "share social sharing follow buttons toolbar print"),
 }
+_LAYOUT = "row col column cell grid flex box block inner outer left right center wide full half panel section unit wrap region area"
 _MAIN = "content post article entry story main body text prose page single hentry container wrapper"
 
 
-def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
-    """Pages in varied layouts; ``data-main`` tells which elements are main text."""
+#: Layouts of composed pages besides containers with telling names.
+BARE = ("short", "loose", "unnamed")
+
+
+def labelled_pages(n: int = PAGES, seed: int = 11, layouts: tuple[str, ...] = BARE, only: bool = False) -> list[str]:
+    """Pages in varied layouts; ``data-main`` tells which elements are main text.
+
+    Besides articles in containers with telling names there are, by ``layouts``, short pages and text without tags,
+    articles whose blocks have no container, and containers that say nothing; with ``only`` no others.
+    """
     rng = random.Random(seed)
     pool = ["".join(rng.choices("aeioutnrslhd", k=rng.randrange(2, 9))) for _ in range(3000)]
 
@@ -358,6 +414,10 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
             inner = sentences(1, 3) if maybe(0.5) else f"<p>{sentences(1, 3)}</p>"
         return f'<{name}{attrs} data-main="0">{inner}</{name}>'
 
+    def bare() -> str:
+        """No name, or one of layout alone."""
+        return "" if maybe(0.5) else f' class="{rng.choice(_LAYOUT.split())}{rng.choice(["", "", "-8", "-md-6", " " + word()])}"'
+
     def heading(level: int) -> str:
         return f"<h{level}>{words(2, 9)}</h{level}>"
 
@@ -381,17 +441,43 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
                 body.append("<table><tr><td>" + words(1, 5) + "<td>" + words(1, 5) + "</table>")
             elif kind < 0.94:
                 body.append(f"<pre><code>{words(3, 12)}</code></pre>")
+            elif layouts and kind < 0.96:
+                body.append(f'<button data-main="0">{words(1, 4)}</button>')
             else:
                 body.append(part(rng.choice(["advert", "share", "side", "notice", "form"])))
         if maybe(0.1):
             body.append(part("comment"))
+        layout = rng.random() * (0.35 if only else 1) if layouts else 1.0
+        if layout < 0.15 and "loose" in layouts or only and layouts == ("loose",):  # blocks without a container of their own
+            return "".join(b if re.match(r"<\w+[^>]*data-main", b) else re.sub(r"^<(\w+)", r'<\1 data-main="1"', b) for b in body)
+        if layout < 0.35 and "unnamed" in layouts:  # containers that say nothing
+            inner = "".join(body) if maybe(0.85) else f" {'<br>' if maybe(0.5) else ' '} ".join(sentences(1, 6) for _ in range(rng.randrange(1, 6)))
+            for _ in range(rng.randrange(0, 3)):
+                inner = f"<div{bare()}>{inner}</div>"
+            tag = rng.choice(["div", "div", "div", "section", "center"])
+            return f'<{tag}{bare()} data-main="1">{inner}</{tag}>'
         tag = rng.choice(["article", "article", "article", "main", "div", "section"])
         inner = "".join(body)
         if maybe(0.25):
             inner = f"<div{named(_MAIN)}>{inner}</div>"
         return f'<{tag}{named(_MAIN, 0.35 if tag in ("article", "main") else 1.0)} data-main="1">{inner}</{tag}>'
 
+    def short() -> str:
+        """Text without tags, single paragraphs, and bodies that hold nothing but text."""
+        kind = rng.random()
+        if kind < 0.35:
+            return _ALL_MAIN + "\n".join(sentences(1, 8) for _ in range(rng.randrange(1, 6)))
+        if kind < 0.65:
+            inner = "".join(prose() for _ in range(rng.randrange(1, 4))) if maybe(0.6) else sentences(1, 9)
+            return f'{"<html>" * maybe(0.7)}<body data-main="1">{heading(1) * maybe(0.4)}{inner}'
+        if kind < 0.9:
+            return "".join(re.sub(r"^<(\w+)", r'<\1 data-main="1"', heading(1) * (k == 0 and maybe(0.3)) or prose()) for k in range(rng.randrange(1, 6)))
+        cell = "td" if maybe(0.6) else "th"
+        return f'<body><table><tr><{cell}{named(_PARTS["menu"][1], 0.7)} data-main="0">{link_list()}</{cell}><td data-main="1">{"".join(prose() for _ in range(rng.randrange(1, 6)))}</td></tr></table>'
+
     def page() -> str:
+        if "short" in layouts and (layouts == ("short",) and only or maybe(0.15)):
+            return short()
         before = [part(k) for k in ("notice", "head", "menu", "advert", "form", "share") if maybe(0.45)]
         after = [part(k) for k in ("share", "comment", "side", "advert", "form", "foot", "notice") if maybe(0.45)]
         rng.shuffle(before)
@@ -408,7 +494,8 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
 
 @functools.cache
 def default_model() -> Model:
-    return fit(labelled_pages())
+    half = PAGES // 2
+    return fit(labelled_pages(half) + labelled_pages(half, 12, ()))
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:

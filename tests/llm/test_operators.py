@@ -443,12 +443,57 @@ def truth(page):
     return " ".join(x for x, r, y in zip(t.text, t.run, t.label, strict=True) if r and y)
 
 
-def test_html_on_held_out_pages():
-    pages = html_model.labelled_pages(150, seed=77)
+def measured(pages):
+    """Precision and recall by words."""
     got = html_model.default_model().texts(pages)
     node = [(a.split(), truth(p).split()) for a, p in zip(got, pages, strict=True)]
     common = sum(sum((Counter(a) & Counter(b)).values()) for a, b in node)
-    assert common / sum(len(a) for a, _ in node) > 0.95 and common / sum(len(b) for _, b in node) > 0.95
+    return common / sum(len(a) for a, _ in node), common / sum(len(b) for _, b in node)
+
+
+def test_html_on_held_out_pages():
+    """Articles in containers with telling names."""
+    precision, recall = measured(html_model.labelled_pages(150, seed=77, layouts=()))
+    assert precision > 0.95 and recall > 0.95
+
+
+@pytest.mark.parametrize("layout, least", [("short", 0.95), ("unnamed", 0.95), ("loose", 0.5)])
+def test_html_on_held_out_pages_without_telling_names(layout, least):
+    """Blocks that lie loose among menus and notices are the hard case: two fifths of their words are lost."""
+    precision, recall = measured(html_model.labelled_pages(150, seed=78, layouts=(layout,), only=True))
+    assert precision > 0.85 and recall > least
+
+
+PLAIN = "Some plain sentence about the town and its river. " * 2
+P = f"<p>{PLAIN}</p>"
+
+
+@pytest.mark.parametrize(
+    "page, times",
+    [
+        *[(f"<div>{P * n}</div>", n) for n in (1, 2, 3, 5, 8, 10, 30)],
+        (f"<div class=row><div class=col-8>{P * 6}</div></div>", 6), (f"<body>{P}", 1), (PLAIN * 3, 3), (PLAIN * 20, 20),
+        (f"<article>{P * 3}<button>Send</button></article>", 3), (f"<table><tr><td class=nav><a href=a>Home page</a> <a href=b>News</a></td><td>{P * 4}</td></tr></table>", 4),
+        (f"<div>{P}<div hidden>{P}</div><p style='color:red; display: none'>{PLAIN}</p><p STYLE=\"visibility:hidden\">x</p></div>", 1),
+        (f'<div title="hidden" data-x="display:none" hidden="until-found">{P * 2}</div>', 2), (f"<div><b>{P}</b></div>{P}", 2),
+    ],
+)
+def test_html_of_ordinary_pages_is_not_empty(page, times):
+    assert html_model.default_model().texts([page]) == [" ".join([PLAIN.strip()] * times)]
+
+
+def test_html_of_boilerplate_alone_is_empty():
+    nav, foot = "<nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>", "<footer>&copy; 2024 Example <a href=x>Terms</a></footer>"
+    assert html_model.default_model().texts([nav, foot, nav + foot, "<form><label>Name</label><button>Send</button></form>"]) == [""] * 4
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 200_000, "</" + "a" * 200_000, "<a " * 60_000, '<a "' * 60_000, "<p hidden" * 30_000, "<x style='" * 30_000, "<" * 200_000, "<!--" * 50_000])
+def test_html_takes_time_in_proportion_to_the_page(page):
+    import time
+
+    model, began = html_model.default_model(), time.time()
+    model.texts([page])
+    assert time.time() - began < 1
 
 
 def test_html_messages_are_exact_marginals():
