@@ -11,16 +11,20 @@ from rostra.operators.fuzzy import fuzzy_match, fuzzy_options, open_pairs, weigh
 
 __all__ = ["candidates", "document_segments", "first_contained", "fuzzy_match", "islands", "segments", "sentence_array", "sentences", "weighted_ratio"]
 
-def sentence_array(content: Column) -> Column:
-    """The sentences of a text; titles and initials end none."""
-    marked = F.regexp_replace(content, r"(?<![\p{L}\p{N}_])(Mr|Mrs|Ms|Dr|Jr|Sr|St|No|[A-Z])\.\s", "$1\u0001 ")
+#: What ends no sentence where nothing has been learned from the collection.
+TITLES = r"(?<![\p{L}\p{N}_])(Mr|Mrs|Ms|Dr|Jr|Sr|St|No|[A-Z])\.\s"
+
+
+def sentence_array(content: Column, no_end: str = TITLES) -> Column:
+    """The sentences of a text; titles and initials, or the pattern of a collection's own abbreviations, end none."""
+    marked = F.regexp_replace(content, no_end, "$1\u0001 ")
     cut = F.transform(F.split(marked, r"(?<=[.!?])\s+"), lambda s: F.replace(s, F.lit("\u0001"), F.lit(".")))
     return F.filter(cut, lambda s: s != "")
 
 
-def sentences(docs: DataFrame, key: str = "crec_id", content: str = "content") -> DataFrame:
+def sentences(docs: DataFrame, key: str = "crec_id", content: str = "content", no_end: str = TITLES) -> DataFrame:
     """(key, pos, sentence) of every document."""
-    return docs.select(key, F.posexplode(sentence_array(F.col(content))).alias("pos", "sentence"))
+    return docs.select(key, F.posexplode(sentence_array(F.col(content), no_end)).alias("pos", "sentence"))
 
 
 def first_contained(sentence: Column, candidates: Column) -> Column:
@@ -65,14 +69,14 @@ def islands(sentences_: Column, hits: Column) -> Column:
     return F.when(F.size(hits) > 0, X.let(starts, run))
 
 
-def document_segments(docs: DataFrame, key: str = "crec_id", content: str = "content", speaker_ids: str = "speaker_ids", mode: str = "compat", fuzzy: bool = True, least: int = FUZZY_SCORE) -> DataFrame:
+def document_segments(docs: DataFrame, key: str = "crec_id", content: str = "content", speaker_ids: str = "speaker_ids", mode: str = "compat", fuzzy: bool = True, least: int = FUZZY_SCORE, no_end: str = TITLES) -> DataFrame:
     """``docs`` with ``segments``: id, speaker, text and person id of each island, in order; null for a null or empty text.
 
     Every document is cut in its own row, so nothing is shuffled. With ``fuzzy`` a sentence without a speaker
     is compared with those that it could be like; only these pairs reach Python.
     """
     names = candidates(F.map_keys(speaker_ids), mode)
-    cut = F.coalesce(sentence_array(F.col(content)), F.array().cast("array<string>"))
+    cut = F.coalesce(sentence_array(F.col(content), no_end), F.array().cast("array<string>"))
     if fuzzy:
         unlike = X.let(fuzzy_options(names), lambda o: X.let(cut, lambda s: F.filter(F.transform(s, lambda x, i: F.when(first_contained(x, names).isNull(), open_pairs(x, i, o, least))), lambda p: F.size(p["names"]) > 0)))
         docs = with_best(docs, unlike, "_near", least)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rostra.constants import BILL_TYPES, STATES
 from rostra.functions import text as X
-from rostra.operators import entities, fuzzy, histogram, index, people, search, segments
+from rostra.operators import abbreviations, entities, fuzzy, histogram, index, people, search, segments
 from rostra.operators import page as pages
 from rostra.plans import roles
 from rostra.sources import archive, daily, documents, shared
@@ -657,6 +657,26 @@ def load_persons(spark, d) -> DataFrame:
     return people_source.persons(_records(spark, d)).select("bioguide_id", "official_full", "religion", "birthday")
 
 
+def _yaml(spark, d) -> list[str]:
+    """Two YAML files' folders made of customers: odd keys first, then even ones, whose values come later."""
+    c = roles.read(spark, d, "customer").where("c_custkey IS NOT NULL")
+    born = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("\n    birthday: '19"), 50 + F.col("c_custkey") % 40, F.lit("-02-03'"))).otherwise("")
+    named = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("\n  name:\n    official_full: '"), "c_name", F.lit("'"))).otherwise("")
+    person = F.concat(F.lit("- id:\n    bioguide: B"), F.expr("c_custkey div 2"), F.lit("\n    govtrack: "), "c_custkey", named, F.lit("\n  bio:\n    religion: "), "c_mktsegment", born)
+    paths = []
+    for k in (1, 0):
+        paths.append(shared.fresh(spark, "yaml"))
+        c.where(F.col("c_custkey") % 2 == k).repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").select(person.alias("value")).write.text(paths[-1])
+    return paths
+
+
+@query(f"""WITH {_REC}, o AS (SELECT *, seq + CASE WHEN seq % 2 = 0 THEN 1000000000 ELSE 0 END AS k FROM r) SELECT id AS bioguide_id, arg_max(official_full, k) FILTER (official_full IS NOT NULL) AS official_full,
+arg_max(religion, k) AS religion, coalesce(CAST(arg_max(birthday, k) FILTER (birthday IS NOT NULL) AS DATE), DATE '1776-07-04') AS birthday FROM o GROUP BY 1""")
+def yaml_persons(spark, d) -> DataFrame:
+    """People read from YAML files that were written from customers: the last file that has a value counts."""
+    return people_source.persons(people_source.load_yaml(spark, *_yaml(spark, d))).select("bioguide_id", "official_full", "religion", "birthday")
+
+
 @query(f"WITH {_REC} SELECT DISTINCT id AS bioguide_id, unnest(['bioguide', 'govtrack']) AS type, unnest([id, CAST(seq AS VARCHAR)]) AS value FROM r")
 def load_external_ids(spark, d) -> DataFrame:
     return people_source.external_ids(_records(spark, d))
@@ -833,6 +853,19 @@ def document_segments(spark, d) -> DataFrame:
     return one.select("s.id", "s.speaker", "s.bioguide_id", F.md5("s.text").alias("text"))
 
 
+_ABBREVIATED = r"""WITH t AS (SELECT regexp_replace(regexp_replace(unnest(regexp_split_to_array(lower(__TEXT__), '\s+')), '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}.]+$', '') AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT regexp_replace(t, '\.$', '') AS word, count(*) FILTER (t LIKE '%.') AS a, count(*) FILTER (t NOT LIKE '%.') AS b FROM t WHERE regexp_matches(t, '\p{L}') GROUP BY 1),
+s AS (SELECT word, a, b, sum(a) OVER () / sum(a + b) OVER () AS p, length(word) - length(replace(word, '.', '')) AS i FROM c)
+SELECT word, a AS with_period, b AS without, round(-2 * (a * ln(p) + CASE WHEN b > 0 THEN b * ln(1 - p) ELSE 0 END - a * ln(0.99) - b * ln(1 - 0.99)) * exp(-(length(word) - i)) * (i + 1) * pow(length(word) - i, -b), 6) + 0.0 AS score FROM s WHERE a > 0"""
+
+
+@query(_ABBREVIATED.replace("__TEXT__", "replace(text, ' ', CASE doc_id % 3 WHEN 0 THEN ' mr. ' ELSE ' ' END)"))
+def abbreviations_found(spark, d) -> DataFrame:
+    """How likely every word of the collection is an abbreviation, by its periods; a title stands between the words of every third text."""
+    docs = roles.docs(spark, d).where("content IS NOT NULL").withColumn("content", F.replace("content", F.lit(" "), F.when(F.col("crec_id") % 3 == 0, " mr. ").otherwise(" ")))
+    return abbreviations.scores(docs).withColumn("score", F.round("score", 6) + 0.0)
+
+
 _NAMES = ["tion", "the", "que", "eneux", "sch"]
 
 
@@ -885,6 +918,17 @@ def entity_counts_by_type(spark, d) -> DataFrame:
     return entities.entity_counts(_mentions(spark, d)).select("crec_id", "type", "entity", "n")
 
 
+@query("""WITH m AS (SELECT c_nationkey AS crec_id, c_custkey AS pos, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment) ELSE upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) END AS entity FROM customer),
+c AS (SELECT crec_id, entity, count(*) AS n, min(pos) AS pos FROM m GROUP BY 1, 2), k AS (SELECT *, CASE WHEN entity = upper(entity) THEN entity ELSE upper(entity[1:1]) || lower(entity[2:]) END AS name FROM c)
+SELECT crec_id, 'PERSON' AS type, name AS entity, arg_max(n, pos) AS n FROM k GROUP BY crec_id, name""")
+def person_recasing(spark, d) -> DataFrame:
+    """People's names in three cases: those that are one when their case is set count as the one last seen."""
+    s = F.col("c_mktsegment")
+    entity = F.when(F.col("c_custkey") % 3 == 0, s).when(F.col("c_custkey") % 3 == 1, F.lower(s)).otherwise(F.initcap(s))
+    rows = roles.read(spark, d, "customer").select(F.col("c_nationkey").alias("crec_id"), F.col("c_custkey").alias("pos"), entity.alias("entity"), F.lit("PERSON").alias("label"))
+    return entities.entity_counts(rows).select("crec_id", "type", "entity", "n")
+
+
 @query(_ENT + "SELECT crec_id, type, CAST(count(*) AS BIGINT) AS names, CAST(sum(n) AS BIGINT) AS n FROM y GROUP BY 1, 2")
 def entity_maps(spark, d) -> DataFrame:
     maps = entities.entity_maps(_mentions(spark, d)).select("crec_id", F.explode("named_entity_counts").alias("type", "m"))
