@@ -583,13 +583,13 @@ w AS (SELECT *, max(seq) OVER (PARTITION BY crec_id ORDER BY batch ROWS BETWEEN
 SELECT crec_id, seq, title FROM w WHERE had IS NULL OR seq > had""")
 def stream_newest(spark, d) -> DataFrame:
     """Documents as a stream of three versions each, not in order: the rows that were newer than all before them."""
-    source, sink = shared.fresh(spark, "stream"), shared.fresh(spark, "sink")
+    source, sink, checkpoint = (shared.fresh(spark, x) for x in ("stream", "sink", "state"))
     docs = roles.read(spark, d, "documents")
     for v in range(3):
         rows = docs.where((F.col("doc_id") + v) % 4 != 3).select(F.col("doc_id").alias("crec_id"), F.pmod(F.col("doc_id") * 7 + v * 5, F.lit(11)).alias("seq"), F.concat("lang", F.lit(v)).alias("title"))
         rows.write.parquet(f"{source}/v={v}")
         stream = spark.readStream.schema(rows.schema).parquet(f"{source}/v=*")
-        latest.run_available(latest.keep_last(stream, "crec_id", "seq"), sink, f"{sink}-checkpoint")
+        latest.run_available(latest.keep_last(stream, "crec_id", "seq"), sink, checkpoint)
     return spark.read.schema(rows.schema).parquet(sink).drop("batch")
 
 
