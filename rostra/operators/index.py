@@ -56,10 +56,19 @@ def _put(rows: DataFrame, path: str, run: int, buckets: int) -> None:
 
 
 def postings(docs: DataFrame, key: str, content: str, day: str) -> DataFrame:
-    """(term, day, key, tf, positions, length) of every word of every document; positions start at 0."""
+    """(term, day, key, tf, positions, length) of every word of every document; positions start at 0.
+
+    A document is inverted in its own row, without a shuffle: its words sort with their places, and
+    each stretch of equal words is a posting. Time follows the words but for the sort.
+    """
     found = docs.select(F.col(key).alias("key"), F.col(day).alias("day"), X.analyze(content).alias("_words"))
-    words = found.select("key", "day", F.size("_words").alias("length"), F.posexplode("_words").alias("pos", "term"))
-    return words.groupBy("term", "day", "key", "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "day", "key", "tf", "positions", "length")
+    at = found.select("key", "day", F.size("_words").alias("length"), F.sort_array(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("_at"))
+    new = lambda i: (i == 0) | (F.get("_at", i)["w"] != F.get("_at", i - 1)["w"])
+    heads = at.withColumn("_heads", F.when(F.col("length") > 0, F.filter(F.sequence(F.lit(0), F.col("length") - 1), new)))
+    ends = lambda j: F.coalesce(F.get("_heads", j + 1), F.col("length"))
+    stretch = lambda h, j: F.struct(F.get("_at", h)["w"].alias("term"), F.slice("_at", h + 1, ends(j) - h)["i"].alias("positions"))
+    words = heads.select("key", "day", "length", F.inline(F.transform("_heads", stretch)))
+    return words.select("term", "day", "key", F.size("positions").cast("long").alias("tf"), "positions", "length")
 
 
 def _counts(held: DataFrame, docs: DataFrame, content: str, day: str) -> DataFrame:
