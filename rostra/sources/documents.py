@@ -30,7 +30,9 @@ def constituents(metadata: DataFrame, xml: str = "xml") -> DataFrame:
     """
     carried = [c for c in ("date",) if c in metadata.columns]
     parsed = metadata.select(*carried, F.from_xml(xml, _MODS, {"attributePrefix": "_", "valueTag": "_VALUE"}).alias("m"))
-    rows = parsed.select(*carried, F.to_date("m.originInfo.dateIssued").alias("date_issued"), F.explode("m.relatedItem").alias("r")).where("r._type = 'constituent'")
+    # the day and the items part before the items become rows, so that none of these carries the whole file
+    parted = parsed.select(*carried, F.to_date("m.originInfo.dateIssued").alias("date_issued"), F.filter("m.relatedItem", lambda r: r["_type"] == "constituent").alias("items"))
+    rows = parted.select(*carried, "date_issued", F.explode("items").alias("r"))
     url = lambda label: _first(F.col("r.location.url"), lambda u: u["_displayLabel"] == label, lambda u: u["_VALUE"])
     extent = lambda end: _first(F.col("r.part"), lambda p: p["_type"] == "article", lambda p: p["extent"][end])
     members = F.filter(F.flatten(F.transform("r.extension", lambda e: F.coalesce(e["congMember"], F.array().cast("array<struct<_role:string,_bioGuideId:string,name:array<struct<_VALUE:string,_type:string>>>>")))), lambda m: m["_role"] == "SPEAKING")

@@ -1,6 +1,7 @@
 """Archives as a data source, and the daily job under failures."""
 
 import datetime as dt
+import re
 import zipfile
 
 import pytest
@@ -71,6 +72,14 @@ def test_archives_written_are_archives_read(spark, tmp_path):
     assert not [f for f in (tmp_path / "out").iterdir() if f.suffix == ".part"]
 
 
+def test_a_constituent_does_not_carry_its_file(spark):
+    files = spark.createDataFrame([(DAY(2017, 1, 2), mods("2017-01-01", *((f"PgS{i}", WHO) for i in range(3)))), (DAY(2017, 1, 3), "<mods/>")], "date date, xml string")
+    rows = documents.constituents(files)
+    assert sorted((r["crec_id"], r["date"], r["date_issued"]) for r in rows.collect()) == [(f"id-PgS{i}", DAY(2017, 1, 2), DAY(2017, 1, 1)) for i in range(3)]
+    carried = re.findall(r"Generate explode\(.*?\), \[(.*?)\]", rows._jdf.queryExecution().executedPlan().toString())
+    assert [re.sub(r"#\d+", "", c) for c in carried] == ["date, date_issued"]
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return str(tmp_path / "store")
