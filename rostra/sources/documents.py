@@ -89,8 +89,9 @@ def split_quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_reason(docs: DataFrame) -> DataFrame:
     """``docs`` with ``clean``, the text from its heading on, and the ``reason`` why one cannot be loaded, or null."""
-    cleaned = docs.withColumn("clean", X.clean("content"))
-    return cleaned.withColumn("reason", F.when(F.col("content").isNull(), "no body").when(F.col("clean").isNull(), "no heading"))
+    # no step of the clean-up makes a text null but that to the heading: the reason needs no other
+    reason = F.when(F.col("content").isNull(), "no body").when(X.from_heading("content").isNull(), "no heading")
+    return docs.withColumns({"clean": X.clean("content"), "reason": reason})
 
 
 def prepared(members: DataFrame, mode: str = "compat", fuzzy: bool = True) -> DataFrame:

@@ -80,6 +80,13 @@ def test_a_constituent_does_not_carry_its_file(spark):
     assert [re.sub(r"#\d+", "", c) for c in carried] == ["date, date_issued"]
 
 
+def test_the_reason_is_known_without_the_clean_up(spark):
+    docs = spark.createDataFrame([("a", None), ("b", ""), ("c", "no heading"), ("d", "x THE SENATE MET. y"), ("e", "." * 12), ("f", "_" * 12)], "crec_id string, content string")
+    rows = documents.with_reason(docs)
+    assert {r["crec_id"]: r["reason"] for r in rows.collect()} == {"a": "no body", "b": "no heading", "c": "no heading", "d": None, "e": None, "f": None}
+    assert "regexp_replace" not in rows.where("reason IS NOT NULL").select("crec_id", "reason")._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return str(tmp_path / "store")
