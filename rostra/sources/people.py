@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +18,55 @@ DEFAULT_BIRTHDAY = "1776-07-04"
 _RECORD = "id map<string,string>, name map<string,string>, bio map<string,string>, terms array<map<string,string>>"
 
 
+#: Records of a file that a task holds at a time.
+_RECORDS = 1000
+
+
+def _items(stream) -> Iterator:
+    """The items of a YAML file's list, one at a time, so that a file's tree is never whole in memory; anchors hold through the file."""
+    import yaml
+    from yaml.composer import Composer, ComposerError
+
+    class Fast(Composer, yaml.CBaseLoader if yaml.__with_libyaml__ else yaml.BaseLoader):
+        """Events of libyaml where it is there; nodes are composed from them here, as it gives whole documents only."""
+
+        def __init__(self, stream):
+            super(Composer, self).__init__(stream)
+            Composer.__init__(self)
+
+    loader = Fast(stream)
+    try:
+        loader.get_event()  # the stream starts
+        if loader.check_event(yaml.StreamEndEvent):
+            return
+        loader.get_event()  # the document starts
+        if loader.check_event(yaml.SequenceStartEvent):
+            loader.get_event()
+            while not loader.check_event(yaml.SequenceEndEvent):
+                yield loader.construct_document(loader.compose_node(None, None))
+            loader.get_event()
+        else:
+            yield from loader.construct_document(loader.compose_node(None, None)) or []
+        loader.get_event()  # the document ends
+        if not loader.check_event(yaml.StreamEndEvent):
+            raise ComposerError("expected a single document in the stream", None, "but found another document", loader.get_event().start_mark)
+    finally:
+        loader.dispose()
+
+
 def load_yaml(spark: SparkSession, *paths: str) -> DataFrame:
     """(seq, record) of all persons; ``seq`` orders them by the paths as given, by the files of a path, and within a file."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
-
         text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v) if isinstance(v, (list, dict)) else str(v)
         plain = lambda d: {k: text(v) for k, v in (d or {}).items()}
         for batch in batches:
-            for at, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                people = yaml.load(body, Loader=yaml.BaseLoader) or []
-                rows = [json.dumps({"id": plain(p.get("id")), "name": plain(p.get("name")), "bio": plain(p.get("bio")), "terms": [plain(t) for t in p.get("terms") or []]}) for p in people]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["path", "n", "json"])
+            for at, body in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                people, n = _items(pa.BufferReader(body.as_buffer())), 0
+                while some := list(islice(people, _RECORDS)):
+                    rows = [json.dumps({"id": plain(p.get("id")), "name": plain(p.get("name")), "bio": plain(p.get("bio")), "terms": [plain(t) for t in p.get("terms") or []]}) for p in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.string()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["path", "n", "json"])
+                    n += len(rows)
 
     parts = []
     for k, path in enumerate(paths):

@@ -89,3 +89,22 @@ def test_filter_reaches_the_scan(spark, people, tmp_path):
     people.write.parquet(str(tmp_path / "p"))
     plan = P.filter_people(spark.read.parquet(str(tmp_path / "p")), gender="M")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(gender,M)" in plan
+
+
+def test_records_of_a_yaml_file_are_read_one_at_a_time():
+    import io
+
+    import yaml
+
+    from rostra.sources.people import _items
+
+    body = b"# c\n- id: &a {x: 1}\n" + b"- id: {x: '2\n\n  3'}\n  bio: |\n    - no item\n" * 20_000 + b"- *a\n"
+    stream = io.BytesIO(body)
+    found = _items(stream)
+    assert next(found) == {"id": {"x": "1"}} and stream.tell() < len(body) // 4
+    rest = list(found)
+    assert len(rest) == 20_001 and rest[0] == {"id": {"x": "2\n3"}, "bio": "- no item\n"} and rest[-1] == {"x": "1"}
+    for text in (b"", b"# c\n", b"[]", b"{}", b"---\n- a: ~\n...\n"):
+        assert list(_items(io.BytesIO(text))) == (yaml.load(text, Loader=yaml.BaseLoader) or [])
+    with pytest.raises(yaml.YAMLError):
+        list(_items(io.BytesIO(b"- a: 1\n---\n- b: 2\n")))
