@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -29,29 +28,30 @@ class KeepLast(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        latest = None
-        for batch in rows:
-            if self.event_time:
-                t = int(batch["order_ms"].max())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = order = latest = None
+        for row in rows:
+            *_, seq, digest, t = row
+            if self.event_time and t is not None:
                 latest = t if latest is None else max(latest, t)
-            order = batch.sort_values(["order_seq", "order_digest"]).tail(1)
-            if best is None or (order["order_seq"].iloc[0], order["order_digest"].iloc[0]) > (best["order_seq"].iloc[0], best["order_digest"].iloc[0]):
-                best = order
-        have = self.last.get() if self.last.exists() else None
-        seq, timer = int(best["order_seq"].iloc[0]), None if have is None else have[1]
-        if self.expire_ms is not None and (timer is None or latest + self.expire_ms > timer):
+            if order is None or (seq, digest) > order:
+                best, order = row, (seq, digest)
+        # each call on the state goes to the JVM and back: none that is not needed
+        have = self.last.get()
+        timer = None if have is None else have[1]
+        moved = self.expire_ms is not None and latest is not None and (timer is None or latest + self.expire_ms > timer)
+        if moved:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             timer = latest + self.expire_ms
             self.handle.registerTimer(timer)
-        newer = have is None or seq > have[0]
-        self.last.update((seq if newer else have[0], timer if timer is not None else 0))
+        newer = have is None or order[0] > have[0]
+        if newer or moved:
+            self.last.update((order[0] if newer else have[0], timer if timer is not None else 0))
         if newer:
-            yield best.drop(columns=["order_seq", "order_digest", *(["order_ms"] if self.event_time else [])])
+            yield Row(*best.__fields__[:-3])(*best[:-3])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
         return iter(())
 
@@ -72,13 +72,13 @@ def keep_last(stream: DataFrame, key: str, seq: str, event_time: str | None = No
     columns = rows.columns
     if event_time:
         rows = rows.withWatermark(event_time, late)
-    rows = rows.withColumns({"order_seq": F.col(seq).cast("long"), "order_digest": F.xxhash64(F.to_json(F.struct(*columns)))})
+    order_ms = F.unix_millis(event_time) if event_time else F.lit(None).cast("long")
+    rows = rows.withColumns({"order_seq": F.col(seq).cast("long"), "order_digest": F.xxhash64(F.to_json(F.struct(*columns))), "order_ms": order_ms})
     expire_ms = None
     if event_time:
-        rows = rows.withColumn("order_ms", F.unix_millis(event_time))
         expire_ms = int(spark.sql(f"SELECT INTERVAL {expire or '30 days'}").first()[0].total_seconds() * 1000)
     kept = StructType([f for f in stream.schema.fields])
-    return rows.groupBy(key).transformWithStateInPandas(KeepLast(event_time is not None, expire_ms), kept, "Update", "EventTime" if event_time else "None")
+    return rows.groupBy(key).transformWithState(KeepLast(event_time is not None, expire_ms), kept, "Update", "EventTime" if event_time else "None")
 
 
 def run_available(out: DataFrame, sink: str, checkpoint: str) -> None:

@@ -74,3 +74,25 @@ def test_daily_counts_leave_late_rows_out(spark, tmp_path, source):
     q = counts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["date"].day: r["n"] for r in spark.read.parquet(sink).collect()} == {1: 1, 2: 1, 5: 3}
+
+
+def test_a_key_costs_one_read_and_at_most_one_write_of_its_state():
+    from pyspark.sql import Row
+
+    class State:
+        calls, value = (), None
+
+        def get(self):
+            self.calls += ("get",)
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = (*self.calls, "update"), value
+
+    keep = latest.KeepLast(False, None)
+    keep.last = state = State()
+    make = Row("k", "v", "order_seq", "order_digest", "order_ms")
+    out = list(keep.handleInputRows(("a",), iter([make("a", "old", 1, 5, None), make("a", "new", 2, 1, None), make("a", None, 2, 0, None)]), None))
+    assert out == [Row(k="a", v="new")] and state.calls == ("get", "update") and state.value == (2, 0)
+    assert list(keep.handleInputRows(("a",), iter([make("a", "same", 2, 9, None)]), None)) == []
+    assert state.calls == ("get", "update", "get")
