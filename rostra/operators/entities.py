@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ ANNOTATION = "entities array<struct<surface:string,label:string,words:array<stru
 _RUN = re.compile(r"\b[A-Z][\w.'’-]*(?:\s+(?:of\s+|the\s+)?[A-Z][\w.'’-]*)*")
 _STOP = frozenset("a an and are as at be but by for from had has have he her his in is it its of on or our she that the their there they this to was we were will with you i not no so if all".split())
 _TAGS = {**dict.fromkeys(K.DETERMINERS, "DT"), **dict.fromkeys("of in on at by for from with to".split(), "IN"), **dict.fromkeys("and or but".split(), "CC"), "'s": "POS"}
+#: Bytes of texts whose annotations a task holds at a time.
+_SLICE_BYTES = 1 << 20
 _PRONOUN = frozenset("i you he she it we they me him us them my your his her its our their".split())
 
 
@@ -45,16 +48,32 @@ def rule_annotator(text: str) -> tuple[list[tuple[str, str, list[tuple[str, str]
     return entities, chunks
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices that end where their texts have reached ``_SLICE_BYTES``."""
+    sizes, start, size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 0, 0
+    for end, n in enumerate(sizes, 1):
+        size += n
+        if size >= _SLICE_BYTES or end == len(sizes):
+            yield batch.slice(start, end - start)
+            start, size = end, 0
+
+
 def annotate(docs: DataFrame, annotator: Callable = rule_annotator, key: str = "crec_id", content: str = "content") -> DataFrame:
-    """(key, entities, chunks) of each document in one pass; a model-backed annotator has the same shape."""
+    """(key, entities, chunks) of each document in one pass; a model-backed annotator has the same shape.
+
+    A batch is annotated in slices, as annotations are many times larger than their texts.
+    """
+
+    def annotated(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [annotator(t or "") for t in batch.column(1).to_pylist()]
+        word = pa.struct([("text", pa.string()), ("tag", pa.string())])
+        entities = pa.array([[{"surface": s, "label": n, "words": [{"text": t, "tag": g} for t, g in w]} for s, n, w in e] for e, _ in got], pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string()), ("words", pa.list_(word))])))
+        chunks = pa.array([[{"text": t, "lemma": n} for t, n in c] for _, c in got], pa.list_(pa.struct([("text", pa.string()), ("lemma", pa.string())])))
+        return pa.RecordBatch.from_arrays([batch.column(0), entities, chunks], names=[key, "entities", "chunks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [annotator(t or "") for t in batch.column(1).to_pylist()]
-            word = pa.struct([("text", pa.string()), ("tag", pa.string())])
-            entities = pa.array([[{"surface": s, "label": n, "words": [{"text": t, "tag": g} for t, g in w]} for s, n, w in e] for e, _ in got], pa.list_(pa.struct([("surface", pa.string()), ("label", pa.string()), ("words", pa.list_(word))])))
-            chunks = pa.array([[{"text": t, "lemma": n} for t, n in c] for _, c in got], pa.list_(pa.struct([("text", pa.string()), ("lemma", pa.string())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), entities, chunks], names=[key, "entities", "chunks"])
+            yield from map(annotated, _slices(batch))
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, content).mapInArrow(run, f"{key} {kind}, {ANNOTATION}")

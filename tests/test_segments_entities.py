@@ -57,3 +57,13 @@ def test_annotation_to_speaker_rows(spark):
     out = E.speaker_word_counts(d, E.entity_maps(ents), chunks)
     assert sorted(r["bioguide_id"] for r in out.collect()) == ["T1", "U1"]
     assert E.speaker_word_counts(d, E.entity_maps(ents), chunks, mode="intent").count() == 2
+
+
+def test_annotations_of_a_batch_come_in_slices():
+    import pyarrow as pa
+
+    texts = ["x" * 400_000, None, "y" * 700_000, "", "z" * 3_000_000, "w", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["crec_id", "content"])
+    got = [s.column(0).to_pylist() for s in E._slices(batch)]
+    assert got == [[0, 1, 2], [3, 4], [5, 6]]
+    assert list(E._slices(batch.slice(0, 0))) == []
