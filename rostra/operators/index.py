@@ -67,14 +67,15 @@ def postings(docs: DataFrame, key: str, content: str, day: str) -> DataFrame:
     heads = at.withColumn("_heads", F.when(F.col("length") > 0, F.filter(F.sequence(F.lit(0), F.col("length") - 1), new)))
     ends = lambda j: F.coalesce(F.get("_heads", j + 1), F.col("length"))
     stretch = lambda h, j: F.struct(F.get("_at", h)["w"].alias("term"), F.slice("_at", h + 1, ends(j) - h)["i"].alias("positions"))
-    words = heads.select("key", "day", "length", F.inline(F.transform("_heads", stretch)))
+    # inline would first ask whether there is anything to give, and so cut each document twice
+    words = heads.select("key", "day", "length", F.inline_outer(F.transform("_heads", stretch))).where("term IS NOT NULL")
     return words.select("term", "day", "key", F.size("positions").cast("long").alias("tf"), "positions", "length")
 
 
 def _counts(held: DataFrame, docs: DataFrame, content: str, day: str) -> DataFrame:
     """Daily counts of words, from their postings, and of tokens: all, and those a text has before the limit."""
     words = held.groupBy("term", "day").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("places"))
-    tokens = docs.select(F.col(day).alias("day"), F.posexplode(X.tokens(content)).alias("i", "term")).groupBy("term", "day").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("i") < TOKEN_LIMIT).alias("capped"))
+    tokens = docs.select(F.col(day).alias("day"), F.posexplode_outer(X.tokens(content)).alias("i", "term")).where("term IS NOT NULL").groupBy("term", "day").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("i") < TOKEN_LIMIT).alias("capped"))
     both = words.unionByName(tokens, allowMissingColumns=True)
     return both.groupBy("term", "day").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("docs", "places", "tokens", "capped")])
 
@@ -102,8 +103,9 @@ def add(docs: DataFrame, path: str, key: str = "crec_id", content: str = "conten
     _put(rows, f"{path}/postings", run, buckets)
     held = spark.read.schema(rows.schema).parquet(f"{path}/postings/run={run}").select("term", "day", "tf")
     _put(_counts(held, docs, content, day), f"{path}/counts", run, buckets)
-    length = F.size(X.analyze(F.coalesce(F.col(content), F.lit(""))))
-    own = docs.groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("docs"), F.sum(length).cast("long").alias("words"))
+    # the words of a day are the places of its terms: texts are not read for them again
+    words = spark.read.schema(_COUNTS).parquet(f"{path}/counts/run={run}").select("day", F.lit(0).cast("long").alias("docs"), F.col("places").alias("words"))
+    own = docs.select(F.col(day).alias("day"), F.lit(1).cast("long").alias("docs"), F.lit(0).cast("long").alias("words")).unionByName(words).groupBy("day").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
     if days:
         none = spark.createDataFrame([(d, 0, 0) for d in days], "day date, docs long, words long")
         own = own.unionByName(none).groupBy("day").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))

@@ -126,3 +126,10 @@ def test_a_result_page_through_the_index(spark, tmp_path):
     for part in ("totals", "breakdown", "docs"):
         rows = [[tuple(r) for r in x[part].drop("score").collect()] for x in (one, two)]
         assert rows[0] == rows[1] if part == "docs" else sorted(rows[0]) == sorted(rows[1])
+
+
+def test_a_document_is_inverted_once(spark):
+    from rostra.operators.index import postings
+
+    plan = postings(made(spark, TEXTS), "crec_id", "content", "date_issued")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "transform" in line]
