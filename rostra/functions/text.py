@@ -140,10 +140,13 @@ def camel_case(c: Column | str, force: bool = False, threshold: int = K.SHORT_WO
 
 def clean_entity(c: Column | str) -> Column:
     """An entity's text without marks, in forced camel case; null if it is on the blacklist."""
-    t = camel_case(remove_punct(c, leading=K.LEADING_MARKS), force=True)
-    # the first of the tails is asked for with one more blank than it has: historical behaviour
-    cut = F.regexp_replace(t, " " + "|".join(f"{tail}$" for tail in K.ENTITY_TAILS), "")
-    return F.when(~title(t).isin(K.ENTITY_BLACKLIST), cut)
+    def kept(t: Column) -> Column:
+        # the first of the tails is asked for with one more blank than it has: historical behaviour
+        cut = F.regexp_replace(t, " " + "|".join(f"{tail}$" for tail in K.ENTITY_TAILS), "")
+        return F.when(~title(t).isin(K.ENTITY_BLACKLIST), cut)
+
+    # each step is bound once; nested, the patterns would be matched many times over
+    return let(remove_punct(c, leading=K.LEADING_MARKS), lambda p: let(camel_case(p, force=True), kept))
 
 
 def entity_kept(surface: Column | str, label: Column | str, numeric: Sequence[str] = K.NUMERIC_TYPES) -> Column:

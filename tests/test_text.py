@@ -103,3 +103,8 @@ def test_nulls(spark):
     rows = spark.createDataFrame([(None,)], "t string")
     out = rows.select(X.clean("t"), X.title("t"), X.snippet("t", "x"), X.camel_case("t"), X.remove_punct("t")).first()
     assert all(v is None for v in out)
+
+
+def test_the_steps_of_an_entity_are_bound_once():
+    plan = str(X.clean_entity("surface"))
+    assert plan.count("surface") == 1
