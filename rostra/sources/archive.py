@@ -19,8 +19,10 @@ from rostra.functions.text import col
 from rostra.schemas import AUDIT
 
 NO_DATA, UNREADABLE = "no data", "unreadable archive"
-#: Bytes of members that a reader gives to Spark together.
+#: Bytes of members that a reader gives to Spark together; a larger member goes alone.
 _BATCH_BYTES = 8 << 20
+#: Bytes of a member that are packed or unpacked at once.
+_PART_BYTES = 1 << 20
 _NAME = re.compile(r"CREC-(\d{4}-\d{2}-\d{2})\.zip$")
 
 
@@ -75,7 +77,8 @@ def _store(path: str):
 
 
 class ArchiveReader(DataSourceReader):
-    """A partition a day. Members are read one by one, so a task holds one of them and no archive.
+    """A partition a day. Members are unpacked by parts into the batch that Spark gets, so a task holds
+    ``_BATCH_BYTES`` of them, or one that is larger, and no archive.
 
     With days given, every one of them has a row at least: days without an archive, or with one that
     cannot be read, say so in ``error``. Days are chosen by the options alone, before any archive is opened:
@@ -107,33 +110,40 @@ class ArchiveReader(DataSourceReader):
         if partition is None:  # there are no archives
             return
 
-        def rows(members: list[str | None], contents: list[bytes | None], error: str | None) -> pa.RecordBatch:
+        def rows(members: list[str | None], contents: pa.Array, error: str | None) -> pa.RecordBatch:
             n = len(members)
-            return pa.RecordBatch.from_arrays([pa.array([partition.day] * n, pa.date32()), pa.array([partition.path] * n, pa.string()), pa.array(members, pa.string()), pa.array(contents, pa.binary()), pa.array([error] * n, pa.string())], names=["date", "path", "member", "content", "error"])
+            return pa.RecordBatch.from_arrays([pa.array([partition.day] * n, pa.date32()), pa.array([partition.path] * n, pa.string()), pa.array(members, pa.string()), contents, pa.array([error] * n, pa.string())], names=["date", "path", "member", "content", "error"])
 
+        def joined(bodies: bytearray, ends: list[int]) -> pa.Array:
+            # Arrow takes the bytes as they lie, without a copy
+            return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(bodies)])
+
+        none = pa.nulls(1, pa.binary())
         if partition.path is None:
-            yield rows([None], [None], NO_DATA)
+            yield rows([None], none, NO_DATA)
             return
         store, _ = _store(self.path)
-        names, bodies, size, n = [], [], 0, 0
+        names, bodies, ends, n = [], bytearray(), [0], 0
         try:
             with store.open_input_file(partition.path) as file, zipfile.ZipFile(file) as z:
                 for name in z.namelist():
                     if name.endswith(("htm", "mods.xml")):
-                        body = z.read(name)
+                        if names and len(bodies) + z.getinfo(name).file_size > _BATCH_BYTES:
+                            yield rows(names, joined(bodies, ends), None)
+                            names, bodies, ends = [], bytearray(), [0]
+                        with z.open(name) as member:
+                            while part := member.read(_PART_BYTES):
+                                bodies += part
                         names.append(name)
-                        bodies.append(body)
-                        size, n = size + len(body), n + 1
-                        if size >= _BATCH_BYTES:
-                            yield rows(names, bodies, None)
-                            names, bodies, size = [], [], 0
+                        ends.append(len(bodies))
+                        n += 1
         except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, ValueError):
             # what is wrong with the archive; a store that fails is the task's fault, and it is tried again.
             # Members read before the fault came stay out of the day by its error
-            yield rows([None], [None], UNREADABLE)
+            yield rows([None], none, UNREADABLE)
             return
         if names or not n:
-            yield rows(names, bodies, None) if names else rows([None], [None], None)
+            yield rows(names, joined(bodies, ends), None) if names else rows([None], none, None)
 
 
 class ArchiveSource(DataSource):
@@ -174,39 +184,52 @@ def put(path: str, body: bytes) -> None:
 def write_archives(rows: DataFrame, path: str) -> DataFrame:
     """Write rows (date, member, content) as an archive a day; gives (date, members) of what has been written.
 
-    A day streams through one task, sorted by member, so no archive is held in memory; it gets its
-    name when it is whole, so a task that is lost leaves nothing that counts.
+    A day streams through one task, sorted by member and in parts of ``_PART_BYTES``, so neither an archive nor
+    a large member is held in Python; it gets its name when it is whole, so a task that is lost leaves nothing that counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(path)
         store.create_dir(root, recursive=True)
         context = TaskContext.get()
-        day, out, z, n, done = None, None, None, 0, []
+        day, out, z, entry, n, done = None, None, None, None, 0, []
 
         def close() -> None:
+            entry.close()
             z.close()
             out.close()
-            store.move(part, f"{root}/CREC-{day.isoformat()}.zip")
+            store.move(at, f"{root}/CREC-{day.isoformat()}.zip")
             done.append((day, n))
 
-        part = ""
+        at = ""
         for batch in batches:
-            for d, name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if d != day:
-                    if z is not None:
-                        close()
-                    day, n, part = d, 0, f"{root}/.{d.isoformat()}-{context.taskAttemptId()}.part"
-                    out = store.open_output_stream(part)
-                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
-                z.writestr(zipfile.ZipInfo(name), body, zipfile.ZIP_DEFLATED)
-                n += 1
+            for d, name, size, part, body in zip(*batch.columns, strict=True):
+                if part.as_py() == 0:
+                    if d.as_py() != day:
+                        if z is not None:
+                            close()
+                        day, n, entry = d.as_py(), 0, None
+                        at = f"{root}/.{day.isoformat()}-{context.taskAttemptId()}.part"
+                        out = store.open_output_stream(at)
+                        z = zipfile.ZipFile(out, "w")
+                    if entry is not None:
+                        entry.close()
+                    info = zipfile.ZipInfo(name.as_py())
+                    info.compress_type, info.file_size = zipfile.ZIP_DEFLATED, size.as_py()
+                    entry = z.open(info, "w")
+                    n += 1
+                entry.write(memoryview(body.as_buffer()))
         if z is not None:
             close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], pa.date32()), pa.array([k for _, k in done], pa.int64())], names=["date", "members"])
 
     ordered = rows.where("date IS NOT NULL").select("date", "member", F.col("content").cast("binary").alias("content")).repartition("date").sortWithinPartitions("date", "member")
+    size = F.octet_length("content")
+    starts = F.sequence(F.lit(1), size, F.lit(_PART_BYTES))
+    parts = F.when(size > _PART_BYTES, F.transform(starts, lambda k: F.substring("content", k, F.lit(_PART_BYTES)))).otherwise(F.array("content"))
+    # parts come after the sort, so those of a member stay together even where a name is given twice
+    ordered = ordered.select("date", "member", size.alias("size"), F.posexplode(parts).alias("part", "content"))
     return ordered.mapInArrow(run, "date date, members long")
 
 

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import re
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,44 @@ def test_archives_written_are_archives_read(spark, tmp_path):
     assert not [f for f in (tmp_path / "out").iterdir() if f.suffix == ".part"]
 
 
+def test_no_batch_is_larger_than_its_bound_or_one_member(spark, tmp_path, monkeypatch):
+    sizes = {"a.htm": 3000, "b.htm": 3000, "c.htm": 500, "d.htm": 0, "mods.xml": 9000, "n.htm": 100}
+    put(tmp_path / "in", "2017-01-01", {name: name[0] * n for name, n in sizes.items()})
+    monkeypatch.setattr(archive, "_BATCH_BYTES", 4000)
+    monkeypatch.setattr(archive, "_PART_BYTES", 64)
+    reader = archive.ArchiveReader({"path": str(tmp_path / "in")})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert [b["member"].to_pylist() for b in batches] == [["a.htm"], ["b.htm", "c.htm", "d.htm"], ["mods.xml"], ["n.htm"]]
+    assert {m: c for b in batches for m, c in zip(b["member"].to_pylist(), b["content"].to_pylist(), strict=True)} == {name: name[:1].encode() * n for name, n in sizes.items()}
+
+
+def test_a_large_member_is_held_once(spark, tmp_path):
+    big = 32 << 20
+    put(tmp_path / "in", "2017-01-01", {"mods.xml": "x" * big})
+    reader = archive.ArchiveReader({"path": str(tmp_path / "in")})
+    (part,) = reader.partitions()
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    (batch,) = reader.read(part)
+    held = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert batch.num_rows == 1 and len(batch["content"][0].as_buffer()) == big and held < 1.5 * big
+
+
+def test_large_members_reach_the_writer_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "_PART_BYTES", 10)
+    rows = [(DAY(2017, 1, d), f"{n}.htm", "é" * n) for d in (1, 2) for n in (0, 1, 5, 6, 10, 5000)] + [(DAY(2017, 1, 3), "mods.xml", "one" * 9), (DAY(2017, 1, 3), "mods.xml", "two" * 9)]
+    df = spark.createDataFrame(rows, "date date, member string, content string")
+    written = archive.write_archives(df, str(tmp_path / "out"))
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow.*Generate posexplode.*Sort \[", plan, re.S)
+    assert {r["date"].day: r["members"] for r in written.collect()} == {1: 6, 2: 6, 3: 2}
+    for d in (1, 2, 3):
+        with zipfile.ZipFile(tmp_path / f"out/CREC-2017-01-0{d}.zip") as z:
+            held = sorted((i.filename, z.open(i).read().decode(), i.compress_type) for i in z.infolist())
+        assert held == sorted((n, c, zipfile.ZIP_DEFLATED) for day, n, c in rows if day.day == d)
+
+
 def test_a_constituent_does_not_carry_its_file(spark):
     files = spark.createDataFrame([(DAY(2017, 1, 2), mods("2017-01-01", *((f"PgS{i}", WHO) for i in range(3)))), (DAY(2017, 1, 3), "<mods/>")], "date date, xml string")
     rows = documents.constituents(files)
