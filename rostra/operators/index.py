@@ -7,7 +7,11 @@ sorted by term; ``days`` says for each run which days it holds, with their docum
 :func:`add` indexes some days as a new run and changes nothing that is there: the last run that names
 a day is the one that counts, so days are replaced whole, other days stay as they are, and
 a run that failed before it wrote its days has never been. One writer at a time. :func:`compact` brings
-the current days of all runs into one.
+the current days of all runs into one, some buckets after the other, and removes what they replace; ``moved``
+names the buckets that are done, so a compaction that fails midway loses nothing.
+
+Disk is bounded: postings are written where their documents are read, without a shuffle; counts are summed and runs
+are compacted some buckets at a time, and what that leaves in shuffles or in old runs goes before the next buckets come.
 
 A search reads the buckets of its words, and of the positions only the days asked for: how many
 documents hold a word is the sum of daily counts, and the statistics of the collection are the
@@ -18,7 +22,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from typing import NamedTuple
 
@@ -29,8 +34,11 @@ from pyspark.sql.types import StructType
 
 from rostra.constants import TOKEN_LIMIT
 from rostra.functions import text as X
+from rostra.sources import shared
 
 BUCKETS = 32
+#: Postings whose counts are summed, and words that are compacted, at a time at least; rows of a file that is compacted or summed.
+STEP, FILE = 4_000_000, 500_000
 _COUNTS = "term string, day date, docs long, places long, tokens long, capped long, run int, bucket int"
 _DAYS = "day date, docs long, words long, buckets int, schema string, run int"
 
@@ -49,10 +57,33 @@ def _or(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def _put(rows: DataFrame, path: str, run: int, buckets: int) -> None:
-    """Write rows by bucket; a bucket with a very frequent word fills as many files as it needs."""
-    out = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
-    out.sortWithinPartitions("bucket", "term", "day").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/run={run}")
+def _steps(buckets: int, size: int) -> list[list[int]]:
+    """The buckets in groups of about STEP of the size each, if one bucket is not larger."""
+    n = max(1, min(buckets, -(-size // STEP)))
+    return [list(range(k, buckets, n)) for k in range(n)]
+
+
+@contextmanager
+def _set(spark: SparkSession, **conf: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _put(rows: DataFrame, path: str, run: int, buckets: int, mode: str = "overwrite") -> None:
+    """Write rows by bucket, each task a file for each bucket that it has, sorted by term.
+
+    Its files are open at once, so that rows sort by term and not by bucket before. What was shuffled
+    for the rows goes when they are written, not when the driver happens to collect its garbage.
+    """
+    out = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).sortWithinPartitions("term", "day")
+    with _set(rows.sparkSession, **{"spark.sql.maxConcurrentOutputFileWriters": str(buckets), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        out.write.mode(mode).option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/run={run}")
 
 
 def postings(docs: DataFrame, key: str, content: str, day: str) -> DataFrame:
@@ -72,14 +103,29 @@ def postings(docs: DataFrame, key: str, content: str, day: str) -> DataFrame:
     return words.select("term", "day", "key", F.size("positions").cast("long").alias("tf"), "positions", "length")
 
 
-def _counts(held: DataFrame, docs: DataFrame, content: str, day: str) -> DataFrame:
-    """Daily counts of words, from their postings, and of tokens: all, and those a text has before the limit."""
-    words = held.groupBy("term", "day").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("places"))
-    tokens = docs.select(F.col(day).alias("day"), F.posexplode_outer(X.tokens(content)).alias("i", "term")).where("term IS NOT NULL").groupBy("term", "day").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("i") < TOKEN_LIMIT).alias("capped"))
-    both = words.unionByName(tokens, allowMissingColumns=True)
+def _tokens(docs: DataFrame, content: str, day: str) -> DataFrame:
+    """Daily counts of tokens: all, and those a text has before the limit."""
+    tokens = docs.select(F.col(day).alias("day"), F.posexplode_outer(X.tokens(content)).alias("i", "term")).where("term IS NOT NULL")
+    return tokens.groupBy("term", "day").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("i") < TOKEN_LIMIT).alias("capped"))
+
+
+def _counts(held: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Daily counts of words, from their postings, beside those of tokens."""
+    both = held.select("term", "day", F.lit(1).cast("long").alias("docs"), F.col("tf").alias("places")).unionByName(tokens, allowMissingColumns=True)
     return both.groupBy("term", "day").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("docs", "places", "tokens", "capped")])
 
 
+def _put_counts(spark: SparkSession, path: str, run: int, buckets: int) -> None:
+    """Sum the counts of a run whose postings and tokens are written, some buckets at a time."""
+    held = spark.read.schema("term string, day date, tf long, bucket int").parquet(f"{path}/postings/run={run}")
+    tokens = spark.read.schema("term string, day date, tokens long, capped long, bucket int").parquet(f"{path}/tokens/run={run}")
+    n = held.count()
+    steps = _steps(buckets, n)
+    for k, some in enumerate(steps):
+        rows = _counts(*[x.where(F.col("bucket").isin(some)).drop("bucket") for x in (held, tokens)])
+        _put(rows.coalesce(1 + n // len(steps) // FILE), f"{path}/counts", run, buckets, "append" if k else "overwrite")
+
+
 def _runs(spark: SparkSession, path: str) -> DataFrame:
     """The table of days; empty where nothing has been indexed."""
     try:
@@ -90,6 +136,17 @@ def _runs(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _DAYS)
 
 
+def _moved(spark: SparkSession, path: str) -> dict[int, int]:
+    """The run that the last compaction to reach a bucket has moved it to."""
+    try:
+        rows = spark.read.schema("bucket int, run int").parquet(f"{path}/moved")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["bucket"]: r["run"] for r in rows.groupBy("bucket").agg(F.max("run").alias("run")).collect()}
+
+
 def add(docs: DataFrame, path: str, key: str = "crec_id", content: str = "content", day: str = "date_issued", days: Sequence[dt.date] | None = None, buckets: int = BUCKETS) -> None:
     """Index ``docs`` as a new run; it replaces the days that they have, and those of ``days`` whether they have documents or not.
 
@@ -98,11 +155,13 @@ def add(docs: DataFrame, path: str, key: str = "crec_id", content: str = "conten
     """
     spark = docs.sparkSession
     last = _runs(spark, path).agg(F.max("run"), F.max_by("buckets", "run")).first()
-    run, buckets = (0, buckets) if last[0] is None else (last[0] + 1, last[1])
+    run, buckets = (0, buckets) if last[0] is None else (max([last[0], *_moved(spark, path).values()]) + 1, last[1])
+    # tokens come first and lie by bucket until the counts are made: what is shuffled for them has gone when postings come
+    _put(_tokens(docs, content, day), f"{path}/tokens", run, buckets)
     rows = postings(docs, key, content, day)
     _put(rows, f"{path}/postings", run, buckets)
-    held = spark.read.schema(rows.schema).parquet(f"{path}/postings/run={run}").select("term", "day", "tf")
-    _put(_counts(held, docs, content, day), f"{path}/counts", run, buckets)
+    _put_counts(spark, path, run, buckets)
+    shared.remove(spark, f"{path}/tokens/run={run}")
     # the words of a day are the places of its terms: texts are not read for them again
     words = spark.read.schema(_COUNTS).parquet(f"{path}/counts/run={run}").select("day", F.lit(0).cast("long").alias("docs"), F.col("places").alias("words"))
     own = docs.select(F.col(day).alias("day"), F.lit(1).cast("long").alias("docs"), F.lit(0).cast("long").alias("words")).unionByName(words).groupBy("day").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
@@ -117,7 +176,10 @@ def _commit(own: DataFrame, path: str, run: int, buckets: int, schema: StructTyp
 
 
 class Index:
-    """What is current of an index when it is opened; later runs are seen by those who open it later."""
+    """What is current of an index when it is opened; later runs are seen by those who open it later.
+
+    A compaction removes what it replaces, so an index that was opened before it must be opened again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -132,6 +194,11 @@ class Index:
                     self._old.setdefault(run, []).append(r["day"])
         self.buckets = max((r["r"]["buckets"] for r in latest), default=BUCKETS)
         self._schema = StructType.fromJson(json.loads(latest[0]["r"]["schema"])) if latest else None
+        # a compaction that has ended stands among the days; one that has not holds some buckets of all days before it
+        done = {run for r in latest for run in r["runs"]}
+        self._moved = _moved(spark, path)
+        self._last = max([*done, *self._moved.values()], default=-1)
+        self._moved = {b: run for b, run in self._moved.items() if run not in done}
 
     @property
     def documents(self) -> int:
@@ -146,16 +213,28 @@ class Index:
         within = {d: x.run for d, x in self.days.items() if x.docs and (start is None or d is not None and start <= d <= end)}
         if not within:
             return self.spark.createDataFrame([], schema)
-        runs = sorted(set(within.values()))
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{table}").where(F.col("run").isin(runs))
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
         if start is not None:
             rows = rows.where(F.col("day").between(F.lit(start), F.lit(end)))
+        if not self._moved:
+            return rows.where(self._counting(within, self._old, start, end))
+        tests = [~F.col("bucket").isin(list(self._moved)) & self._counting(within, self._old, start, end)]
+        for to in sorted(set(self._moved.values())):
+            old = self._old | {to: [d for d, x in self.days.items() if x.run > to]}
+            tests.append(F.col("bucket").isin([b for b, run in self._moved.items() if run == to]) & self._counting({d: max(run, to) for d, run in within.items()}, old, start, end))
+        return rows.where(_or(tests))
+
+    @staticmethod
+    def _counting(within: dict[dt.date | None, int], old: dict[int, list[dt.date | None]], start: dt.date | None, end: dt.date | None) -> Column:
+        """Whether a row stands in a run that counts, and not in one that is old for its day."""
+        runs = sorted(set(within.values()))
+        test = F.col("run").isin(runs)
         for run in runs:
-            gone = [d for d in self._old.get(run, []) if start is None or d is not None and start <= d <= end]
+            gone = [d for d in old.get(run, []) if start is None or d is not None and start <= d <= end]
             if gone:
                 hit = _or([F.col("day").eqNullSafe(F.lit(d).cast("date")) for d in gone if d is None] + ([F.coalesce(F.col("day").isin([d for d in gone if d]), F.lit(False))] if any(gone) else []))
-                rows = rows.where(~((F.col("run") == run) & hit))
-        return rows
+                test = test & ~((F.col("run") == run) & hit)
+        return test
 
     def _of(self, rows: DataFrame, terms: Sequence[str]) -> DataFrame:
         """Rows of terms, from their buckets."""
@@ -230,13 +309,26 @@ def places(words: Sequence[str]) -> Column:
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """Bring the current days of all runs into one new run; what is read does not change, but the files become few."""
+    """Bring the current days of all runs into one new run; what is read does not change, but the files become few.
+
+    Some buckets are written, named as moved and removed from the runs before, then the next. Nothing is shuffled:
+    the files of a bucket are read together and sorted again. An index that was opened before must be opened again.
+    """
     now = Index(spark, path)
     if not now.days:
         return
-    run = max(d.run for d in now.days.values()) + 1
+    run, words = now._last + 1, sum(d.words for d in now.days.values())
     extra = StructType.fromDDL("run int, bucket int").fields
-    for table, schema in (("postings", StructType([*now._schema.fields, *extra])), ("counts", _COUNTS)):
-        _put(now._current(table, schema).drop("run", "bucket"), f"{path}/{table}", run, now.buckets)
+    for k, some in enumerate(_steps(now.buckets, words)):
+        for table, schema in (("postings", StructType([*now._schema.fields, *extra])), ("counts", _COUNTS)):
+            rows = now._current(table, schema)
+            each = [rows.where(F.col("bucket") == b).drop("run", "bucket").coalesce(1 + words // now.buckets // FILE) for b in some]
+            _put(reduce(DataFrame.unionByName, each), f"{path}/{table}", run, now.buckets, "append" if k else "overwrite")
+        spark.createDataFrame([(b,) for b in some], "bucket int").coalesce(1).write.mode("append").parquet(f"{path}/moved/run={run}")
+        for table in ("postings", "counts"):
+            for old in shared.names(spark, f"{path}/{table}"):
+                if old != f"run={run}":
+                    for b in some:
+                        shared.remove(spark, f"{path}/{table}/{old}/bucket={b}")
     own = spark.createDataFrame([(d, x.docs, x.words) for d, x in now.days.items()], "day date, docs long, words long")
     _commit(own, path, run, now.buckets, now._schema)

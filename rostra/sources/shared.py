@@ -32,9 +32,25 @@ def fresh(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder."""
+    files, at = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds; nothing if there is none."""
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
 @atexit.register
 def _remove_all() -> None:
     for path, spark in _made.items():
         if spark.sparkContext._jvm is not None and spark.sparkContext._jsc is not None:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)

@@ -1,6 +1,8 @@
 """The kept index against the texts it was made from."""
 
 import datetime as dt
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,79 @@ def test_a_document_is_inverted_once(spark):
 
     plan = postings(made(spark, TEXTS), "crec_id", "content", "date_issued")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "transform" in line]
+
+
+def bytes_under(path, part=""):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files if part in f)
+
+
+def test_disk_holds_little_more_than_one_index(spark, tmp_path, monkeypatch):
+    from rostra.operators import index
+
+    path = str(tmp_path)
+    words = F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(3000)).cast("string")))
+    docs = spark.range(3000).select(F.col("id").alias("crec_id"), F.array_join(words, " ").alias("content"), F.date_add(F.lit(DAY(2017, 1, 1)), F.pmod("id", F.lit(5)).cast("int")).alias("date_issued"))
+    blocks = [d.toString() for d in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: sum(bytes_under(d, "shuffle_") for d in blocks)
+    spark._jvm.System.gc()
+    put, seen, before = index._put, [], shuffled()
+
+    def watched(*args, **more):
+        put(*args, **more)
+        for _ in range(100):  # files go soon after
+            if shuffled() <= before:
+                break
+            time.sleep(0.05)
+        seen.append(bytes_under(path, ".parquet") + max(0, shuffled() - before))
+
+    monkeypatch.setattr(index, "_put", watched)
+    monkeypatch.setattr(index, "STEP", 60_000, raising=False)
+    add(docs, path, buckets=8)
+    whole, seen[:] = bytes_under(path, ".parquet"), []
+    compact(spark, path)
+    assert max(seen) < 1.5 * whole
+    assert bytes_under(path, ".parquet") < 1.2 * whole
+    assert shuffled() <= before
+    ix = Index(spark, path)
+    assert sum(r["places"] for r in ix.all_counts().collect()) == 3000 * 150 and ix.documents == 3000
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path):
+    from rostra.operators import index
+
+    rows = index.postings(made(spark, TEXTS), "crec_id", "content", "date_issued")
+    before = spark._jsc.sc().newShuffleId()
+    index._put(rows, str(tmp_path), 0, 4)
+    assert spark._jsc.sc().newShuffleId() == before + 1
+
+
+@pytest.mark.parametrize("at", [2, 3])
+def test_a_compaction_that_fails_midway_loses_nothing(spark, tmp_path, monkeypatch, at):
+    from rostra.operators import index
+
+    path, docs = str(tmp_path), made(spark, TEXTS)
+    undated = made(spark, ["a b", "c"], 100).withColumn("date_issued", F.lit(None).cast("date"))
+    wrong = docs.where(F.dayofmonth("date_issued").isin(2, 3)).withColumn("content", F.lit("a b a wrong"))
+    add(docs.where(~F.dayofmonth("date_issued").isin(2, 3)).unionByName(wrong).unionByName(undated), path, buckets=4)
+    add(docs.where(F.dayofmonth("date_issued").isin(2, 3)), path)
+    put, calls = index._put, []
+
+    def failing(*args, **more):
+        calls.append(args)
+        if len(calls) == at:
+            raise OSError("disk")
+        put(*args, **more)
+
+    with monkeypatch.context() as m:
+        m.setattr(index, "STEP", 20)
+        m.setattr(index, "_put", failing)
+        with pytest.raises(OSError, match="disk"):
+            compact(spark, path)
+    equal(spark, path, docs.unionByName(undated))
+    # days are replaced and emptied while some buckets are moved and some are not
+    add(wrong.limit(0), path, days=[DAY(2017, 1, 4)])
+    add(docs.where(F.dayofmonth("date_issued") == 1).withColumn("content", F.lit("b a b")), path)
+    held = docs.where(~F.dayofmonth("date_issued").isin(1, 4)).unionByName(docs.where(F.dayofmonth("date_issued") == 1).withColumn("content", F.lit("b a b"))).unionByName(undated)
+    equal(spark, path, held)
+    compact(spark, path)
+    equal(spark, path, held)
