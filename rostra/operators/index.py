@@ -39,6 +39,8 @@ from rostra.sources import shared
 BUCKETS = 32
 #: Postings whose counts are summed, and words that are compacted, at a time at least; rows of a file that is compacted or summed.
 STEP, FILE = 4_000_000, 500_000
+#: Bytes of a file that a task reads for writing; a row group is read whole.
+PART = "16m"
 _COUNTS = "term string, day date, docs long, places long, tokens long, capped long, run int, bucket int"
 _DAYS = "day date, docs long, words long, buckets int, schema string, run int"
 
@@ -78,11 +80,13 @@ def _set(spark: SparkSession, **conf: str) -> Iterator[None]:
 def _put(rows: DataFrame, path: str, run: int, buckets: int, mode: str = "overwrite") -> None:
     """Write rows by bucket, each task a file for each bucket that it has, sorted by term.
 
-    Its files are open at once, so that rows sort by term and not by bucket before. What was shuffled
-    for the rows goes when they are written, not when the driver happens to collect its garbage.
+    Its files are open at once, so that rows sort by term and not by bucket before. Files are read in small parts,
+    as what is sorted takes many times their bytes. What was shuffled for the rows goes when they are
+    written, not when the driver happens to collect its garbage.
     """
-    out = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).sortWithinPartitions("term", "day")
-    with _set(rows.sparkSession, **{"spark.sql.maxConcurrentOutputFileWriters": str(buckets), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    out = rows.sortWithinPartitions("term", "day").withColumn("bucket", _bucket(F.col("term"), buckets))
+    conf = {"spark.sql.maxConcurrentOutputFileWriters": str(buckets), "spark.sql.files.maxPartitionBytes": PART, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    with _set(rows.sparkSession, **conf):
         out.write.mode(mode).option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/run={run}")
 
 
@@ -96,11 +100,10 @@ def postings(docs: DataFrame, key: str, content: str, day: str) -> DataFrame:
     at = found.select("key", "day", F.size("_words").alias("length"), F.sort_array(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("_at"))
     new = lambda i: (i == 0) | (F.get("_at", i)["w"] != F.get("_at", i - 1)["w"])
     heads = at.withColumn("_heads", F.when(F.col("length") > 0, F.filter(F.sequence(F.lit(0), F.col("length") - 1), new)))
-    ends = lambda j: F.coalesce(F.get("_heads", j + 1), F.col("length"))
-    stretch = lambda h, j: F.struct(F.get("_at", h)["w"].alias("term"), F.slice("_at", h + 1, ends(j) - h)["i"].alias("positions"))
-    # inline would first ask whether there is anything to give, and so cut each document twice
-    words = heads.select("key", "day", "length", F.inline_outer(F.transform("_heads", stretch))).where("term IS NOT NULL")
-    return words.select("term", "day", "key", F.size("positions").cast("long").alias("tf"), "positions", "length")
+    # posexplode would first ask whether there is anything to give, and so cut each document twice
+    words = heads.select("*", F.posexplode_outer("_heads").alias("_j", "_h")).where("_h IS NOT NULL")
+    n = F.coalesce(F.get("_heads", F.col("_j") + 1), F.col("length")) - F.col("_h")
+    return words.select(F.get("_at", F.col("_h"))["w"].alias("term"), "day", "key", n.cast("long").alias("tf"), F.slice("_at", F.col("_h") + 1, n)["i"].alias("positions"), "length")
 
 
 def _tokens(docs: DataFrame, content: str, day: str) -> DataFrame:
